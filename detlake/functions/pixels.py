@@ -13,14 +13,26 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Luma weights for red, green, blue.
 LUMA = (0.299, 0.587, 0.114)
 
-FINGERPRINT = (
-    "struct<dhash: bigint, ahash: array<bigint>, phash: array<bigint>, mean_luminance: double>"
+FINGERPRINT = T.StructType(
+    [
+        T.StructField("dhash", T.LongType()),
+        T.StructField("ahash", T.ArrayType(T.LongType())),
+        T.StructField("phash", T.ArrayType(T.LongType())),
+        T.StructField("mean_luminance", T.DoubleType()),
+    ]
+)
+HEADER = T.StructType(
+    [
+        T.StructField("format", T.StringType()),
+        T.StructField("frames", T.IntegerType()),
+        T.StructField("orientation", T.IntegerType()),
+    ]
 )
-HEADER = "struct<format: string, frames: int, orientation: int>"
 
 
 def grey_levels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:

@@ -99,6 +99,12 @@ def _flips(size: int, radius: int) -> list[int]:
     ]
 
 
+def _flipped(number: int, part: Column, flips: Column) -> Column:
+    return F.transform(
+        flips, lambda f: F.struct(F.lit(number).alias("n"), part.bitwiseXOR(f).alias("v"))
+    )
+
+
 def _probe_keys(signature: Column, width: int, k: int, bands: int, spread: bool) -> Column:
     keys = []
     for number, ((offset, size), radius) in enumerate(
@@ -106,16 +112,8 @@ def _probe_keys(signature: Column, width: int, k: int, bands: int, spread: bool)
     ):
         if radius < 0:
             continue
-        part = _part(signature, offset, size)
         flips = F.array(*[F.lit(v).cast("bigint") for v in _flips(size, radius if spread else 0)])
-        keys.append(
-            F.transform(
-                flips,
-                lambda f, n=number, p=part: F.struct(
-                    F.lit(n).alias("n"), p.bitwiseXOR(f).alias("v")
-                ),
-            )
-        )
+        keys.append(_flipped(number, _part(signature, offset, size), flips))
     return F.flatten(F.array(*keys))
 
 

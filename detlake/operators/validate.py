@@ -83,7 +83,9 @@ def unsafe_path_issues(images: DataFrame) -> DataFrame:
 
 def checksum_issues(images: DataFrame, files: DataFrame) -> DataFrame:
     """``files``: path, actual_sha256. A missing file counts as unreadable."""
-    met = images.join(files.select("path", "actual_sha256"), "path", "left")
+    met = images.drop("actual_sha256").join(
+        files.select("path", "actual_sha256"), "path", "left"
+    )
     return union_issues(
         issue(
             met.filter(F.col("actual_sha256") != F.col("sha256")),

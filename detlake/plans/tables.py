@@ -135,3 +135,88 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(WIDTH).alias("width"),
         F.lit(HEIGHT).alias("height"),
     )
+
+# Signatures: sign bits of embedding dimensions. The label stands for a family, the
+# vector number for everything else an image has.
+SIGNATURE_SQL = """
+sig AS (SELECT vec_id AS image_id, vec_id AS ordinal, 'f' || CAST(label AS VARCHAR) AS family,
+   CASE WHEN vec_id % 10 < 7 THEN 'train' WHEN vec_id % 10 < 9 THEN 'validation' ELSE 'test' END AS split,
+   list_sum(list_transform(range(24), lambda i: CASE WHEN embedding[i+1] > 0 THEN 1::BIGINT << i
+     ELSE 0 END))::BIGINT AS s24,
+   list_sum(list_transform(range(12), lambda i: CASE WHEN embedding[i+1] > 0 THEN 1::BIGINT << i
+     ELSE 0 END))::BIGINT AS s12,
+   list_sum(list_transform(range(63), lambda i: CASE WHEN embedding[i+1] > 0 THEN 1::BIGINT << i
+     ELSE 0 END))::BIGINT AS s63,
+   list_transform([0, 8, 16, 24], lambda r: list_sum(list_transform(range(32), lambda i:
+     CASE WHEN embedding[(i + r) % 32 + 1] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT) AS turned,
+   list_transform([0, 7, 14, 21], lambda r: list_sum(list_transform(range(28), lambda i:
+     CASE WHEN embedding[(i + r) % 28 + 33] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT) AS turned_b
+   FROM embeddings)
+"""
+
+
+def _sign_bits(bits: int, place: str = "i") -> str:
+    return (
+        f"aggregate(sequence(0, {bits - 1}), 0L, (acc, i) -> acc | CASE WHEN embedding[{place}] > 0"
+        " THEN shiftleft(1L, i) ELSE 0L END)"
+    )
+
+
+def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("image_id"),
+        F.col("vec_id").alias("ordinal"),
+        F.expr("concat('f', CAST(label AS STRING))").alias("family"),
+        F.expr(
+            "CASE WHEN vec_id % 10 < 7 THEN 'train' WHEN vec_id % 10 < 9 THEN 'validation'"
+            " ELSE 'test' END"
+        ).alias("split"),
+        F.expr(_sign_bits(24)).alias("s24"),
+        F.expr(_sign_bits(12)).alias("s12"),
+        F.expr(_sign_bits(63)).alias("s63"),
+        F.expr(
+            f"transform(array(0, 8, 16, 24), r -> {_sign_bits(32, '(i + r) % 32')})"
+        ).alias("turned"),
+        F.expr(
+            f"transform(array(0, 7, 14, 21), r -> {_sign_bits(28, '(i + r) % 28 + 32')})"
+        ).alias("turned_b"),
+    )
+
+
+# Documents as image files: the text is the content, its source the board group.
+FILES_SQL = """
+docs AS (SELECT doc_id AS image_id, doc_id AS ordinal,
+   'images/' || CAST(doc_id % 990 AS VARCHAR) || '.png' AS path, sha256(text) AS sha256,
+   CASE WHEN doc_id % 97 = 0 THEN sha256(lang || text) ELSE sha256(text) END AS actual_sha256,
+   sha256(lower(text)) AS pixel_sha256, 'b' || source || lang AS group_id,
+   CASE WHEN doc_id % 20 < 14 THEN 'train' WHEN doc_id % 20 < 17 THEN 'validation' ELSE 'test' END
+     AS split, lang, n_chars,
+   CAST(64 + n_chars % 7 AS INT) AS width, 64 AS height,
+   CAST(64 + n_chars % 7 + CASE WHEN doc_id % 89 = 0 THEN 1 ELSE 0 END AS INT) AS actual_width
+   FROM documents)
+"""
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("image_id"),
+        F.col("doc_id").alias("ordinal"),
+        F.expr("concat('images/', CAST(doc_id % 990 AS STRING), '.png')").alias("path"),
+        F.expr("sha2(text, 256)").alias("sha256"),
+        F.expr(
+            "CASE WHEN doc_id % 97 = 0 THEN sha2(concat(lang, text), 256) ELSE sha2(text, 256) END"
+        ).alias("actual_sha256"),
+        F.expr("sha2(lower(text), 256)").alias("pixel_sha256"),
+        F.expr("concat('b', source, lang)").alias("group_id"),
+        F.expr(
+            "CASE WHEN doc_id % 20 < 14 THEN 'train' WHEN doc_id % 20 < 17 THEN 'validation'"
+            " ELSE 'test' END"
+        ).alias("split"),
+        "lang",
+        "n_chars",
+        F.expr("CAST(64 + n_chars % 7 AS INT)").alias("width"),
+        F.lit(64).alias("height"),
+        F.expr(
+            "CAST(64 + n_chars % 7 + CASE WHEN doc_id % 89 = 0 THEN 1 ELSE 0 END AS INT)"
+        ).alias("actual_width"),
+    )
