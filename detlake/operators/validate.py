@@ -147,7 +147,7 @@ def dimension_issues(images: DataFrame, decoded: DataFrame, severity: str = "err
     actual = decoded.select(
         "path", F.col("width").alias("actual_width"), F.col("height").alias("actual_height")
     )
-    differ = images.join(actual, "path").filter(
+    differ = images.drop("actual_width", "actual_height").join(actual, "path").filter(
         (F.col("actual_height") > 0)
         & ((F.col("width") != F.col("actual_width")) | (F.col("height") != F.col("actual_height")))
     )
