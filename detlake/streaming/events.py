@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from detlake.functions.text import message_issue
 from detlake.operators.jobs import MAX_ATTEMPTS, state_after
@@ -42,10 +43,10 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
 
         query = writer.outputMode(mode).foreachBatch(save).start()
     query.awaitTermination()
-    read = spark.read.schema(stream.schema) if mode == "append" else spark.read.schema(
-        stream.schema.add("batch", "bigint")
-    )
-    return read.parquet(f"{path}/data")
+    fields = list(stream.schema.fields)
+    if mode != "append":
+        fields.append(StructField("batch", LongType()))
+    return spark.read.schema(StructType(fields)).parquet(f"{path}/data")
 
 
 def without_repeats(stream: DataFrame, delay: str = "1 hour", key: str = "event_id",
