@@ -115,7 +115,7 @@ def _hits_by_rounds(detections: DataFrame, pairs: DataFrame, group: list[str]) -
     )
     kept = settle_rounds(candidates, [*group, "k"], ties="last")
     masks = kept.groupBy(*group, "prediction_index").agg(
-        F.sum(F.shiftleft(F.lit(1), F.col("k"))).cast("int").alias("hits")
+        F.sum(F.expr("shiftleft(1, k)")).cast("int").alias("hits")
     )
     return detections.join(masks, [*group, "prediction_index"], "left").select(
         *group, "prediction_index", "score", F.coalesce("hits", F.lit(0)).alias("hits")

@@ -28,7 +28,7 @@ def strict_json(
     ).otherwise(F.col("content"))
     checked = files.select(
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        F.decode(text, F.lit("UTF-8")).alias("body"),
+        F.decode(text, "UTF-8").alias("body"),
     ).withColumn("body", F.to_json(F.parse_json("body")))
     parsed = F.from_json("body", schema, {"mode": "FAILFAST", "allowNonNumericNumbers": "false"})
     return checked.select("file_name", parsed.alias("d")).select("file_name", "d.*")
@@ -180,7 +180,7 @@ def read_run_artifacts(spark: SparkSession, path: str) -> DataFrame:
         F.element_at(parts, -2).alias("run_id"),
         F.regexp_replace(F.element_at(parts, -1), r"\.json$", "").alias("artifact"),
         F.sha2("content", 256).alias("sha256"),
-        F.parse_json(F.decode("content", F.lit("UTF-8"))).alias("body"),
+        F.parse_json(F.decode("content", "UTF-8")).alias("body"),
     )
 
 
