@@ -29,7 +29,6 @@ def _large_star(edges: DataFrame) -> DataFrame:
         both.filter(F.col("v") > F.col("u"))
         .join(least, "u")
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .distinct()
     )
 
 

@@ -1,14 +1,15 @@
 """One-to-one matching of predictions and truth.
 
-Predictions of one (image, class) are served by falling score; each takes its best
+Predictions of one image are served by falling score; each takes its best same-class
 truth that is still free. Two exact executions give the same result:
 
-* ``_fold``: a SQL ``aggregate`` over the sorted predictions of one group. Used for
-  groups whose size has been checked.
-* ``_rounds``: every unserved prediction asks for its best remaining truth, each truth
+* by image: both tables are gathered per image, so each is shuffled once, and one
+  expression computes overlaps and serves the predictions. Only for images whose number
+  of boxes has been checked.
+* by rounds: every unserved prediction asks for its best remaining truth, each truth
   keeps its best-ranked asker, and the others are turned away for good. Because all
-  truths rank predictions alike, this settles on the same matching, using only joins
-  and aggregates; it serves crowded groups that must not be gathered in one task.
+  truths rank predictions alike, this settles on the same matching, using only joins and
+  aggregates; it serves crowded images that must not be gathered in one task.
 """
 
 from __future__ import annotations
@@ -16,26 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from detlake.operators.spatial import overlapping_pairs
+from detlake.functions import geometry as G
+from detlake.operators.spatial import grid_pairs, overlapping_pairs, split_crowded
 from detlake.session import stored
 
 IOU_FLOOR = 0.5
-GROUP_LIMIT = 2000
+PAIR_LIMIT = 250_000  # possible pairs of an image that may be gathered into one row
 GROUP = ["image_id", "category_id"]
 OUTCOMES = ["duplicate", "class_confusion", "partial_overlap", "no_overlap"]
 
 
-def crowded_groups(truth: DataFrame, predictions: DataFrame, limit: int) -> DataFrame:
-    """(image, class) groups too large to be gathered into one row."""
-    sizes = (
-        truth.select(*GROUP, F.lit(1).alias("t"), F.lit(0).alias("p"))
-        .unionByName(predictions.select(*GROUP, F.lit(0).alias("t"), F.lit(1).alias("p")))
-        .groupBy(*GROUP)
-        .agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
-    )
-    return sizes.filter((F.col("t") > limit) | (F.col("p") > limit)).select(*GROUP)
-
-
 def rejected_predictions(predictions: DataFrame, images: DataFrame) -> DataFrame:
     """Predictions that refer to no evaluated image; must be empty before scoring."""
     return predictions.join(images.select("image_id"), "image_id", "left_anti")
@@ -43,8 +34,6 @@ def rejected_predictions(predictions: DataFrame, images: DataFrame) -> DataFrame
 
 def invalid_predictions(predictions: DataFrame, images: DataFrame, classes: int) -> DataFrame:
     """Predictions with a bad score, class or box, with the ``reason``."""
-    from detlake.functions import geometry as G
-
     known = predictions.join(images.select("image_id", "width", "height"), "image_id")
     reason = (
         F.when(~G.finite("score") | ~F.col("score").between(0, 1), "invalid_score")
@@ -56,8 +45,6 @@ def invalid_predictions(predictions: DataFrame, images: DataFrame, classes: int)
 
 def require_valid(predictions: DataFrame, classes: int) -> DataFrame:
     """Fail the job on the first invalid score or class instead of reporting it."""
-    from detlake.functions import geometry as G
-
     fine = G.finite("score") & F.col("score").between(0, 1)
     fine = fine & F.col("category_id").between(1, classes)
     checked = F.when(fine, F.col("score")).otherwise(
@@ -66,87 +53,94 @@ def require_valid(predictions: DataFrame, classes: int) -> DataFrame:
     return predictions.withColumn("score", checked)
 
 
-def _contexts(predictions: DataFrame, pairs: DataFrame, keep_candidates: bool) -> DataFrame:
-    """One row per prediction: best overlaps, and the same-class truths it could take."""
+def _contexts(predictions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row per prediction with its best overlaps."""
     same = F.col("p_category_id") == F.col("t_category_id")
     preference = F.struct(F.col("iou"), (-F.col("t_annotation_index")).alias("first"))
-    known = pairs.select(
-        "image_id",
-        F.col("p_prediction_index").alias("prediction_index"),
-        F.lit(None).cast("bigint").alias("category_id"),
-        F.lit(None).cast("double").alias("score"),
-        preference.alias("any"),
-        F.when(same, preference).alias("same"),
-        F.when(
-            same & (F.col("iou") >= IOU_FLOOR),
-            F.struct((-F.col("iou")).alias("worse"), F.col("t_annotation_index").alias("ai")),
-        ).alias("candidate"),
+    best = pairs.groupBy("image_id", F.col("p_prediction_index").alias("prediction_index")).agg(
+        F.max(preference).alias("any"), F.max(F.when(same, preference)).alias("same")
     )
-    blank = predictions.select(
+    return predictions.join(best, ["image_id", "prediction_index"], "left").select(
         "image_id",
         "prediction_index",
-        F.col("category_id").cast("bigint"),
+        "category_id",
         "score",
-        F.lit(None).cast(known.schema["any"].dataType).alias("any"),
-        F.lit(None).cast(known.schema["same"].dataType).alias("same"),
-        F.lit(None).cast(known.schema["candidate"].dataType).alias("candidate"),
+        *_best_columns(F.col("same"), F.col("any")),
     )
-    aggregates = [
-        F.max("category_id").alias("category_id"),
-        F.max("score").alias("score"),
-        F.max("any").alias("any"),
-        F.max("same").alias("same"),
+
+
+def _best_columns(same: Column, any_class: Column) -> list[Column]:
+    return [
+        (-same["first"]).alias("best_same_index"),
+        F.coalesce(same["iou"], F.lit(0.0)).alias("iou_same"),
+        (-any_class["first"]).alias("best_any_index"),
+        F.coalesce(any_class["iou"], F.lit(0.0)).alias("iou_any"),
     ]
-    if keep_candidates:
-        aggregates.append(F.array_sort(F.collect_list("candidate")).alias("candidates"))
-    return (
-        known.unionByName(blank)
-        .groupBy("image_id", "prediction_index")
-        .agg(*aggregates)
-        .select(
-            "image_id",
-            "prediction_index",
-            "category_id",
-            "score",
-            (-F.col("same.first")).alias("best_same_index"),
-            F.coalesce("same.iou", F.lit(0.0)).alias("iou_same"),
-            (-F.col("any.first")).alias("best_any_index"),
-            F.coalesce("any.iou", F.lit(0.0)).alias("iou_any"),
-            *(["candidates"] if keep_candidates else []),
-        )
+
+
+def by_image(truth: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Per image the predictions, best first, and the truth: ``ps`` and ``ts``."""
+    ranked = F.struct((-F.col("score")).alias("rank"), "prediction_index", "category_id", *"xywh")
+    targets = F.struct("annotation_index", "category_id", *"xywh")
+    ps = predictions.groupBy("image_id").agg(F.array_sort(F.collect_list(ranked)).alias("ps"))
+    ts = truth.groupBy("image_id").agg(F.collect_list(targets).alias("ts"))
+    return ps.join(ts, "image_id", "left")
+
+
+def overlaps_of(p: Column, ts: Column) -> Column:
+    """Truth boxes sharing area with prediction ``p`` as (iou, first, same) structs."""
+    near = F.filter(
+        ts,
+        lambda t: (p["x"] < t["x"] + t["w"]) & (t["x"] < p["x"] + p["w"])
+        & (p["y"] < t["y"] + t["h"]) & (t["y"] < p["y"] + p["h"]),
+    )
+    return F.transform(
+        near,
+        lambda t: F.struct(
+            G.iou(*[b[c] for b in (p, t) for c in "xywh"]).alias("iou"),
+            (-t["annotation_index"]).alias("first"),
+            (t["category_id"] == p["category_id"]).alias("same"),
+        ),
     )
 
 
-def _fold(contexts: DataFrame) -> DataFrame:
-    fields = [c for c in contexts.columns if c not in GROUP]
-    ordered = F.struct(
-        (-F.col("score")).alias("rank"), "prediction_index",
-        *[c for c in fields if c != "prediction_index"],
+def _matched_by_image(truth: DataFrame, predictions: DataFrame) -> DataFrame:
+    met = F.transform(
+        "ps", lambda p: F.struct(p.alias("p"), overlaps_of(p, F.col("ts")).alias("near"))
     )
-    taken = F.aggregate(
-        "rows",
-        F.expr(
-            "named_struct('used', CAST(array() AS ARRAY<BIGINT>),"
-            " 'picks', CAST(array() AS ARRAY<BIGINT>))"
+    judged = F.transform(
+        "met",
+        lambda r: F.struct(
+            r["p"]["prediction_index"].alias("prediction_index"),
+            r["p"]["category_id"].alias("category_id"),
+            (-r["p"]["rank"]).alias("score"),
+            F.array_max(F.filter(r["near"], lambda o: o["same"])).alias("same"),
+            F.array_max(r["near"]).alias("any"),
+            F.filter(r["near"], lambda o: o["same"] & (o["iou"] >= IOU_FLOOR)).alias("wishes"),
         ),
-        lambda state, row: _serve(state, row),
+    )
+    start = F.expr(
+        "named_struct('used', CAST(array() AS ARRAY<BIGINT>),"
+        " 'picks', CAST(array() AS ARRAY<BIGINT>))"
     )
     return (
-        contexts.groupBy(*GROUP)
-        .agg(F.array_sort(F.collect_list(ordered)).alias("rows"))
-        .withColumn("picks", taken["picks"])
-        .select(*GROUP, F.inline(F.arrays_zip("rows", "picks")))
+        by_image(truth, predictions)
+        .select("image_id", met.alias("met"))
+        .select("image_id", judged.alias("rows"))
+        .withColumn("picks", F.aggregate("rows", start, _serve)["picks"])
+        .select("image_id", F.inline(F.arrays_zip("rows", "picks")))
         .select(
-            *GROUP,
-            *[F.col(f"rows.{c}") for c in fields if c != "candidates"],
-            F.col("picks").alias("annotation_index"),
+            "image_id",
+            *[F.col(f"rows.{c}") for c in ("prediction_index", "category_id", "score")],
+            *_best_columns(F.col("rows.same"), F.col("rows.any")),
+            (-F.col("picks")).alias("annotation_index"),
         )
     )
 
 
 def _serve(state: Column, row: Column) -> Column:
-    free = F.filter(row["candidates"], lambda c: ~F.array_contains(state["used"], c["ai"]))
-    pick = F.get(free, F.lit(0))["ai"]
+    free = F.filter(row["wishes"], lambda o: ~F.array_contains(state["used"], o["first"]))
+    pick = F.array_max(free)["first"]
     return F.struct(
         F.when(pick.isNull(), state["used"])
         .otherwise(F.array_append(state["used"], pick))
@@ -201,7 +195,7 @@ def settle_rounds(candidates: DataFrame, keys: list[str], ties: str = "first") -
 
 
 def match_detections(
-    truth: DataFrame, predictions: DataFrame, group_limit: int = GROUP_LIMIT
+    truth: DataFrame, predictions: DataFrame, pair_limit: int = PAIR_LIMIT
 ) -> DataFrame:
     """Match every prediction at score 0 and say what became of it.
 
@@ -211,24 +205,18 @@ def match_detections(
     ``truth``: image_id, annotation_index, category_id, x, y, w, h.
     ``predictions``: image_id, prediction_index, category_id, x, y, w, h, score.
     """
-    crowded = crowded_groups(truth, predictions, group_limit)
-    if crowded.isEmpty():
-        matched = _matched_by_fold(truth, predictions)
-    else:
-        crowded = stored(crowded, "crowded")
-        calm = predictions.join(crowded, GROUP, "left_anti")
-        busy = predictions.join(crowded, GROUP, "left_semi")
-        matched = _matched_by_fold(truth, calm).unionByName(_matched_by_rounds(truth, busy))
+    calm, busy = split_crowded(predictions, truth, ["image_id"], pair_limit)
+    matched = _matched_by_image(truth, calm)
+    if busy is not None:
+        matched = matched.unionByName(_matched_by_rounds(truth, busy))
     return matched.withColumn("outcome", outcome())
 
 
-def _matched_by_fold(truth: DataFrame, predictions: DataFrame) -> DataFrame:
-    pairs = overlapping_pairs(predictions, truth, ["image_id"])
-    return _fold(_contexts(predictions, pairs, keep_candidates=True))
-
-
 def _matched_by_rounds(truth: DataFrame, predictions: DataFrame) -> DataFrame:
-    pairs = stored(overlapping_pairs(predictions, truth, ["image_id"]), "pairs")
+    pairs = grid_pairs(predictions, truth, ["image_id"]).withColumn(
+        "iou", G.iou(*[p + c for p in ("p_", "t_") for c in "xywh"])
+    )
+    pairs = stored(pairs, "pairs")
     same = F.col("p_category_id") == F.col("t_category_id")
     kept = settle_rounds(
         pairs.filter(same & (F.col("iou") >= IOU_FLOOR)).select(
@@ -241,8 +229,7 @@ def _matched_by_rounds(truth: DataFrame, predictions: DataFrame) -> DataFrame:
         ),
         GROUP,
     )
-    contexts = _contexts(predictions, pairs, keep_candidates=False)
-    return contexts.join(kept, [*GROUP, "prediction_index"], "left")
+    return _contexts(predictions, pairs).join(kept, [*GROUP, "prediction_index"], "left")
 
 
 def outcome() -> Column:

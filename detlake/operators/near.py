@@ -32,9 +32,12 @@ def band_edges(width: int, bands: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _as_signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >= 1 << 63 else bits
+
+
 def _mask(offset: int, size: int) -> int:
-    value = ((1 << size) - 1) << offset
-    return value - (1 << 64) if value >= 1 << 63 else value
+    return _as_signed(((1 << size) - 1) << offset)
 
 
 def _part(signature: Column, offset: int, size: int) -> Column:
@@ -58,31 +61,28 @@ def plan_bands(width: int, k: int, rows: int) -> tuple[str, int]:
 
 
 def _combination_keys(signature: Column, width: int, k: int, bands: int) -> Column:
+    """Key structs: combination number, its bits, its bands and all bands up to its last."""
     edges = band_edges(width, bands)
     keys = []
     for number, chosen in enumerate(itertools.combinations(range(bands), bands - k)):
-        mask = 0
-        for band in chosen:
-            mask |= ((1 << edges[band][1]) - 1) << edges[band][0]
-        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
+        mask = sum(((1 << edges[band][1]) - 1) << edges[band][0] for band in chosen)
         keys.append(
-            F.struct(F.lit(number).alias("n"), signature.bitwiseAND(F.lit(signed)).alias("v"))
+            F.struct(
+                F.lit(number).alias("n"),
+                signature.bitwiseAND(F.lit(_as_signed(mask))).alias("v"),
+                F.lit(sum(1 << band for band in chosen)).alias("bands"),
+                F.lit((1 << (chosen[-1] + 1)) - 1).alias("upto"),
+            )
         )
     return F.array(*keys)
 
 
 def _first_combination(difference: Column, width: int, k: int, bands: int) -> Column:
-    """Number of the first combination whose bands all agree."""
-    edges = band_edges(width, bands)
-    equal = [_part(difference, o, s) == 0 for o, s in edges]
-    first = F.lit(None).cast("int")
-    combos = list(itertools.combinations(range(bands), bands - k))
-    for number in reversed(range(len(combos))):
-        agree = equal[combos[number][0]]
-        for band in combos[number][1:]:
-            agree = agree & equal[band]
-        first = F.when(agree, F.lit(number)).otherwise(first)
-    return first
+    """Is this the first combination that agrees: are its bands the first agreeing ones?"""
+    agreeing = F.lit(0)
+    for band, edge in enumerate(band_edges(width, bands)):
+        agreeing = agreeing + F.when(_part(difference, *edge) == 0, 1 << band).otherwise(0)
+    return agreeing.bitwiseAND(F.col("upto")) == F.col("bands")
 
 
 def _radii(k: int, bands: int) -> list[int]:
@@ -126,7 +126,7 @@ def _first_probe(difference: Column, width: int, k: int, bands: int) -> Column:
             continue
         near = F.bit_count(_part(difference, *edges[number])) <= radii[number]
         first = F.when(near, F.lit(number)).otherwise(first)
-    return first
+    return first == F.col("n")
 
 
 def near_signatures(
@@ -159,10 +159,10 @@ def near_signatures(
     difference = F.col("a").bitwiseXOR(F.col("b"))
     return (
         a.select("a", F.inline(keyed_a))
-        .join(b.select("b", F.inline(keyed_b)), ["n", "v"])
+        .join(b.select("b", F.inline(keyed_b)).select("b", "n", "v"), ["n", "v"])
         .withColumn("distance", F.bit_count(difference))
         .filter(F.col("distance") <= k)
-        .filter(first(difference, width, k, bands) == F.col("n"))
+        .filter(first(difference, width, k, bands))
         .select("a", "b", "distance")
     )
 

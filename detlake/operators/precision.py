@@ -11,9 +11,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from detlake.operators.matching import GROUP_LIMIT, crowded_groups, settle_rounds
+from detlake.functions import geometry as G
+from detlake.operators.matching import PAIR_LIMIT, by_image, overlaps_of, settle_rounds
 from detlake.operators.running import running_totals
-from detlake.operators.spatial import overlapping_pairs
+from detlake.operators.spatial import grid_pairs, split_crowded
 from detlake.session import stored
 
 # Fixed values of the protocol.
@@ -39,63 +40,83 @@ def top_detections(
     )
 
 
-def _hits_by_fold(detections: DataFrame, pairs: DataFrame, group: list[str]) -> DataFrame:
-    """Per detection a bit mask of the IoU thresholds at which it is a true positive."""
-    known = pairs.select(
-        *group,
-        F.col("p_prediction_index").alias("prediction_index"),
-        F.lit(None).cast("double").alias("score"),
-        F.struct(
-            (-F.col("iou")).alias("worse"), (-F.col("t_annotation_index")).alias("late")
-        ).alias("candidate"),
-    )
-    blank = detections.select(
-        *group,
-        "prediction_index",
-        "score",
-        F.lit(None).cast(known.schema["candidate"].dataType).alias("candidate"),
-    )
-    rows = (
-        known.unionByName(blank)
-        .groupBy(*group, "prediction_index")
-        .agg(
-            F.max("score").alias("score"),
-            F.array_sort(F.collect_list("candidate")).alias("candidates"),
-        )
-    )
-    ordered = F.struct((-F.col("score")).alias("rank"), "prediction_index", "candidates")
+FLOORS = [min(t, 1 - 1e-10) for t in IOU_THRESHOLDS]
 
-    def at(threshold: float) -> Column:
-        floor = min(threshold, 1 - 1e-10)
-        start = F.expr(
-            "named_struct('used', CAST(array() AS ARRAY<BIGINT>),"
-            " 'hits', CAST(array() AS ARRAY<BOOLEAN>))"
+
+def _reached(iou: Column) -> Column:
+    """Bit mask of the thresholds an IoU reaches."""
+    return sum((F.when(iou >= f, 1 << k).otherwise(0) for k, f in enumerate(FLOORS)), F.lit(0))
+
+
+def _serve(floor: float):
+    def step(state: Column, row: Column) -> Column:
+        free = F.filter(
+            row["wishes"],
+            lambda o: (o["iou"] >= floor) & ~F.array_contains(state["used"], o["late"]),
         )
+        pick = F.array_max(free)["late"]
+        return F.struct(
+            F.when(pick.isNull(), state["used"])
+            .otherwise(F.array_append(state["used"], pick))
+            .alias("used"),
+            F.array_append(state["hits"], pick.isNotNull()).alias("hits"),
+        )
+
+    return step
 
-        def serve(state: Column, row: Column) -> Column:
-            free = F.filter(
-                row["candidates"],
-                lambda c: (-c["worse"] >= floor) & ~F.array_contains(state["used"], c["late"]),
-            )
-            pick = F.get(free, F.lit(0))["late"]
-            return F.struct(
-                F.when(pick.isNull(), state["used"])
-                .otherwise(F.array_append(state["used"], pick))
-                .alias("used"),
-                F.array_append(state["hits"], pick.isNotNull()).alias("hits"),
-            )
 
-        return F.aggregate("rows", start, serve)["hits"]
+def _hits_by_image(detections: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per detection a bit mask of the IoU thresholds at which it is a true positive.
 
-    hits = [at(t).alias(f"h{k}") for k, t in enumerate(IOU_THRESHOLDS)]
-    grouped = rows.groupBy(*group).agg(F.array_sort(F.collect_list(ordered)).alias("rows"))
-    flat = grouped.select(*group, "rows", *hits)
-    names = [f"h{k}" for k in range(len(IOU_THRESHOLDS))]
-    mask = sum(
-        (F.when(F.col(n), 1 << k).otherwise(0) for k, n in enumerate(names)), F.lit(0)
+    Where no two detections of an image want the same truth and none has a choice, the
+    mask follows from the IoU alone; the others are served once per threshold.
+    """
+    met = F.transform(
+        "ps",
+        lambda p: F.struct(
+            p.alias("p"),
+            F.filter(
+                overlaps_of(p, F.col("ts")), lambda o: o["same"] & (o["iou"] >= FLOORS[0])
+            ).alias("near"),
+        ),
+    )
+    rows = F.transform(
+        "met",
+        lambda r: F.struct(
+            r["p"]["prediction_index"].alias("prediction_index"),
+            r["p"]["category_id"].alias("category_id"),
+            (-r["p"]["rank"]).alias("score"),
+            F.transform(
+                r["near"], lambda o: F.struct(o["iou"], (-o["first"]).alias("late"))
+            ).alias("wishes"),
+        ),
+    )
+    wanted = F.flatten(F.transform("rows", lambda r: r["wishes"]["late"]))
+    simple = (F.size(F.array_distinct(wanted)) == F.size(wanted)) & ~F.exists(
+        "rows", lambda r: F.size(r["wishes"]) > 1
     )
-    return flat.select(*group, F.inline(F.arrays_zip("rows", *names))).select(
-        *group, "rows.prediction_index", (-F.col("rows.rank")).alias("score"), mask.alias("hits")
+    start = F.expr(
+        "named_struct('used', CAST(array() AS ARRAY<BIGINT>),"
+        " 'hits', CAST(array() AS ARRAY<BOOLEAN>))"
+    )
+    served = [F.aggregate("rows", start, _serve(f))["hits"] for f in FLOORS]
+    zipped = F.transform(
+        F.arrays_zip(*[h.alias(f"h{k}") for k, h in enumerate(served)]),
+        lambda z: sum(
+            (F.when(z[f"h{k}"], 1 << k).otherwise(0) for k in range(len(FLOORS))), F.lit(0)
+        ),
+    )
+    direct = F.transform("rows", lambda r: _reached(F.get(r["wishes"], F.lit(0))["iou"]))
+    return (
+        by_image(truth, detections)
+        .select("image_id", met.alias("met"))
+        .select("image_id", rows.alias("rows"))
+        .withColumn("hits", F.when(simple, direct).otherwise(zipped))
+        .select("image_id", F.inline(F.arrays_zip("rows", "hits")))
+        .select(
+            "image_id", "rows.category_id", "rows.prediction_index", "rows.score",
+            F.coalesce("hits", F.lit(0)).alias("hits"),
+        )
     )
 
 
@@ -118,34 +139,29 @@ def _hits_by_rounds(detections: DataFrame, pairs: DataFrame, group: list[str]) -
         F.sum(F.expr("shiftleft(1, k)")).cast("int").alias("hits")
     )
     return detections.join(masks, [*group, "prediction_index"], "left").select(
-        *group, "prediction_index", "score", F.coalesce("hits", F.lit(0)).alias("hits")
+        "image_id", "category_id", "prediction_index", "score",
+        F.coalesce("hits", F.lit(0)).alias("hits"),
     )
 
 
 def detection_hits(
-    truth: DataFrame, predictions: DataFrame, group_limit: int = GROUP_LIMIT
+    truth: DataFrame, predictions: DataFrame, pair_limit: int = PAIR_LIMIT
 ) -> DataFrame:
     """One row per detection that counts, with its true-positive mask."""
     group = ["image_id", "category_id"]
-    detections = top_detections(predictions, group)
-    # Detections are already limited per group; only truth can still be crowded.
-    crowded = crowded_groups(truth, detections.limit(0), group_limit)
-
-    def with_pairs(part: DataFrame) -> DataFrame:
-        return overlapping_pairs(
-            part.select(*group, "prediction_index", "score", *"xywh"),
-            truth.select(*group, "annotation_index", *"xywh"),
-            group,
-        ).filter(F.col("iou") >= IOU_THRESHOLDS[0])
-
-    if crowded.isEmpty():
-        return _hits_by_fold(detections, with_pairs(detections), group)
-    crowded = stored(crowded, "crowded")
-    calm = detections.join(crowded, group, "left_anti")
-    busy = detections.join(crowded, group, "left_semi")
-    return _hits_by_fold(calm, with_pairs(calm), group).unionByName(
-        _hits_by_rounds(busy, with_pairs(busy), group)
-    )
+    calm, busy = split_crowded(predictions, truth, ["image_id"], pair_limit)
+    # Placed by image once; ranking per class and gathering per image then stay in place.
+    hits = _hits_by_image(top_detections(calm.repartition("image_id"), group), truth)
+    if busy is None:
+        return hits
+    detections = stored(top_detections(busy, group), "detections")
+    pairs = grid_pairs(
+        detections.select(*group, "prediction_index", "score", *"xywh"),
+        truth.select(*group, "annotation_index", *"xywh"),
+        group,
+    ).withColumn("iou", G.iou(*[p + c for p in ("p_", "t_") for c in "xywh"]))
+    pairs = pairs.filter(F.col("iou") >= FLOORS[0])
+    return hits.unionByName(_hits_by_rounds(detections, pairs, group))
 
 
 def precision_curve(hits: DataFrame, positives: DataFrame, by: list[str]) -> DataFrame:
@@ -200,14 +216,14 @@ def average_precision(
     predictions: DataFrame,
     by: list[str] | None = None,
     images: DataFrame | None = None,
-    group_limit: int = GROUP_LIMIT,
+    pair_limit: int = PAIR_LIMIT,
 ) -> DataFrame:
     """AP50:95, AP50 and AR100 per class, and overall with category_id NULL.
 
     ``by`` lists columns of ``images`` (such as a source group) to report separately.
     """
     by = by or []
-    hits = detection_hits(truth, predictions, group_limit)
+    hits = detection_hits(truth, predictions, pair_limit)
     if by:
         groups = images.select("image_id", *by)
         hits, truth = hits.join(groups, "image_id"), truth.join(groups, "image_id")

@@ -1,19 +1,23 @@
-"""Box-against-box joins that never compare whole images pairwise.
+"""Box-against-box joins that never compare a crowded image pairwise.
 
-Every box is listed under the grid cells it touches and the join runs on
-(keys, cell), so a crowded image is spread over many small join groups instead of
-meeting itself in one. A pair is emitted only from the cell that holds the top-left
-corner of its intersection; no later de-duplication shuffle is needed.
+Images whose number of possible pairs has been checked to be small are joined on their
+keys alone: one shuffle per side, and later groupings by image need none. Crowded ones
+go through a grid: every box is listed under the cells it touches and the join runs on
+(keys, cell), which spreads one image over many small join groups. A pair is emitted
+only from the cell that holds the top-left corner of its intersection, so no
+de-duplication shuffle follows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from detlake.functions import geometry as G
+from detlake.session import stored
 
 CELL = 128.0
+PAIR_LIMIT = 1_000_000  # possible pairs of one key that may be compared in one task
 
 
 def _in_cells(df: DataFrame, x: str, y: str, w: str, h: str, cell: float) -> DataFrame:
@@ -29,32 +33,73 @@ def _prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keys])
 
 
-def overlapping_pairs(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    left_prefix: str = "p_",
-    right_prefix: str = "t_",
-    cell: float = CELL,
+def crowded_keys(
+    left: DataFrame, right: DataFrame, keys: list[str], limit: int = PAIR_LIMIT
 ) -> DataFrame:
-    """Pairs of xywh boxes that agree on ``keys`` and share area, with their ``iou``."""
+    """Keys with more than ``limit`` possible pairs."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    rows = left.select(*keys, one.alias("_l"), none.alias("_r")).unionByName(
+        right.select(*keys, none.alias("_l"), one.alias("_r"))
+    )
+    sizes = rows.groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    return sizes.filter(F.col("_l") * F.col("_r") > limit).select(*keys)
+
+
+def split_crowded(
+    left: DataFrame, right: DataFrame, keys: list[str], limit: int = PAIR_LIMIT
+) -> tuple[DataFrame, DataFrame | None]:
+    """(left rows of calm keys, left rows of crowded keys or None when there are none)."""
+    crowded = crowded_keys(left, right, keys, limit)
+    if crowded.isEmpty():
+        return left, None
+    crowded = stored(crowded, "crowded")
+    return left.join(crowded, keys, "left_anti"), left.join(crowded, keys, "left_semi")
+
+
+def touching(a: str, b: str) -> Column:
+    """Two xywh boxes with column prefixes ``a`` and ``b`` share area."""
+    ax, ay, aw, ah = (F.col(a + c) for c in "xywh")
+    bx, by, bw, bh = (F.col(b + c) for c in "xywh")
+    return (ax < bx + bw) & (bx < ax + aw) & (ay < by + bh) & (by < ay + ah)
+
+
+def grid_pairs(
+    left: DataFrame, right: DataFrame, keys: list[str], left_prefix: str = "p_",
+    right_prefix: str = "t_", cell: float = CELL,
+) -> DataFrame:
+    """Pairs that share area, by way of grid cells."""
     a = _in_cells(
         _prefixed(left, keys, left_prefix), *[left_prefix + c for c in "xywh"], cell=cell
     )
     b = _in_cells(
         _prefixed(right, keys, right_prefix), *[right_prefix + c for c in "xywh"], cell=cell
     )
-    boxes = [p + c for p in (left_prefix, right_prefix) for c in "xywh"]
-    lx, ly, lw, lh, rx, ry, rw, rh = map(F.col, boxes)
+    lx, ly, rx, ry = (F.col(p + c) for p in (left_prefix, right_prefix) for c in "xy")
     corner_here = (F.floor(F.greatest(lx, rx) / F.lit(cell)) == F.col("_gx")) & (
         F.floor(F.greatest(ly, ry) / F.lit(cell)) == F.col("_gy")
     )
-    touching = (
-        (lx < rx + rw) & (rx < lx + lw) & (ly < ry + rh) & (ry < ly + lh)
+    met = a.join(b, [*keys, "_gx", "_gy"])
+    return met.filter(corner_here & touching(left_prefix, right_prefix)).drop("_gx", "_gy")
+
+
+def overlapping_pairs(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    left_prefix: str = "p_",
+    right_prefix: str = "t_",
+    cell: float = CELL,
+    limit: int = PAIR_LIMIT,
+) -> DataFrame:
+    """Pairs of xywh boxes that agree on ``keys`` and share area, with their ``iou``."""
+    calm, busy = split_crowded(left, right, keys, limit)
+    pairs = (
+        _prefixed(calm, keys, left_prefix)
+        .join(_prefixed(right, keys, right_prefix), keys)
+        .filter(touching(left_prefix, right_prefix))
     )
-    return (
-        a.join(b, [*keys, "_gx", "_gy"])
-        .filter(corner_here & touching)
-        .drop("_gx", "_gy")
-        .withColumn("iou", G.iou(*boxes))
+    if busy is not None:
+        pairs = pairs.unionByName(grid_pairs(busy, right, keys, left_prefix, right_prefix, cell))
+    return pairs.withColumn(
+        "iou", G.iou(*[p + c for p in (left_prefix, right_prefix) for c in "xywh"])
     )

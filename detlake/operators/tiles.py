@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from detlake.functions import geometry as G
 from detlake.operators.precision import MAX_DETECTIONS, top_detections
-from detlake.operators.spatial import overlapping_pairs
+from detlake.operators.spatial import grid_pairs, overlapping_pairs, split_crowded, touching
 from detlake.session import stored
 
 NMS_IOU = 0.5
@@ -75,25 +75,28 @@ def tile_annotations(tiles: DataFrame, annotations: DataFrame, cell: float = 512
     ``tiles``: image_id, tile and tx1..ty2; ``annotations``: image_id, annotation_index,
     class_id, x1..y2. Labels get class_id + 1, since 0 means background.
     """
-    frame = tiles.select("image_id", "tile", "tx1", "ty1", "tx2", "ty2")
-    windows = frame.select(
-        "image_id", "tile", F.col("tx1").cast("double").alias("x"),
-        F.col("ty1").cast("double").alias("y"),
-        (F.col("tx2") - F.col("tx1")).cast("double").alias("w"),
-        (F.col("ty2") - F.col("ty1")).cast("double").alias("h"),
+    frame = tiles.select(
+        "image_id", "tile", "tx1", "ty1", "tx2", "ty2",
+        F.col("tx1").cast("double").alias("v_x"), F.col("ty1").cast("double").alias("v_y"),
+        (F.col("tx2") - F.col("tx1")).cast("double").alias("v_w"),
+        (F.col("ty2") - F.col("ty1")).cast("double").alias("v_h"),
     )
     boxes = annotations.select(
-        "image_id", "annotation_index", "class_id", *G.xyxy_to_xywh("x1", "y1", "x2", "y2"),
-        "x1", "y1", "x2", "y2",
+        "image_id", "annotation_index", (F.col("class_id") + 1).alias("label"),
+        "x1", "y1", "x2", "y2", *G.xyxy_to_xywh("x1", "y1", "x2", "y2"),
     )
-    met = overlapping_pairs(windows, boxes, ["image_id"], "v_", "t_", cell).select(
-        "image_id",
-        F.col("v_tile").alias("tile"),
-        F.col("t_annotation_index").alias("annotation_index"),
-        (F.col("t_class_id") + 1).alias("label"),
-        *[F.col(f"t_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")],
-    )
-    clipped = frame.join(met, ["image_id", "tile"], "left")
+    calm, busy = split_crowded(frame, boxes, ["image_id"])
+    named = boxes.withColumnsRenamed({"image_id": "_image", **{c: f"b_{c}" for c in "xywh"}})
+    here = (F.col("image_id") == F.col("_image")) & touching("v_", "b_")
+    clipped = calm.join(named, here, "left").drop("_image")
+    if busy is not None:
+        windows = busy.select("image_id", "tile", *[F.col(f"v_{c}").alias(c) for c in "xywh"])
+        fields = ["annotation_index", "label", "x1", "y1", "x2", "y2"]
+        met = grid_pairs(windows, boxes, ["image_id"], "v_", "b_", cell).select(
+            "image_id", F.col("v_tile").alias("tile"), *[F.col(f"b_{c}").alias(c) for c in fields]
+        )
+        shared = busy.join(met, ["image_id", "tile"], "left")
+        clipped = clipped.select(*shared.columns).unionByName(shared)
     return clipped.select(
         "image_id",
         "tile",
