@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from detlake.functions import geometry as G
 from detlake.operators.matching import IOU_FLOOR
 from detlake.operators.spatial import overlapping_pairs
+from detlake.session import stored
 
 THRESHOLDS = (0.05, 0.25, 0.5)
 
@@ -35,23 +36,29 @@ def error_counts(
     """
     columns = sorted({c for group in levels.values() for c in group})
     taken = F.col("outcome") == "matched"
-    rows = per_threshold(matches, thresholds).select(
-        "score_threshold",
+    reached = [(F.col("score") >= float(t)).cast("int") for t in thresholds]
+    tp = [(r * taken.cast("int")).alias(f"tp{i}") for i, r in enumerate(reached)]
+    fp = [(r * (~taken).cast("int")).alias(f"fp{i}") for i, r in enumerate(reached)]
+    rows = matches.select(*columns, *tp, *fp, F.lit(0).alias("labels"))
+    zeros = [F.lit(0).alias(c) for i in range(len(thresholds)) for c in (f"tp{i}", f"fp{i}")]
+    labels = truth.select(*columns, *zeros, F.lit(1).alias("labels"))
+    # Thresholds stay side by side until rows are summed to the finest level, so that
+    # nothing is copied per threshold before it has become small.
+    sums = [c for c in rows.columns if c not in columns]
+    summed = rows.unionByName(labels).groupBy(*columns).agg(*[F.sum(c).alias(c) for c in sums])
+    finest = summed.select(
         *columns,
-        F.when(taken, 1).otherwise(0).alias("tp"),
-        F.when(taken, 0).otherwise(1).alias("fp"),
-        F.lit(0).alias("labels"),
-    )
-    labels = truth.select(
-        F.explode(_at(thresholds)).alias("score_threshold"),
-        *columns,
-        F.lit(0).alias("tp"),
-        F.lit(0).alias("fp"),
-        F.lit(1).alias("labels"),
-    )
-    # One row per finest group first, so the expansion over levels stays small.
-    finest = rows.unionByName(labels).groupBy("score_threshold", *columns).agg(
-        *[F.sum(c).alias(c) for c in ("tp", "fp", "labels")]
+        F.inline(
+            F.array(*[
+                F.struct(
+                    F.lit(float(t)).alias("score_threshold"),
+                    F.col(f"tp{i}").alias("tp"),
+                    F.col(f"fp{i}").alias("fp"),
+                    F.col("labels"),
+                )
+                for i, t in enumerate(thresholds)
+            ])
+        ),
     )
     sets = [["score_threshold", *group] for group in levels.values()]
     level = F.lit(None).cast("string")
@@ -137,6 +144,8 @@ def explain_misses(missed: DataFrame, predictions: DataFrame, threshold: float)
     Candidates are ranked by (IoU, score, earlier index). A truth box that nothing
     overlaps still names its best-scored candidate, with IoU 0.
     """
+    # Usually the outcome of a matching, and needed three times below.
+    missed = stored(missed, "missed")
     kept = F.col("score") >= threshold
     order = F.struct(
         F.col("iou").alias("iou"),

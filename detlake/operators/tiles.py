@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from detlake.functions import geometry as G
+from detlake.operators.matching import PAIR_LIMIT
 from detlake.operators.precision import MAX_DETECTIONS, top_detections
-from detlake.operators.spatial import grid_pairs, overlapping_pairs, split_crowded, touching
+from detlake.operators.spatial import grid_pairs, split_crowded, touching
 from detlake.session import stored
 
 NMS_IOU = 0.5
-NMS_GROUP_LIMIT = 2000
 
 
 def tile_starts(length: int, size: int, overlap: int) -> list[int]:
@@ -152,41 +152,34 @@ def _suppression_pairs(detections: DataFrame, floor: float) -> DataFrame:
         (F.col("p_score") == F.col("t_score"))
         & (F.col("p_prediction_index") < F.col("t_prediction_index"))
     )
-    return (
-        overlapping_pairs(boxes, boxes, keys)
-        .filter(better & (F.col("iou") > floor))
-        .select(
-            *keys,
-            F.col("t_prediction_index").alias("prediction_index"),
-            F.col("p_prediction_index").alias("winner"),
-        )
+    pairs = grid_pairs(boxes, boxes, keys).withColumn(
+        "iou", G.iou(*[p + c for p in ("p_", "t_") for c in "xywh"])
+    )
+    return pairs.filter(better & (F.col("iou") > floor)).select(
+        *keys,
+        F.col("t_prediction_index").alias("prediction_index"),
+        F.col("p_prediction_index").alias("winner"),
     )
 
 
-def _keep_by_fold(detections: DataFrame, pairs: DataFrame) -> DataFrame:
-    keys = ["image_id", "category_id"]
-    rows = (
-        pairs.withColumn("score", F.lit(None).cast("double"))
-        .unionByName(
-            detections.select(
-                *keys, "prediction_index", F.lit(None).cast("bigint").alias("winner"), "score"
-            )
+def _keep_by_image(detections: DataFrame, floor: float) -> DataFrame:
+    """Boxes of each image are visited by falling score against those kept so far."""
+    box = F.struct((-F.col("score")).alias("rank"), "prediction_index", "category_id", *"xywh")
+
+    def visit(kept: Column, p: Column) -> Column:
+        beaten = F.exists(
+            kept,
+            lambda k: (k["category_id"] == p["category_id"])
+            & (k["x"] < p["x"] + p["w"]) & (p["x"] < k["x"] + k["w"])
+            & (k["y"] < p["y"] + p["h"]) & (p["y"] < k["y"] + k["h"])
+            & (G.iou(*[b[c] for b in (k, p) for c in "xywh"]) > floor),
         )
-        .groupBy(*keys, "prediction_index")
-        .agg(F.max("score").alias("score"), F.collect_list("winner").alias("winners"))
-    )
-    ordered = F.struct((-F.col("score")).alias("rank"), "prediction_index", "winners")
-    kept = F.aggregate(
-        "rows",
-        F.expr("CAST(array() AS ARRAY<BIGINT>)"),
-        lambda kept, row: F.when(F.arrays_overlap(kept, row["winners"]), kept).otherwise(
-            F.array_append(kept, row["prediction_index"])
-        ),
-    )
-    return (
-        rows.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(ordered)).alias("rows"))
-        .select(*keys, F.explode(kept).alias("prediction_index"))
+        return F.when(beaten, kept).otherwise(F.array_append(kept, p))
+
+    gathered = detections.groupBy("image_id").agg(F.array_sort(F.collect_list(box)).alias("ps"))
+    none = F.filter("ps", lambda p: F.lit(False))
+    return gathered.select("image_id", F.inline(F.aggregate("ps", none, visit))).select(
+        "image_id", "category_id", "prediction_index", (-F.col("rank")).alias("score"), *"xywh"
     )
 
 
@@ -220,25 +213,23 @@ def _keep_by_rounds(detections: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def suppress_overlaps(
-    detections: DataFrame, floor: float = NMS_IOU, group_limit: int = NMS_GROUP_LIMIT
+    detections: DataFrame, floor: float = NMS_IOU, pair_limit: int = PAIR_LIMIT
 ) -> DataFrame:
     """Per image and class keep a box unless a kept, better-scored one overlaps it.
 
     ``detections``: image_id, category_id, prediction_index, score, x, y, w, h.
     """
-    keys = ["image_id", "category_id"]
-    sizes = detections.groupBy(*keys).agg(F.count("*").alias("n"))
-    crowded = sizes.filter(F.col("n") > group_limit).select(*keys)
-    if crowded.isEmpty():
-        kept = _keep_by_fold(detections, _suppression_pairs(detections, floor))
-    else:
-        crowded = stored(crowded, "crowded")
-        calm = detections.join(crowded, keys, "left_anti")
-        busy = detections.join(crowded, keys, "left_semi")
-        kept = _keep_by_fold(calm, _suppression_pairs(calm, floor)).unionByName(
-            _keep_by_rounds(busy, _suppression_pairs(busy, floor))
-        )
-    return detections.join(kept, [*keys, "prediction_index"], "left_semi")
+    columns = ["image_id", "category_id", "prediction_index", "score", *"xywh"]
+    boxes = detections.select(*columns)
+    calm, busy = split_crowded(boxes, boxes, ["image_id"], pair_limit)
+    kept = _keep_by_image(calm, floor)
+    if busy is None:
+        return kept
+    busy = stored(busy, "detections")
+    chosen = _keep_by_rounds(busy, _suppression_pairs(busy, floor))
+    return kept.unionByName(
+        busy.join(chosen, ["image_id", "category_id", "prediction_index"], "left_semi")
+    )
 
 
 def merge_tiles(detections: DataFrame, tiles: DataFrame, classes: int) -> DataFrame:

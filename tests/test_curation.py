@@ -190,7 +190,7 @@ def test_suppression_equals_the_plain_loop(spark, limit):
             if all(iou(r[3:7], c[3:7]) <= 0.5 for c in chosen):
                 chosen.append(r)
         kept |= {r[1] for r in chosen}
-    got = L.suppress_overlaps(spark.createDataFrame(rows, PREDICTION), group_limit=limit)
+    got = L.suppress_overlaps(spark.createDataFrame(rows, PREDICTION), pair_limit=limit)
     assert {r["prediction_index"] for r in got.collect()} == kept
 
 
