@@ -16,7 +16,7 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COMBINATION_LIMIT = 4  # largest distance searched by band combinations
@@ -253,10 +253,29 @@ def near_pairs(
     return met.filter(apart & once).select(*ordered, "distance")
 
 
-def first_candidates(pairs: DataFrame, count: int, limit: int = 100) -> DataFrame:
-    """The first ``limit`` pairs in table order with the true count and a truncation flag."""
+def _listing_rows(df: DataFrame, limit: int) -> DataFrame:
+    """The only images that can occur in the first ``limit`` pairs.
+
+    An image preceded by ``limit`` images of its signature, split and pixels cannot:
+    each of those forms an earlier pair with the same partner. Likewise one preceded by
+    ``2 * limit`` of the rest of its signature and split, of which at most ``limit`` share
+    the partner's pixels.
+    """
+    for keys, most in (
+        (["signature", "split", "pixel_sha256"], limit),
+        (["signature", "split"], 2 * limit),
+    ):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal"))
+        df = df.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
+    return df
+
+
+def first_candidates(df: DataFrame, links: DataFrame, limit: int = 100) -> DataFrame:
+    """The first ``limit`` near pairs in table order, the true count and a truncation flag."""
+    count = cross_split_pair_count(df, links).first()[0]
     return (
-        pairs.orderBy("first_ordinal", "second_ordinal")
+        near_pairs(_listing_rows(df, limit), links)
+        .orderBy("first_ordinal", "second_ordinal")
         .limit(limit)
         .withColumns({"total": F.lit(count).cast("bigint"), "truncated": F.lit(count > limit)})
     )

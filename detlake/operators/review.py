@@ -278,13 +278,25 @@ def new_observations(notes: DataFrame, observations: DataFrame) -> DataFrame:
 
 
 def observation_digests(observations: DataFrame) -> DataFrame:
-    """What a decision on each case has to have seen: number and digest of observations."""
-    return observations.groupBy("case_id").agg(
-        F.count("*").alias("observation_count"),
-        F.sha2(
-            F.to_json(F.array_sort(F.collect_list(F.struct("ordinal", "reviewer", "note_hash")))),
-            256,
-        ).alias("observations_sha256"),
+    """What a decision on each case has to have seen: number and digest of observations.
+
+    ``ordinal`` numbers the observations of a case. They are digested in runs of 4096
+    ordinals, the runs again in runs of 4096, so a much discussed case is never gathered
+    in one task.
+    """
+    record = F.sha2(F.to_json(F.struct("ordinal", "reviewer", "note_hash")), 256)
+    level = observations.select(
+        "case_id", F.col("ordinal").cast("bigint").alias("o"), record.alias("d"),
+        F.lit(1).cast("bigint").alias("n"),
+    )
+    in_order = F.array_sort(F.collect_list(F.struct("o", "d")))
+    for _ in range(2):
+        level = level.groupBy("case_id", F.expr("o div 4096").alias("run")).agg(
+            F.sha2(F.array_join(in_order["d"], ","), 256).alias("d"), F.sum("n").alias("n")
+        ).withColumnRenamed("run", "o")
+    return level.groupBy("case_id").agg(
+        F.sum("n").alias("observation_count"),
+        F.sha2(F.array_join(in_order["d"], ","), 256).alias("observations_sha256"),
     )
 
 
@@ -456,13 +468,9 @@ def merge_exports(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
 
 
 def worklist(cases: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Cases with the boxes of the image they show, for export to a review tool."""
-    per_image = boxes.groupBy("image_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("annotation_index", "category_id", *"xywh"))
-        ).alias("annotations")
-    )
-    return cases.join(per_image, "image_id", "left")
+    """Cases with the boxes of the image they show, one row per box, for export."""
+    shown = boxes.select("image_id", "annotation_index", "category_id", *"xywh")
+    return cases.join(shown, "image_id", "left")
 
 
 def note_hash(columns: list[str]) -> Column:

@@ -104,7 +104,11 @@ def reports(
     is_demo: bool = False,
     experimental: bool = False,
 ) -> DataFrame:
-    """One report per inspection, with its findings, ignored count and overall result."""
+    """One report per inspection, with its findings, ignored count and overall result.
+
+    The findings travel inside the report: tiled detections are limited to 100 per image
+    before they get here.
+    """
     finding = F.struct(
         "defect_type", "confidence", "x1", "y1", "x2", "y2", "severity", "confidence_band"
     )

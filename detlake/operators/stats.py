@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from detlake.functions import geometry as G
+from detlake.operators.running import running_totals
 
 
 def image_statistics(images: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -94,12 +95,44 @@ def family_splits(images: DataFrame, splits: list[str]) -> DataFrame:
 
 
 def latency_summary(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Mean and interpolated median and 95th percentile."""
-    marks = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    return (
-        rows.groupBy(*(by or []))
-        .agg(F.avg(value).alias("mean"), marks.alias("_p"))
-        .select(*(by or []), "mean", F.get("_p", F.lit(0)).alias("p50"), F.get("_p", F.lit(1)).alias("p95"))
+    """Mean and interpolated median and 95th percentile, exact for groups of any size.
+
+    Works on counts per distinct value and their running totals, so no group has to fit
+    into one task.
+    """
+    by = by or []
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
+        F.count("*").alias("_n")
+    )
+    ranked = running_totals(counted, by, [F.col(value)], {"_upto": F.col("_n")})
+    sizes = ranked.groupBy(*by).agg(
+        F.sum("_n").alias("_size"), F.sum(F.col("_n") * F.col(value)).alias("_sum")
+    )
+    if by:
+        placed = ranked.join(sizes, by)
+    else:
+        whole = sizes.first()
+        placed = ranked.withColumns({c: F.lit(whole[c]) for c in ("_size", "_sum")})
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > place, F.col(value)))
+
+    marks = {"p50": 0.5, "p95": 0.95}
+    ends = []
+    for name, share in marks.items():
+        place = (F.col("_size") - 1) * share
+        ends += [at(F.floor(place)).alias(f"{name}_low"), at(F.ceil(place)).alias(f"{name}_high")]
+    found = placed.groupBy(*by).agg(
+        F.max("_size").alias("_size"), F.max("_sum").alias("_sum"), *ends
+    )
+
+    def between(name: str, share: float) -> Column:
+        place = (F.col("_size") - 1) * share
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        return (low + (high - low) * (place - F.floor(place))).alias(name)
+
+    return found.select(
+        *by, (F.col("_sum") / F.col("_size")).alias("mean"), *[between(*m) for m in marks.items()]
     )
 
 

@@ -699,9 +699,7 @@ def near_pair_count(spark, d):
 def near_candidates(spark, d):
     images = _pixels(spark, d)
     links = N.near_links(images, 1, 12)
-    total = N.cross_split_pair_count(images, links).first()[0]
-    listed = N.first_candidates(N.near_pairs(images, links), total)
-    return listed.drop("first_ordinal", "second_ordinal")
+    return N.first_candidates(images, links).drop("first_ordinal", "second_ordinal")
 
 
 @query(

@@ -291,8 +291,9 @@ def adjudication_status(spark, d):
 
 @query(
     "observation_digests",
-    "SELECT conv_id AS case_id, count(*) AS observation_count, sha256('[' || string_agg('{\"ordinal\":' || turn || ',\"reviewer\":\"' || role ||"
-    " '\",\"note_hash\":\"' || sha256(text) || '\"}', ',' ORDER BY turn) || ']') AS observations_sha256 FROM conversations GROUP BY 1",
+    "SELECT conv_id AS case_id, count(*) AS observation_count, sha256(sha256(sha256(string_agg(sha256('{\"ordinal\":' || turn ||"
+    " ',\"reviewer\":\"' || role || '\",\"note_hash\":\"' || sha256(text) || '\"}'), ',' ORDER BY turn)))) AS observations_sha256"
+    " FROM conversations GROUP BY 1",
 )
 def observation_digests(spark, d):
     rows = T.read(spark, d, "conversations").select(
@@ -496,7 +497,7 @@ def apply_corrections(spark, d):
 )
 def worklist(spark, d):
     rows = W.worklist(T.images(spark, d).select("image_id"), T.truth(spark, d))
-    return rows.select("image_id", F.coalesce(F.size("annotations"), F.lit(0)).cast("bigint").alias("boxes"))
+    return rows.groupBy("image_id").agg(F.count("annotation_index").alias("boxes"))
 
 
 # Runs

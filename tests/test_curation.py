@@ -63,8 +63,11 @@ def test_copies_are_counted_without_listing_pairs(spark):
     assert N.cross_split_pair_count(df, links).first()[0] == want
     pairs = N.near_pairs(df, links)
     assert pairs.count() == want
-    listed = N.first_candidates(pairs, want, 10).collect()
-    assert len(listed) == 10 and listed[0]["truncated"] and listed[0]["total"] == want
+    listed = [(r["first_ordinal"], r["second_ordinal"]) for r in N.first_candidates(df, links, 10).collect()]
+    every = sorted((r["first_ordinal"], r["second_ordinal"]) for r in pairs.collect())
+    assert listed == every[:10]
+    row = N.first_candidates(df, links, 10).first()
+    assert row["truncated"] and row["total"] == want
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -221,6 +224,23 @@ def test_table_digest_ignores_order_and_sees_changes(spark):
     assert H.table_digest(df.union(df)).first()["rows"] == 400
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 100])
+def test_percentiles_interpolate(spark, size):
+    from detlake.operators.stats import latency_summary
+
+    rng = random.Random(size)
+    values = [float(rng.randint(0, 20)) for _ in range(size)]
+    row = latency_summary(spark.createDataFrame([(v,) for v in values], "v double"), "v").first()
+    ordered = sorted(values)
+
+    def at(q):
+        place = q * (size - 1)
+        low = int(place)
+        return ordered[low] + (ordered[min(low + 1, size - 1)] - ordered[low]) * (place - low)
+
+    assert tuple(row) == pytest.approx((sum(values) / size, at(0.5), at(0.95)))
+
+
 def test_text_predicates(spark):
     rows = [("12-3-4.png", "x_10eAB_1.jpg", "p/a.rf.123.jpg", "k_Cur.jpg"), ("odd.png", "TL09-2", "b.jpg", "k_Ref.jpg")]
     df = spark.createDataFrame(rows, "n string, b string, e string, p string")
