@@ -860,14 +860,30 @@ def fenced_results(spark, d):
     return E.fenced_results_batch(_commands(spark, d, T.events(spark, d)))
 
 
-@query("fenced_results_stream")
+@query(
+    "fenced_results_stream",
+    _COMMANDS_SQL + """, k AS (SELECT user_id, event_id, kind, tm, CASE WHEN kind = 'claim' THEN event_id ELSE token END AS token,
+     tm + 43200 AS lim, row_number() OVER (PARTITION BY user_id ORDER BY tm, event_id) AS rk FROM h),
+    walk AS (WITH RECURSIVE s(user_id, rk, event_id, token, lim, att, outcome) AS (
+      SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, 0::DOUBLE, 0, NULL::VARCHAR FROM k
+      UNION ALL SELECT r.user_id, r.rk, r.event_id,
+       CASE WHEN r.kind = 'claim' THEN CASE WHEN s.token IS NOT NULL AND s.lim > r.tm THEN s.token WHEN s.att >= 3 THEN NULL ELSE r.token END
+         WHEN s.lim > r.tm AND s.token = r.token THEN NULL ELSE s.token END,
+       CASE WHEN r.kind = 'claim' AND NOT (s.token IS NOT NULL AND s.lim > r.tm) AND s.att < 3 THEN r.lim ELSE s.lim END,
+       CASE WHEN r.kind = 'claim' AND NOT (s.token IS NOT NULL AND s.lim > r.tm) AND s.att < 3 THEN s.att + 1 ELSE s.att END,
+       CASE WHEN r.kind = 'claim' THEN CASE WHEN s.token IS NOT NULL AND s.lim > r.tm THEN 'claim_refused' WHEN s.att >= 3
+         THEN 'retry_limit_exceeded' ELSE 'claimed' END WHEN s.lim > r.tm AND s.token = r.token THEN 'accepted' ELSE 'stale' END
+      FROM s JOIN k r ON r.user_id = s.user_id AND r.rk = s.rk + 1) SELECT * FROM s WHERE rk > 0)
+    SELECT CAST(user_id AS VARCHAR) AS inspection_id, CAST(event_id AS VARCHAR) AS event_id, outcome FROM walk""",
+)
 def fenced_results_stream(spark, d):
-    """The stateful form; no SQL counterpart, compared with a plain replay in the tests."""
+    """The stateful form: tokens, leases and used attempts are followed per job."""
     commands = _commands(spark, d, T.events(spark, d))
     path = E.scratch_path(spark, "commands")
     commands.write.parquet(path)
     stream = E.read_stream(spark, path, commands.schema)
-    return E.run_to_table(E.fenced_results(stream, "60 days"), "fenced")
+    verdicts = E.run_to_table(E.fenced_results(stream, "60 days"), "fenced")
+    return verdicts.select("inspection_id", "event_id", "outcome")
 
 
 @query(
