@@ -229,8 +229,12 @@ def average_precision(
         hits, truth = hits.join(groups, "image_id"), truth.join(groups, "image_id")
     hits = stored(hits, "hits")
     keys = [*by, "category_id"]
-    positives = truth.groupBy(*keys).agg(
-        F.count("*").alias("npos"), F.count_distinct("image_id").alias("positive_images")
+    # One row per class, read three times below.
+    positives = stored(
+        truth.groupBy(*keys).agg(
+            F.count("*").alias("npos"), F.count_distinct("image_id").alias("positive_images")
+        ),
+        "positives",
     )
     curve = precision_curve(hits, positives, by)
     precision = curve.groupBy(*keys).agg(

@@ -17,13 +17,12 @@ def running_totals(
     df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]
 ) -> DataFrame:
     """Add ``sums`` accumulated up to and including each row. ``order`` must be unique per key."""
-    named = df.withColumns({f"_add_{n}": c for n, c in sums.items()})
     ranged = stored(
-        named.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(
+        df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(
             "_range", F.spark_partition_id()
         ),
         "ranges",
-    )
+    ).withColumns({f"_add_{n}": c for n, c in sums.items()})
     here = [*keys, "_range"]
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1

@@ -1,4 +1,8 @@
-"""Audit, near-duplicate, grouping, split and validation queries."""
+"""Audit, near-duplicate, grouping, split and validation queries.
+
+Every query reads its whole tables. Conditions on remainders plant the defects a query has
+to find (a missing row, a changed value); they never shorten the work.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Scoring, review, run, job and stream queries."""
+"""Scoring, review, run, job and stream queries.
+
+Every query reads its whole tables. Conditions on remainders plant the defects a query has
+to find (a missing row, a changed value); they never shorten the work.
+"""
 
 from __future__ import annotations
 
@@ -105,7 +109,7 @@ def sql_functions(spark, d):
 _LEDGER_SQL = """WITH led AS (SELECT conv_id AS case_id, role AS reviewer, turn AS revision, CASE length(text) % 4 WHEN 0 THEN
   'needs_reference' WHEN 1 THEN 'unrelated' ELSE 'related' END AS answer, length(text) % 5 AS late FROM conversations),
 cur AS (SELECT case_id, reviewer, arg_max(answer, revision) AS answer FROM led GROUP BY 1, 2),
-cat AS (SELECT c_custkey AS case_id FROM customer WHERE c_custkey < 5000),
+cat AS (SELECT c_custkey AS case_id FROM customer),
 st AS (SELECT case_id, count(*) AS reviews, CASE WHEN count(DISTINCT answer) > 1 THEN 'conflicting'
   WHEN count_if(answer = 'needs_reference') > 0 THEN 'needs_reference' ELSE 'recorded' END AS status FROM cur GROUP BY 1),
 states AS (SELECT case_id, coalesce(reviews, 0) AS reviews, coalesce(status, 'unreviewed') AS status
@@ -130,7 +134,7 @@ def _ledger(spark, d):
 
 
 def _catalog(spark, d):
-    return T.read(spark, d, "customer").filter("c_custkey < 5000").select(
+    return T.read(spark, d, "customer").select(
         F.col("c_custkey").alias("case_id"), F.lit("near").alias("kind"), F.col("c_name").alias("search")
     )
 
@@ -178,9 +182,9 @@ def replay_differences(spark, d):
 
 @query(
     "decision_issues",
-    "SELECT CASE WHEN role = 'system' THEN 'invalid_reviewer' WHEN turn % 5 = 4 THEN 'invalid_review_time' WHEN conv_id >= 60"
+    "SELECT CASE WHEN role = 'system' THEN 'invalid_reviewer' WHEN turn % 5 = 4 THEN 'invalid_review_time' WHEN conv_id % 3 = 0"
     " THEN 'unknown_case' WHEN length(text) > 4000 OR trim(text) = '' THEN 'invalid_rationale' WHEN turn % 5 = 3 THEN 'wrong_fields'"
-    " ELSE 'invalid_answer' END AS reason, count(*) AS n FROM conversations WHERE role = 'system' OR turn % 5 = 4 OR conv_id >= 60"
+    " ELSE 'invalid_answer' END AS reason, count(*) AS n FROM conversations WHERE role = 'system' OR turn % 5 = 4 OR conv_id % 3 = 0"
     " OR length(text) > 4000 OR trim(text) = '' OR turn % 5 >= 2 GROUP BY 1",
 )
 def decision_issues(spark, d):
@@ -197,7 +201,7 @@ def decision_issues(spark, d):
             .otherwise(F.col("answers")),
         }
     )
-    found = W.decision_issues(decisions, _catalog(spark, d).filter("case_id < 60"), "packet")
+    found = W.decision_issues(decisions, _catalog(spark, d).filter("case_id % 3 <> 0"), "packet")
     return found.groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -230,7 +234,7 @@ def chain_breaks(spark, d):
 
 @query(
     "decision_template",
-    "SELECT c_custkey AS case_id, 'relationship' AS field, 'none' AS answer FROM customer WHERE c_custkey < 5000",
+    "SELECT c_custkey AS case_id, 'relationship' AS field, 'none' AS answer FROM customer",
 )
 def decision_template(spark, d):
     blank = W.decision_template(_catalog(spark, d), "packet")
@@ -241,7 +245,7 @@ def decision_template(spark, d):
 
 @query(
     "case_search",
-    "SELECT c_custkey AS case_id FROM customer WHERE c_custkey < 5000 AND lower(c_name) LIKE '%#0000001%'"
+    "SELECT c_custkey AS case_id FROM customer WHERE lower(c_name) LIKE '%#0000001%'"
     " AND c_custkey NOT IN (SELECT conv_id FROM conversations)",
 )
 def case_search(spark, d):
