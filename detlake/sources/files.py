@@ -41,7 +41,7 @@ def object_listing(spark: SparkSession, path: str, root: str | None = None) -> D
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     )
     prefix = (root or path).rstrip("/") + "/"
-    key = F.element_at(F.split("path", prefix, 2), -1)
+    key = F.substr("path", F.instr("path", prefix) + F.lit(len(prefix)))
     return listing.select(
         key.alias("image_key"), F.col("modificationTime").alias("modified_at"), "length"
     )
