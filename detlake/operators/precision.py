@@ -217,10 +217,12 @@ def average_precision(
     by: list[str] | None = None,
     images: DataFrame | None = None,
     pair_limit: int = PAIR_LIMIT,
+    classes: list[int] | None = None,
 ) -> DataFrame:
     """AP50:95, AP50 and AR100 per class, and overall with category_id NULL.
 
     ``by`` lists columns of ``images`` (such as a source group) to report separately.
+    ``classes`` adds classes without truth: no boxes, NULL metrics, no part in the means.
     """
     by = by or []
     hits = detection_hits(truth, predictions, pair_limit)
@@ -256,6 +258,11 @@ def average_precision(
             "positive_images",
         )
     )
+    if classes is not None:
+        ids = F.explode(F.array(*[F.lit(c).cast("bigint") for c in classes]))
+        groups = positives.select(*by).distinct() if by else truth.sparkSession.range(1)
+        frame = groups.select(*by, ids.alias("category_id"))
+        per_class = frame.join(per_class, keys, "left").na.fill(0, ["instances", "positive_images"])
     return per_class.groupingSets([keys, by], *keys).agg(
         F.avg("ap50_95").alias("ap50_95"),
         F.avg("ap50").alias("ap50"),

@@ -15,6 +15,8 @@ from detlake import schemas
 DISPLAY_THRESHOLD = 0.70
 EXPERIMENTAL_THRESHOLD = 0.25
 HIGH_CONFIDENCE = 0.90
+DISPLAY_POLICY = "provisional-1"
+EXPERIMENTAL_POLICY = "portfolio-display-0.25-v1"
 CRITICAL_TYPES = ["solder_bridge", "missing_component"]
 DEFECT_TYPES = [
     "short", "spur", "spurious_copper", "open", "mouse_bite", "hole_breakout",
@@ -124,7 +126,7 @@ def reports(
             "NO_VISIBLE_DEFECTS_DETECTED"
         )
     )
-    policy = "portfolio-display-0.25-v1" if experimental else "provisional-1"
+    policy = EXPERIMENTAL_POLICY if experimental else DISPLAY_POLICY
     return (
         inspections.join(grouped, "image_id", "left")
         .withColumns(

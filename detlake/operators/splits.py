@@ -13,7 +13,12 @@ def seeded_rank(seed, value, separator: str = ":") -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}{separator}"), value.cast("string")), 256)
 
 
-def grouped_split(groups: DataFrame, seed: str = "pcb-v1", share: float = 0.15) -> DataFrame:
+DEFAULT_SEED = "pcb-v1"  # fixed value: assignments depend on it
+
+
+def grouped_split(
+    groups: DataFrame, seed: str = DEFAULT_SEED, share: float = 0.15
+) -> DataFrame:
     """Assign whole groups: the first share to test, the next to validation, rest train."""
     distinct = groups.select("group_id").distinct()
     ranked = numbered(
