@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from detlake.llm import quality
+from detlake.llm import quality, token_count
 
 QUERIES = {
+    "op1_token_counts": token_count.op1_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
 }
 
