@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from detlake.llm import quality, token_count
+from detlake.llm import exact_dedup, mixing, quality, token_count, token_files
 
 QUERIES = {
     "op1_token_counts": token_count.op1_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op6_token_files": token_files.op6_token_files,
+    "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op9_exact_dedup": exact_dedup.OP9_SQL,
+}

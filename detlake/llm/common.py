@@ -40,3 +40,21 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: A group is hot if it holds more than this share of all rows; so there are at most its inverse.
+HOT_SHARE = 1 / 256
+
+
+def join_by_group(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, one row a group of ``size`` rows, on ``key``.
+
+    Groups above ``HOT_SHARE`` of all rows, of which there can be 256 at most, are joined by
+    broadcast, so that no task gathers a hot group; all others by an ordinary join. ``key``
+    must not be null.
+    """
+    least = facts.agg((F.coalesce(F.sum(size), F.lit(0)) * HOT_SHARE).alias("n")).first()["n"]
+    hot = F.col(size) > max(least, 1)
+    few = facts.filter(hot)
+    rare = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(facts.filter(~hot), key)
+    return rows.join(F.broadcast(few), key).unionByName(rare)
