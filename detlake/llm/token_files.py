@@ -23,9 +23,11 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,36 +49,33 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
 def _write_ids(folder: str, path: str, end_id: int):
     """Encode the rows of a partition and write one shard; its counts are the result."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sizes, keys, out, first_tie = word_encoder(path), [], [], None, 0
         end = np.asarray([end_id], encoder.form).tobytes()
         files, root = open_folder(folder)
         name = uuid.uuid4().hex
-        for frame in frames:
+        for batch in batches:
             if out is None:
-                first_tie = int(frame["tie"].iloc[0])
+                first_tie = batch.column("tie")[0].as_py()
                 files.create_dir(root, recursive=True)
                 out = files.open_output_stream(f"{root}/{name}.ids.part")
-            for key, text in zip(frame["key"], frame["text"], strict=True):
-                ids = encoder.encode(text) + end
+            keys += batch.column("key").to_pylist()
+            for text in batch.column("text"):
+                ids = encoder.encode(text.as_py()) + end
                 out.write(ids)
                 sizes.append(len(ids) // encoder.width)
-                keys.append(key)
         if out is None:
             return
         out.close()
         files.move(f"{root}/{name}.ids.part", f"{root}/{name}.ids")
-        known = pd.array(keys, dtype="Int64")
-        null = known.isna()
-        body = np.concatenate(
-            [np.cumsum([0, *sizes]), known.fillna(0).to_numpy("int64")]
-        ).astype("<i8").tobytes() + null.astype(np.uint8).tobytes()
+        numbers = [*accumulate(sizes, initial=0), *(k or 0 for k in keys)]
+        body = np.asarray(numbers, "<i8").tobytes() + bytes(k is None for k in keys)
         with files.open_output_stream(f"{root}/{name}.local") as local:
             local.write(body)
-        first = None if null[0] else int(known[0])
-        yield pd.DataFrame(
-            {"first_key": pd.array([first], "Int64"), "first_tie": [first_tie],
-             "shard": [name], "docs": [len(sizes)], "ids": [int(sum(sizes))]}
+        yield pa.RecordBatch.from_pylist(
+            [{"first_key": keys[0], "first_tie": first_tie, "shard": name, "docs": len(sizes), "ids": sum(sizes)}],
+            pa.schema([("first_key", pa.int64()), ("first_tie", pa.int64()), ("shard", pa.string()),
+                       ("docs", pa.int64()), ("ids", pa.int64())]),
         )
 
     return run
@@ -117,7 +116,7 @@ def write_token_files(
     # The digest splits a key that many rows share; it also settles the order of ties.
     ranged = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("key", "tie")
     shards = stored(
-        ranged.sortWithinPartitions("key", "tie", "text").mapInPandas(
+        ranged.sortWithinPartitions("key", "tie", "text").mapInArrow(
             _write_ids(folder, path, end_id), _SHARDS
         ),
         "token-shards",
