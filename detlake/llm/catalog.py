@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
-from detlake.llm import exact_dedup, mixing, quality, token_count, token_files
+from detlake.llm import (
+    context_tree,
+    exact_dedup,
+    html_text,
+    mixing,
+    near_join,
+    personal,
+    pieces,
+    quality,
+    token_count,
+    token_files,
+)
 
 QUERIES = {
     "op1_token_counts": token_count.op1_token_counts,
+    "op2_context_tree": context_tree.op2_context_tree,
+    "op3_near_join": near_join.op3_near_join,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_personal_data": personal.op5_personal_data,
     "op6_token_files": token_files.op6_token_files,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
+    "op8_html_text": html_text.op8_html_text,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
