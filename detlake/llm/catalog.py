@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from detlake.llm import (
     context_tree,
     exact_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

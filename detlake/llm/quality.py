@@ -52,7 +52,7 @@ RULES = (
     Rule("shouts_per_word", "n_shouts", "n_words", high=0.2),
     Rule("stop_words", "n_stop_words", "n_words", low=0.02),
     Rule("words_with_letter", "n_letter_words", "n_words", low=0.7),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=0.3),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=0.4),
 )
 
 
