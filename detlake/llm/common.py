@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The white space that ends a word.
 WHITE = r"[\x20\x09-\x0D]"
@@ -58,3 +61,36 @@ def join_by_group(rows: DataFrame, facts: DataFrame, key: str, size: str) -> Dat
     few = facts.filter(hot)
     rare = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(facts.filter(~hot), key)
     return rows.join(F.broadcast(few), key).unionByName(rare)
+
+
+def with_computed(
+    df: DataFrame, column: str, kinds: dict[str, str], start: Callable, keep: bool = False
+) -> DataFrame:
+    """``df`` with the columns ``kinds`` (name to SQL type) computed by Python from ``column``.
+
+    ``start()`` runs once a task and gives a function from an Arrow array of values to one
+    list for each new column. All other columns travel as one struct, whatever their names
+    and types; those named like a new one (case ignored) are replaced. ``column`` itself is
+    dropped unless ``keep``.
+    """
+    names = list(kinds)
+    taken = {n.lower() for n in names}
+    rest = [c for c in df.columns if c.lower() not in taken and (keep or c != column)]
+    packed = df.select(
+        F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)]).alias("row"),
+        F.col(f"`{column}`").alias("value"),
+    )
+    new = df.sparkSession.createDataFrame([], ", ".join(f"{n} {k}" for n, k in kinds.items())).schema
+    schema = T.StructType([packed.schema["row"], *new.fields])
+    arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for batch in batches:
+            made = compute(batch.column(1))
+            arrays = [pa.array(v, arrow[kinds[n]]) for n, v in zip(names, made, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["row", *names])
+
+    return packed.mapInArrow(run, schema).select(
+        *[F.col(f"row._{i}").alias(c) for i, c in enumerate(rest)], *names
+    )

@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from detlake.llm.common import with_computed
+
 # Tags that end a block, tags without content, tags whose content is no text.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -168,6 +168,15 @@ LABELLED = """
 2 1.0 80 0.0 60 0.0 0 1 0 0 1
 9 1.0 45 0.0 30 0.0 0 1 0 0 1
 15 0.6 50 0.0 70 0.0 0 1 0 0 1
+5 0.0 40 0.0 6 0.5 0 1 0 0 1
+1 0.0 30 0.0 2 0.5 0 1 0 0 1
+1 0.0 9 1.0 3 1.0 0 1 0 0 1
+12 0.0 4 0.0 5 1.0 0 1 1 0 1
+4 1.0 5 1.0 4 1.0 0 1 0 1 1
+5 1.0 4 1.0 1 0.0 0 1 0 1 1
+1 0.0 5 1.0 0 0.0 0 1 0 0 1
+2 0.0 0 0.0 0 0.0 0 1 0 0 1
+3 0.5 4 1.0 0 0.0 0 1 0 0 1
 45 0.0 5 0.0 50 0.0 0 0 0 0 1
 80 0.03 45 0.0 60 0.0 0 0 0 0 1
 25 0.0 80 0.0 45 0.1 0 0 0 0 1
@@ -177,6 +186,23 @@ LABELLED = """
 5 0.0 60 0.0 60 0.0 0 0 0 0 1
 4 0.0 40 0.0 25 0.0 0 0 1 0 1
 18 0.0 30 0.0 22 0.0 0 0 0 1 1
+40 0.0 30 0.0 2 1.0 0 0 0 0 1
+35 0.0 0 0.0 0 0.0 0 0 0 0 1
+60 0.0 10 0.0 3 0.0 0 0 0 0 1
+28 0.05 20 0.0 4 1.0 0 0 0 0 1
+18 0.0 0 0.0 0 0.0 0 0 0 0 1
+21 0.1 3 1.0 2 0.0 0 0 0 0 1
+90 0.0 2 1.0 1 1.0 0 0 0 0 1
+8 0.0 40 0.0 3 1.0 0 0 0 0 1
+4 0.0 35 0.0 2 1.0 0 0 0 0 1
+2 0.0 28 0.0 30 0.0 0 0 0 0 1
+5 0.0 0 0.0 0 0.0 0 0 0 0 1
+4 1.0 3 1.0 50 0.0 0 0 0 0 0
+2 1.0 1 1.0 45 0.0 0 0 0 1 0
+5 1.0 60 0.0 4 1.0 0 0 0 0 0
+3 0.8 45 0.0 0 0.0 0 0 0 0 0
+20 0.9 60 0.0 18 0.9 0 0 0 0 0
+2 0.0 5 0.0 3 0.0 0 0 0 0 0
 3 0.0 1 1.0 2 1.0 0 0 0 0 0
 2 1.0 3 1.0 2 1.0 0 0 0 1 0
 6 1.0 2 1.0 4 1.0 0 0 0 1 0
@@ -247,17 +273,8 @@ def extract_text(df: DataFrame, page: str = "html", out: str = "text") -> DataFr
     Null and empty pages give "". A column named like ``out`` is replaced; other columns
     and repeated rows pass unchanged; an empty table gives an empty table.
     """
-    df = df.drop(*[c for c in df.columns if c.lower() == out.lower() and c != page])
-    source = F.coalesce(F.col(f"`{page}`").cast("string"), F.lit("")).alias(page)
-    rest = [c for c in df.columns if c != page]
-    schema = df.select(*[F.col(f"`{c}`") for c in rest], F.lit("").alias(out)).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([main_text(v.as_py()) for v in batch.column(len(rest))], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], [*rest, out])
-
-    return df.select(*[F.col(f"`{c}`") for c in rest], source).mapInArrow(run, schema)
+    source = df.withColumn(page, F.coalesce(F.col(f"`{page}`").cast("string"), F.lit("")))
+    return with_computed(source, page, {out: "string"}, lambda: lambda pages: [[main_text(v.as_py()) for v in pages]])
 
 
 def op8_html_text(spark, sf_dir: str) -> DataFrame:

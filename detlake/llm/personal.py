@@ -14,11 +14,9 @@ from collections.abc import Iterator
 from functools import cache
 from itertools import pairwise
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from detlake.llm.common import whole_text
+from detlake.llm.common import whole_text, with_computed
 
 # Kinds in the order in which spans of one start are listed.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -160,25 +158,15 @@ def _listed(spans) -> str:
     return ",".join(f"{kind}:{low}:{high}" for low, _, kind, high in spans)
 
 
-def _marked(text: str, names: dict[str, str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            rows = []
-            for value in batch.column(at):
-                spans = find_spans(value.as_py())
-                base = [s for s in spans if s[2] in BASE_KINDS]
-                counts = [sum(s[2] == k for s in base) for k in BASE_KINDS]
-                rows.append((*counts, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(spans)))
-            keep = [i for i in range(batch.num_columns) if i != at]
-            new = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in keep), *(pa.array(v, k) for v, k in zip(new, kinds, strict=True))],
-                [*(batch.schema.names[i] for i in keep), *names],
-            )
-
-    return run
+def _marks(texts) -> list[tuple]:
+    """Columns: counts of the base kinds, the digest of their spans, all spans."""
+    rows = []
+    for text in texts:
+        spans = find_spans(text.as_py())
+        base = [s for s in spans if s[2] in BASE_KINDS]
+        counts = [sum(s[2] == k for s in base) for k in BASE_KINDS]
+        rows.append((*counts, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(spans)))
+    return list(zip(*rows, strict=True)) if rows else [()] * (len(BASE_KINDS) + 2)
 
 
 def personal_data(df: DataFrame, text: str = "text") -> DataFrame:
@@ -187,12 +175,8 @@ def personal_data(df: DataFrame, text: str = "text") -> DataFrame:
     ``spans`` lists kind:start:end of all kinds by start. Null and empty texts have none.
     Columns of these names are replaced; an empty table gives an empty table.
     """
-    names = {**{f"n_{k}": "long" for k in BASE_KINDS}, "base_sha256": "string", "spans": "string"}
-    df = df.drop(*[c for c in df.columns if c.lower() in names and c != text])
-    schema = df.drop(text)
-    for name, kind in names.items():
-        schema = schema.withColumn(name, F.lit(None).cast(kind))
-    return df.withColumn(text, whole_text(f"`{text}`")).mapInArrow(_marked(text, names), schema.schema)
+    kinds = {**{f"n_{k}": "long" for k in BASE_KINDS}, "base_sha256": "string", "spans": "string"}
+    return with_computed(df.withColumn(text, whole_text(f"`{text}`")), text, kinds, lambda: _marks)
 
 
 def op5_personal_data(spark, sf_dir: str) -> DataFrame:

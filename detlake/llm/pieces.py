@@ -22,11 +22,10 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from detlake.llm.common import fresh, whole_text
+from detlake.llm.common import fresh, whole_text, with_computed
 from detlake.session import stored
 
 MARK = "▁"
@@ -388,15 +387,20 @@ def encode_giants(texts: DataFrame, path: str, chunk: int, unigram: bool | None
     )
 
 
-def _ids_of(path: str, text: str, out: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ids_of(path: str):
+    def start():
         model = piece_model(path)
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            ids = [model.encode(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*batch.schema.names, out])
+        return lambda texts: [[model.encode(t.as_py()) for t in texts]]
 
-    return run
+    return start
+
+
+def _texts_of(path: str):
+    def start():
+        model = piece_model(path)
+        return lambda ids: [[v.as_py() if v.as_py() is None else model.decode(v.as_py()) for v in ids]]
+
+    return start
 
 
 def encode_pieces(df: DataFrame, path: str, text: str = "text", out: str = "piece_ids", chunk: int = CHUNK_CHARS) -> DataFrame:
@@ -410,8 +414,7 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", out: str = "piec
     df = df.withColumn(text, whole_text(f"`{text}`"))
     key = fresh(df, "text_key")
     giant = F.length(F.col(f"`{text}`")) > chunk
-    schema = df.withColumn(out, F.lit(None).cast("binary")).schema
-    small = df.filter(~giant).mapInArrow(_ids_of(path, text, out), schema)
+    small = with_computed(df.filter(~giant), text, {out: "binary"}, _ids_of(path), keep=True)
     large = df.filter(giant).withColumn(key, F.sha2(F.col(f"`{text}`"), 256))
     texts = large.groupBy(F.col(key).alias("key")).agg(F.first(F.col(f"`{text}`")).alias("text"))
     ids = encode_giants(texts, path, chunk).select(F.col("key").alias(key), F.col("ids").alias(out))
@@ -420,17 +423,7 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", out: str = "piec
 
 def decode_pieces(df: DataFrame, path: str, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
     """``df`` with ``out``, the text of packed ids; null ids give null."""
-    df = df.drop(*[c for c in df.columns if c.lower() == out.lower() and c != ids])
-    schema = df.withColumn(out, F.lit("").cast("string")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = piece_model(path)
-        for batch in batches:
-            values = [v.as_py() for v in batch.column(batch.schema.get_field_index(ids))]
-            texts = pa.array([None if v is None else model.decode(v) for v in values], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, out])
-
-    return df.mapInArrow(run, schema)
+    return with_computed(df, ids, {out: "string"}, _texts_of(path), keep=True)
 
 
 def piece_report(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -122,7 +122,7 @@ def text_measures(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def rule_passes(rule: Rule, measures: str = "measures") -> Column:
-    ratio = F.col(f"{measures}.{rule.numerator}") / F.col(f"{measures}.{rule.denominator}")
+    ratio = F.try_divide(F.col(f"{measures}.{rule.numerator}"), F.col(f"{measures}.{rule.denominator}"))
     held = F.lit(True)
     if rule.low is not None:
         held = held & (ratio >= F.lit(rule.low))

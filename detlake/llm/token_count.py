@@ -14,11 +14,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from detlake.llm.common import fresh, whole_text
+from detlake.llm.common import fresh, whole_text, with_computed
 from detlake.llm.word_encoder import word_encoder
 from detlake.session import stored
 
@@ -30,19 +29,12 @@ _CHUNKS = "key string, k int, chunks int, begin long, next long, piece string"
 _MARKS = "key string, k int, chunks int, n long, head map<long,long>, tail map<long,long>"
 
 
-def _counted(path: str, text: str, out: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counter(path: str):
+    def start():
         encoder = word_encoder(path)
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            counts = [len(encoder.encode(t.as_py() or "")) // encoder.width for t in batch.column(at)]
-            keep = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in keep), pa.array(counts, pa.int64())],
-                [*(batch.schema.names[i] for i in keep), out],
-            )
+        return lambda texts: [[len(encoder.encode(t.as_py())) // encoder.width for t in texts]]
 
-    return run
+    return start
 
 
 def _cut(chunk_chars: int):
@@ -153,8 +145,7 @@ def count_tokens(
     key = fresh(df, "text_key")
     rest = [c for c in df.columns if c != text]
     huge = F.length(F.col(f"`{text}`")) > chunk_chars
-    schema = df.drop(text).withColumn(out, F.lit(0).cast("long")).schema
-    small = df.filter(~huge).mapInArrow(_counted(path, text, out), schema)
+    small = with_computed(df.filter(~huge), text, {out: "long"}, _counter(path))
     large = df.filter(huge).withColumn(key, F.sha2(F.col(f"`{text}`"), 256))
     texts = large.groupBy(F.col(key).alias("key")).agg(F.first(F.col(f"`{text}`")).alias("text"))
     counts = count_huge(texts, path, chunk_chars, overlap).withColumnRenamed("key", key).select(
