@@ -281,11 +281,14 @@ def first_candidates(df: DataFrame, links: DataFrame, limit: int = 100) -> DataF
     )
 
 
-def orientation_links(df: DataFrame, phash_k: int = 12, ahash_k: int = 8) -> DataFrame:
+def orientation_links(
+    df: DataFrame, phash_k: int = 12, ahash_k: int = 8, phash_bits: int = 63, ahash_bits: int = 64
+) -> DataFrame:
     """Pairs of images, a before b, close in any orientation of b by either signature.
 
-    ``df``: ordinal, image_id, family, phash ARRAY (63 bits), ahash ARRAY (64 bits), the
-    unturned signature first. Pairs of one family are left out.
+    ``df``: ordinal, image_id, family, phash ARRAY, ahash ARRAY, the unturned signature
+    first. The bits must be those that signatures really have: a band of bits that are the
+    same in all rows would bring every pair together. Pairs of one family are left out.
     """
     def closest(column: str, k: int, width: int) -> DataFrame:
         plain = df.select(F.get(column, F.lit(0)).alias("signature"))
@@ -313,8 +316,8 @@ def orientation_links(df: DataFrame, phash_k: int = 12, ahash_k: int = 8) -> Dat
             .select("first_ordinal", "second_ordinal")
         )
 
-    found = met("phash", closest("phash", phash_k, 63)).union(
-        met("ahash", closest("ahash", ahash_k, 64))
+    found = met("phash", closest("phash", phash_k, phash_bits)).union(
+        met("ahash", closest("ahash", ahash_k, ahash_bits))
     ).distinct()
 
     def side(name: str) -> DataFrame:

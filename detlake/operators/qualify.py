@@ -9,6 +9,7 @@ from detlake.functions import geometry as G
 from detlake.operators.errors import _at, error_counts
 from detlake.operators.running import running_totals
 
+# Reporting thresholds and precision floors.
 DIAGNOSTIC_THRESHOLDS = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95)
 PRECISION_FLOORS = (0.5, 0.8, 0.9, 0.95)
 
@@ -70,7 +71,10 @@ def candidate_thresholds(matches: DataFrame) -> DataFrame:
 
 
 def frontier(truth: DataFrame, matches: DataFrame, board_rows: DataFrame) -> DataFrame:
-    """Counts at every distinct global threshold; equal scores enter together."""
+    """Counts at every distinct global threshold; equal scores enter together.
+
+    ``matches`` must be those of ``truth``, and ``board_rows`` list every board.
+    """
     taken = F.col("outcome") == "matched"
     zero = F.lit(0).cast("bigint")
     steps = (
@@ -100,17 +104,16 @@ def frontier(truth: DataFrame, matches: DataFrame, board_rows: DataFrame) -> Dat
         [F.desc("score_threshold")],
         {c: F.col(f"_{c}") for c in ("tp", "fp", "flagged", "positives")},
     )
-    facts = board_rows.agg(
-        F.sum("labels").alias("labels"), F.count_if(F.col("labels") > 0).alias("positive")
-    ).first()
+    labels = truth.count()
+    positive = board_rows.filter(F.col("labels") > 0).count()
     return G.with_rates(
         totals.select(
             "score_threshold",
             "tp",
             "fp",
-            (F.lit(facts["labels"] or 0) - F.col("tp")).alias("fn"),
+            (F.lit(labels) - F.col("tp")).alias("fn"),
             F.col("flagged").alias("flagged_boards"),
-            (F.lit(facts["positive"] or 0) - F.col("positives")).alias(
+            (F.lit(positive) - F.col("positives")).alias(
                 "positive_boards_without_flag"
             ),
         )

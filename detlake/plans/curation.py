@@ -64,13 +64,13 @@ def class_statistics(spark, d):
 @query(
     "archive_summary",
     f"WITH {BASE_SQL}, t AS (SELECT image_id, x + 30 AS x1, y AS y1, x + 30 + w AS x2, y + h AS y2"
-    " FROM truth), v AS (SELECT image_id, count(*) AS n, count_if(x2 <= 640) AS ok,"
-    " sum((x2-x1)*(y2-y1)/307200) FILTER (x2 <= 640) AS f FROM t GROUP BY 1),"
-    " i AS (SELECT o_orderkey AS image_id, o_totalprice AS lum, 640 * (480 + o_custkey % 100) AS px FROM orders)"
+    " FROM truth), i AS (SELECT o_orderkey AS image_id, o_totalprice AS lum, 640 * (480 + o_custkey % 100) AS px FROM orders),"
+    " v AS (SELECT image_id, count(*) AS n, count_if(x2 <= 640) AS ok,"
+    " sum((x2-x1)*(y2-y1)/px) FILTER (x2 <= 640) AS f FROM t JOIN i USING (image_id) GROUP BY 1)"
     " SELECT count(*) AS images, sum(coalesce(n, 0))::BIGINT AS annotations, max(px / 1e6) AS megapixels_max,"
     " min(px / 1e6) AS megapixels_min, round(avg(px / 1e6), 9) AS megapixels_mean,"
     " round(avg(lum), 4) AS mean_luminance, count_if(n IS NULL)::BIGINT AS negative_images,"
-    " count_if(px > 350000)::BIGINT AS oversized_images, sum(ok)::BIGINT AS valid_boxes FROM i LEFT JOIN v USING (image_id)",
+    " count_if(px > 350000)::BIGINT AS oversized_images, round(sum(f) / sum(ok), 9) AS mean_box_fraction FROM i LEFT JOIN v USING (image_id)",
 )
 def archive_summary(spark, d):
     images = T.read(spark, d, "orders").select(
@@ -80,13 +80,11 @@ def archive_summary(spark, d):
         F.col("o_totalprice").alias("mean_luminance"),
     )
     boxes = xyxy(T.truth(spark, d).withColumn("x", F.col("x") + 30))
-    summary = D.archive_summary(images, boxes, 350_000).drop("mean_box_fraction")
-    valid = boxes.filter("x2 <= 640").count()
-    return summary.withColumns(
+    return D.archive_summary(images, boxes, 350_000).withColumns(
         {
             "mean_luminance": F.round("mean_luminance", 4),
             "megapixels_mean": F.round("megapixels_mean", 9),
-            "valid_boxes": F.lit(valid).cast("bigint"),
+            "mean_box_fraction": F.round("mean_box_fraction", 9),
         }
     )
 
@@ -136,16 +134,15 @@ def duplicate_keys(spark, d):
     "latency_histogram",
     "WITH l AS (SELECT 'GET' AS method, event_type AS route, value / 100 AS seconds FROM events),"
     " b AS (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5,"
-    " 10.0]::DOUBLE[]) AS le) SELECT method, route, le, count(*) FILTER (seconds <= le) AS requests"
-    " FROM l, b GROUP BY 1, 2, 3",
+    " 10.0]::DOUBLE[] || ['inf'::DOUBLE]) AS le) SELECT method, route, le, count(*) FILTER (seconds <= le) AS requests,"
+    " round(sum(seconds), 6) AS total_seconds FROM l, b GROUP BY 1, 2, 3",
 )
 def latency_histogram(spark, d):
     log = T.read(spark, d, "events").select(
         F.lit("GET").alias("method"), F.col("event_type").alias("route"),
         (F.col("value") / 100).alias("seconds"),
     )
-    rows = D.latency_histogram(log).drop("total_seconds")
-    return rows.filter(F.col("le") < float("inf"))
+    return D.latency_histogram(log).withColumn("total_seconds", F.round("total_seconds", 6))
 
 
 @query(
@@ -727,7 +724,7 @@ def near_candidates(spark, d):
 )
 def orientation_links(spark, d):
     rows = T.signatures(spark, d).withColumns({"phash": F.col("turned"), "ahash": F.col("turned_b")})
-    return N.orientation_links(rows, 5, 3)
+    return N.orientation_links(rows, 5, 3, 32, 28)
 
 
 # Groups

@@ -19,11 +19,6 @@ def matches(spark, d):
     return M.match_detections(T.truth(spark, d), T.predictions(spark, d))
 
 
-def validation(spark, d, df):
-    keep = T.images(spark, d).filter("split = 'validation'").select("image_id")
-    return df.join(keep, "image_id", "left_semi")
-
-
 THRESHOLD_SQL = "(SELECT unnest([0.05, 0.25, 0.5]::DOUBLE[]) AS score_threshold)"
 POINT_SQL = "(SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.9, 0.95]::DOUBLE[]) AS score_threshold)"
 
@@ -297,21 +292,45 @@ def operating_points(spark, d):
     )
 
 
+# Qualification: finished orders of low priority stand for boards without defects, and wrong
+# classes get lower scores, so that precision rises with the threshold.
+_EMPTY_SQL = "(SELECT o_orderkey FROM orders WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'F')"
+
+
+def _qualified(sql: str) -> str:
+    score = "CAST((l_partkey*7 + l_suppkey*13) % 101 AS DOUBLE) / 100 AS score"
+    told = (
+        "CASE WHEN l_suppkey % 10 = 0 THEN CAST((l_partkey*7 + l_suppkey*13) % 101 AS DOUBLE) / 250 + 0.1::DOUBLE"
+        " ELSE CAST((l_partkey*7 + l_suppkey*13) % 101 AS DOUBLE) / 125 + 0.2::DOUBLE END AS score"
+    )
+    whole = "AS h FROM box_base),\npreds"
+    assert score in sql and whole in sql
+    return sql.replace(score, told).replace(
+        whole, f"AS h FROM box_base WHERE image_id NOT IN {_EMPTY_SQL}),\npreds"
+    )
+
+
 _BOARDS_SQL = """boards AS (SELECT i.image_id, i.group_id, coalesce(l.n, 0) AS labels, p.top_score
-   FROM imgs i LEFT JOIN (SELECT image_id, count(*) AS n FROM truth WHERE category_id <= 2 GROUP BY 1) l
+   FROM imgs i LEFT JOIN (SELECT image_id, count(*) AS n FROM truth GROUP BY 1) l
    USING (image_id) LEFT JOIN (SELECT image_id, max(score) AS top_score FROM preds GROUP BY 1) p
    USING (image_id))"""
 
 
-def _boards(spark, d):
-    """Only two classes count as labels here, so that some boards are empty."""
-    few = T.truth(spark, d).filter("category_id <= 2")
-    return Q.boards(T.images(spark, d), few, T.predictions(spark, d))
+def _qualification(spark, d):
+    """(truth, predictions, boards) in which some whole boards have no labels."""
+    empty = (
+        T.read(spark, d, "orders")
+        .filter("o_orderpriority = '5-LOW' AND o_orderstatus = 'F'")
+        .select(F.col("o_orderkey").alias("image_id"))
+    )
+    truth = T.truth(spark, d).join(empty, "image_id", "left_anti")
+    predictions = T.predictions(spark, d, told=True)
+    return truth, predictions, Q.boards(T.images(spark, d), truth, predictions)
 
 
 @query(
     "board_routing",
-    f"WITH {BASE_SQL}, {_BOARDS_SQL}, x AS (SELECT *, labels > 0 AS pos,"
+    f"WITH {_qualified(BASE_SQL)}, {_BOARDS_SQL}, x AS (SELECT *, labels > 0 AS pos,"
     " coalesce(top_score >= score_threshold, FALSE) AS flag FROM boards,"
     f" {POINT_SQL}), r AS (SELECT score_threshold, group_id, count(*) AS boards,"
     " count_if(pos)::BIGINT AS positive_boards, count_if(NOT pos)::BIGINT AS empty_boards,"
@@ -325,14 +344,14 @@ def _boards(spark, d):
     " round(empty_boards_flagged / nullif(empty_boards, 0), 9) AS empty_flag_rate FROM r",
 )
 def board_routing(spark, d):
-    r = Q.board_routing(_boards(spark, d))
+    r = Q.board_routing(_qualification(spark, d)[2])
     rates = ["flagged_fraction", "escape_rate", "empty_flag_rate"]
     return r.withColumn("group_id", F.coalesce("group_id", F.lit("all"))).withColumns(
         {c: F.round(c, 9) for c in rates}
     )
 
 
-_FRONTIER_SQL = f"""WITH {MATCH_SQL}, {_BOARDS_SQL},
+_FRONTIER_SQL = f"""WITH {_qualified(MATCH_SQL)}, {_BOARDS_SQL},
 th AS (SELECT DISTINCT score AS t FROM preds UNION SELECT 0.0::DOUBLE UNION SELECT 1.0::DOUBLE),
 pt AS (SELECT t AS score_threshold,
    (SELECT count(*) FROM matches m WHERE m.score >= t AND outcome = 'matched') AS tp,
@@ -341,13 +360,14 @@ pt AS (SELECT t AS score_threshold,
    (SELECT count(*) FROM boards b WHERE labels > 0) -
    (SELECT count(*) FROM boards b WHERE labels > 0 AND b.top_score >= t)
      AS positive_boards_without_flag FROM th),
-fr AS (SELECT *, (SELECT sum(labels) FROM boards)::BIGINT - tp AS fn FROM pt),
+fr AS (SELECT *, (SELECT count(*) FROM truth) - tp AS fn FROM pt),
 fp AS (SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall FROM fr)
 """
 
 
 def _frontier(spark, d):
-    return Q.frontier(T.truth(spark, d), matches(spark, d), _boards(spark, d))
+    truth, predictions, boards = _qualification(spark, d)
+    return Q.frontier(truth, M.match_detections(truth, predictions), boards)
 
 
 @query(
@@ -366,10 +386,10 @@ def threshold_frontier(spark, d):
     _FRONTIER_SQL + "SELECT f AS precision_floor,"
     " arg_max(score_threshold, (coalesce(recall, 0), -fp, score_threshold)) AS score_threshold,"
     " arg_max(tp, (coalesce(recall, 0), -fp, score_threshold)) AS tp FROM fp JOIN"
-    " (SELECT unnest([0.5, 0.8, 0.85, 0.88]::DOUBLE[]) AS f) ON precision >= f GROUP BY 1",
+    " (SELECT unnest([0.5, 0.85, 0.9, 0.92]::DOUBLE[]) AS f) ON precision >= f GROUP BY 1",
 )
 def best_at_precision(spark, d):
-    best = Q.best_at_precision(_frontier(spark, d), (0.5, 0.8, 0.85, 0.88))
+    best = Q.best_at_precision(_frontier(spark, d), (0.5, 0.85, 0.9, 0.92))
     return best.select("precision_floor", "score_threshold", "tp")
 
 
