@@ -20,8 +20,9 @@ scored in blocks: a block asks once for each of its distinct words and pairs.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -32,27 +33,32 @@ from pyspark.sql import functions as F
 from detlake.llm.common import parts_for, text_bytes, whole_text
 from detlake.session import stored
 
-DEPTH = 6
+DEPTH = 5
 SPLIT = 3
 BLOCK_BYTES = 16 << 20
 #: Distinct words that pass one table of counts in a task; it is then emptied.
 COUNTED_WORDS = 400_000
-WORD, PAIR = 0, 1
+#: Words that are spelled out at once.
+SPELLED_WORDS = 50_000
 _HALF = np.log(0.5)
 
 
-def tokens(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split()
+def tokens(text: bytes) -> list[bytes]:
+    """Words and, as an empty word, the end."""
+    words = text.lower().split()
+    words.append(b"")
+    return words
 
 
 def word_keys(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+    """63-bit hashes as negative numbers; keys of pairs are positive."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64) | np.int64(-(1 << 63))
 
 
 def pairs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all (context, byte) pairs of the words with their closing space, and word starts.
 
-    A key holds the context bytes from the last one down, then the byte: 7 bytes.
+    A key holds the context bytes from the last one down, then the byte: ``DEPTH`` + 1 bytes.
     """
     text = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -73,17 +79,20 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _items(words: list[bytes], counts: np.ndarray) -> pd.DataFrame:
-    pairs, starts = pairs_of(words)
-    lengths = np.diff(np.concatenate([starts, [len(pairs)]]))
-    pair_keys, pair_counts = _summed(pairs, np.repeat(counts, lengths))
-    return pd.DataFrame(
-        {
-            "kind": np.repeat([WORD, PAIR], [len(words), len(pair_keys)]).astype(np.int32),
-            "key": np.concatenate([word_keys(words), pair_keys]),
-            "n": np.concatenate([counts, pair_counts]).astype(np.int64),
-        }
-    )
+def _chunks(words: list[bytes]) -> Iterator[slice]:
+    for at in range(0, len(words), SPELLED_WORDS):
+        yield slice(at, at + SPELLED_WORDS)
+
+
+def _items(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the distinct words and of their pairs, with counts."""
+    keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+    for part in _chunks(words):
+        pairs, starts = pairs_of(words[part])
+        lengths = np.diff(np.concatenate([starts, [len(pairs)]]))
+        more, add = _summed(pairs, np.repeat(counts[part], lengths))
+        keys, sums = _summed(np.concatenate([keys, more]), np.concatenate([sums, add]))
+    return np.concatenate([word_keys(words), keys]), np.concatenate([counts, sums])
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,19 +103,18 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def drained() -> pd.DataFrame:
         for word in seen:
             train.setdefault(word, 0)
-        out = _items(list(train), np.fromiter(train.values(), np.int64, len(train)))
+        words, counts = list(train), np.fromiter(train.values(), np.int64, len(train))
         train.clear()
         seen.clear()
-        return out
+        keys, counts = _items(words, counts)
+        return pd.DataFrame({"key": keys, "n": counts})
 
     for frame in frames:
         for text, held in zip(frame["text"], frame["held_out"], strict=True):
-            words = tokens(text)
-            words.append(b"")
             if held:
-                seen.update(words)
+                seen.update(tokens(text))
             else:
-                train.update(words)
+                train.update(tokens(text))
             if len(train) + len(seen) > COUNTED_WORDS:
                 yield drained()
     if train or seen:
@@ -293,37 +301,33 @@ def pair_codes(pairs: DataFrame) -> DataFrame:
 
 
 def _asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct words and pairs of each block."""
     for frame in frames:
         for block, part in frame.groupby("block"):
-            words = list({w for t in part["text"] for w in tokens(t)} | {b""})
-            yield _items(words, np.zeros(len(words), np.int64))[["kind", "key"]].assign(block=block)
+            words: set[bytes] = set()
+            for text in part["text"]:
+                words.update(tokens(text))
+            keys, _ = _items(list(words), np.zeros(len(words), np.int64))
+            yield pd.DataFrame({"key": keys, "block": block})
 
 
 def _scored(n_train: int, distinct: int):
     rest = np.log10(n_train + distinct + 1)
 
     def run(docs: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        at = {}
-        split = [tokens(t) for t in docs["text"]]
-        for words in split:
-            words.append(b"")
-            for w in words:
-                at.setdefault(w, len(at))
-        known = []
-        for kind in (WORD, PAIR):
-            part = items[items["kind"] == kind].sort_values("key")
-            known.append((part["key"].to_numpy(), part["value"].to_numpy()))
+        at: defaultdict[bytes, int] = defaultdict(count().__next__)
+        places = [np.fromiter((at[w] for w in tokens(t)), np.int32) for t in docs["text"]]
         words = list(at)
-        keys, values = known[WORD]
+        order = np.argsort(items["key"].to_numpy())
+        keys, values = items["key"].to_numpy()[order], items["value"].to_numpy()[order]
         counts = values[np.searchsorted(keys, word_keys(words))]
-        pairs, starts = pairs_of(words)
-        keys, values = known[PAIR]
-        codes = np.add.reduceat(values[np.searchsorted(keys, pairs)], starts)
+        codes = np.empty(len(words))
+        for some in _chunks(words):
+            pairs, starts = pairs_of(words[some])
+            codes[some] = np.add.reduceat(values[np.searchsorted(keys, pairs)], starts)
         base = np.log10(counts + 1) - rest
-        rows = []
-        for words in split:
-            place = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-            rows.append((len(words), int((counts[place] > 0).sum()), base[place].sum(), codes[place].sum(), sum(map(len, words)) + len(words)))
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        rows = [(len(p), int((counts[p] > 0).sum()), base[p].sum(), codes[p].sum(), int(sizes[p].sum())) for p in places]
         out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score", "n_code_bytes"])
         return pd.concat([docs[["key", "held_out"]].reset_index(drop=True), out], axis=1)
 
@@ -344,24 +348,23 @@ def score_texts(df: DataFrame, held_out: Column, key: str = "doc_id", text: str
     docs = df.select(
         F.col(f"`{key}`").cast("string").alias("key"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
-        whole_text(f"`{text}`").alias("text"),
+        F.encode(whole_text(f"`{text}`"), "UTF-8").alias("text"),
     )
     blocks = parts_for(text_bytes(docs), BLOCK_BYTES)
-    counted = docs.select("held_out", "text").mapInPandas(_counted, "kind int, key long, n long")
-    model = stored(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts")
-    words = model.filter(F.col("kind") == WORD)
+    counted = docs.select("held_out", "text").mapInPandas(_counted, "key long, n long")
+    model = stored(counted.groupBy("key").agg(F.sum("n").alias("n")), "ctw-counts")
+    words, pairs = model.filter(F.col("key") < 0), model.filter(F.col("key") >= 0)
     facts = words.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")
     ).first()
-    codes = pair_codes(model.filter(F.col("kind") == PAIR).select("key", "n"))
-    values = words.select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(
-        codes.select(F.lit(PAIR).alias("kind"), "key", F.col("code").alias("value"))
+    values = words.select("key", F.col("n").cast("double").alias("value")).unionByName(
+        pair_codes(pairs).withColumnRenamed("code", "value")
     )
     values = stored(values, "ctw-values")
     placed = docs.withColumn(
         "block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")
     ).repartition(blocks, "block")
-    items = placed.mapInPandas(_asked, "kind int, key long, block int").join(values, ["kind", "key"])
+    items = placed.mapInPandas(_asked, "key long, block int").join(values, "key")
     scored = placed.groupBy("block").cogroup(items.groupBy("block")).applyInPandas(
         _scored(facts["n"], facts["v"]), _SCORES
     )
