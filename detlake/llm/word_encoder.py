@@ -20,7 +20,7 @@ import re
 import numpy as np
 
 #: Entries kept per Python worker and generation; two generations bound the memory.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 250_000
 _encoders: dict = {}
 
 # The parts of the vocabulary file that the quick path relies on.
