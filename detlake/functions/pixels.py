@@ -114,10 +114,23 @@ def _fingerprints(
     )
 
 
-def pixel_digest(width="width", height="height", pixels="pixels") -> Column:
-    """Digest of the decoded pixels together with the dimensions."""
+@F.pandas_udf(T.BinaryType())
+def three_channels(pixels: pd.Series, channels: pd.Series) -> pd.Series:
+    """Grey pixels three times each, pixels with an opacity without it, others as they are."""
+
+    def plain(raw, c):
+        if raw is None or c is None or c == 3:
+            return raw
+        each = np.frombuffer(raw, np.uint8).reshape(-1, int(c))
+        return (np.repeat(each, 3, axis=1) if c == 1 else np.ascontiguousarray(each[:, :3])).tobytes()
+
+    return pd.Series([plain(raw, c) for raw, c in zip(pixels, channels)], dtype=object)
+
+
+def pixel_digest(width="width", height="height", pixels="pixels", channels="channels") -> Column:
+    """Digest of the decoded pixels, as three channels, together with the dimensions."""
     prefix = F.concat(F.col(width).cast("string"), F.lit("x"), F.col(height).cast("string"), F.lit(":"))
-    return F.sha2(F.concat(F.encode(prefix, "UTF-8"), F.col(pixels)), 256)
+    return F.sha2(F.concat(F.encode(prefix, "UTF-8"), three_channels(pixels, channels)), 256)
 
 
 def fingerprints(decoded: DataFrame) -> DataFrame:

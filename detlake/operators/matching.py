@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from detlake.functions import geometry as G
-from detlake.operators.spatial import grid_pairs, overlapping_pairs, split_crowded
+from detlake.operators.spatial import SIDE_LIMIT, grid_pairs, overlapping_pairs, split_sides
 from detlake.session import stored
 
 IOU_FLOOR = 0.5
@@ -195,7 +195,10 @@ def settle_rounds(candidates: DataFrame, keys: list[str], ties: str = "first") -
 
 
 def match_detections(
-    truth: DataFrame, predictions: DataFrame, pair_limit: int = PAIR_LIMIT
+    truth: DataFrame,
+    predictions: DataFrame,
+    pair_limit: int = PAIR_LIMIT,
+    side_limit: int = SIDE_LIMIT,
 ) -> DataFrame:
     """Match every prediction at score 0 and say what became of it.
 
@@ -205,8 +208,10 @@ def match_detections(
     ``truth``: image_id, annotation_index, category_id, x, y, w, h.
     ``predictions``: image_id, prediction_index, category_id, x, y, w, h, score.
     """
-    calm, busy = split_crowded(predictions, truth, ["image_id"], pair_limit)
-    matched = _matched_by_image(truth, calm)
+    calm, calm_truth, busy = split_sides(
+        predictions, truth, ["image_id"], pair_limit, side_limit
+    )
+    matched = _matched_by_image(calm_truth, calm)
     if busy is not None:
         matched = matched.unionByName(_matched_by_rounds(truth, busy))
     return matched.withColumn("outcome", outcome())

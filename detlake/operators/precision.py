@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from detlake.functions import geometry as G
 from detlake.operators.matching import PAIR_LIMIT, by_image, overlaps_of, settle_rounds
 from detlake.operators.running import running_totals
-from detlake.operators.spatial import grid_pairs, split_crowded
+from detlake.operators.spatial import grid_pairs, split_sides
 from detlake.session import stored
 
 # Fixed values of the protocol.
@@ -149,9 +149,9 @@ def detection_hits(
 ) -> DataFrame:
     """One row per detection that counts, with its true-positive mask."""
     group = ["image_id", "category_id"]
-    calm, busy = split_crowded(predictions, truth, ["image_id"], pair_limit)
+    calm, calm_truth, busy = split_sides(predictions, truth, ["image_id"], pair_limit)
     # Placed by image once; ranking per class and gathering per image then stay in place.
-    hits = _hits_by_image(top_detections(calm.repartition("image_id"), group), truth)
+    hits = _hits_by_image(top_detections(calm.repartition("image_id"), group), calm_truth)
     if busy is None:
         return hits
     detections = stored(top_detections(busy, group), "detections")

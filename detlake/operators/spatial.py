@@ -18,6 +18,7 @@ from detlake.session import stored
 
 CELL = 128.0
 PAIR_LIMIT = 1_000_000  # possible pairs of one key that may be compared in one task
+SIDE_LIMIT = 5_000  # rows of one key and side that may be gathered in one row
 
 
 def _in_cells(df: DataFrame, x: str, y: str, w: str, h: str, cell: float) -> DataFrame:
@@ -34,15 +35,22 @@ def _prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
 
 
 def crowded_keys(
-    left: DataFrame, right: DataFrame, keys: list[str], limit: int = PAIR_LIMIT
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    limit: int = PAIR_LIMIT,
+    side: int | None = None,
 ) -> DataFrame:
-    """Keys with more than ``limit`` possible pairs."""
+    """Keys with more than ``limit`` possible pairs, or more than ``side`` rows on a side."""
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     rows = left.select(*keys, one.alias("_l"), none.alias("_r")).unionByName(
         right.select(*keys, none.alias("_l"), one.alias("_r"))
     )
     sizes = rows.groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
-    return sizes.filter(F.col("_l") * F.col("_r") > limit).select(*keys)
+    crowded = F.col("_l") * F.col("_r") > limit
+    if side is not None:
+        crowded = crowded | (F.greatest("_l", "_r") > side)
+    return sizes.filter(crowded).select(*keys)
 
 
 def split_crowded(
@@ -56,6 +64,22 @@ def split_crowded(
     return left.join(crowded, keys, "left_anti"), left.join(crowded, keys, "left_semi")
 
 
+def split_sides(
+    left: DataFrame, right: DataFrame, keys: list[str], limit: int, side: int = SIDE_LIMIT
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(left and right rows of calm keys, left rows of crowded keys or None).
+
+    What is calm may be gathered by key: no key has more than ``side`` rows on either side,
+    also if the other side has none.
+    """
+    crowded = crowded_keys(left, right, keys, limit, side)
+    if crowded.isEmpty():
+        return left, right, None
+    crowded = stored(crowded, "crowded")
+    calm = (df.join(crowded, keys, "left_anti") for df in (left, right))
+    return *calm, left.join(crowded, keys, "left_semi")
+
+
 def touching(a: str, b: str) -> Column:
     """Two xywh boxes with column prefixes ``a`` and ``b`` share area."""
     ax, ay, aw, ah = (F.col(a + c) for c in "xywh")

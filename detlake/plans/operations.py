@@ -309,14 +309,14 @@ def observation_digests(spark, d):
 
 @query(
     "adjudicate",
-    "SELECT conv_id AS case_id, count(*) AS observation_count, 'keep_label' AS action FROM conversations WHERE conv_id % 2 = 0 GROUP BY 1",
+    "SELECT conv_id AS case_id, count(*) AS observation_count, 'keep_label' AS action FROM conversations GROUP BY 1",
 )
 def adjudicate(spark, d):
     observations = T.read(spark, d, "conversations").select(
         F.col("conv_id").alias("case_id"), F.col("turn").alias("ordinal"), F.col("role").alias("reviewer"),
         F.sha2("text", 256).alias("note_hash"),
     )
-    resolutions = observations.filter("case_id % 2 = 0").select("case_id").distinct().withColumn(
+    resolutions = observations.select("case_id").distinct().withColumn(
         "action", F.lit("keep_label")
     )
     decided = W.adjudicate(observations, resolutions, "expert", "2026-01-01T00:00:00Z", 1)
@@ -650,10 +650,10 @@ def exhausted_jobs(spark, d):
 @query(
     "retry_times",
     _JOB_SQL + "SELECT id, created_at + 2 * pow(2, attempts - 1) AS retry_at, created_at + least(300, pow(2, least(attempts * 3, 8))) AS outbox_at"
-    " FROM jobs WHERE attempts > 0",
+    " FROM jobs",
 )
 def retry_times(spark, d):
-    rows = _jobs(spark, d).filter("attempts > 0").withColumn("tries", F.col("attempts") * 3)
+    rows = _jobs(spark, d).withColumn("tries", F.col("attempts") * 3)
     return rows.select(
         "id", J.retry_at(F.col("created_at")).alias("retry_at"),
         J.outbox_retry_at(F.col("created_at"), "tries").alias("outbox_at"),
@@ -679,14 +679,14 @@ def job_lookup(spark, d):
 
 
 _OUTBOX_SQL = _JOB_SQL + """, ob AS (SELECT id + 1000000 AS id, id AS inspection_id, CASE WHEN id % 5 <> 0 THEN created_at END AS published_at,
-  created_at AS available_at, CASE WHEN id % 2 = 0 THEN created_at + 50 END AS lease_until FROM jobs WHERE id % 3 = 0 OR id % 17 = 0),
+  created_at AS available_at, CASE WHEN id % 2 = 0 THEN created_at + 50 END AS lease_until FROM jobs),
  ms AS (SELECT event_id + 1000000 AS event_id, event_id AS inspection_id FROM events UNION ALL SELECT event_id + 1000000, event_id FROM events
   WHERE event_id % 6 = 0)
 """
 
 
 def _outbox(spark, d):
-    jobs = _jobs(spark, d).filter("id % 3 = 0 OR id % 17 = 0")
+    jobs = _jobs(spark, d)
     return jobs.select(
         (F.col("id") + 1000000).alias("id"), F.col("id").alias("inspection_id"),
         F.when(F.col("id") % 5 != 0, F.col("created_at")).alias("published_at"),
@@ -829,57 +829,54 @@ def windowed_metrics_stream(spark, d):
     return last.select(F.col("window_start").cast("bigint").alias("window_start"), "event_type", "r.*")
 
 
-_COMMANDS_SQL = """WITH c AS (SELECT user_id, event_id, epoch(ts) AS tm, CASE WHEN event_type = 'click' THEN 'claim' ELSE 'result' END AS kind,
-  event_type, value, max(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM events WHERE event_type IN ('click', 'purchase')),
- h AS (SELECT c.*, (SELECT epoch(e.ts) + 43200 FROM events e WHERE e.event_id = c.held) AS lim,
-  CASE WHEN event_id % 4 = 0 THEN -1 ELSE held END AS token FROM c)
-"""
+_COMMAND = {"click": "claim", "purchase": "result", "view": "renew", "error": "redrive", "signup": "fail"}
+_COMMAND_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _COMMAND.items()) + " END"
+_FENCE_SQL = f"""WITH RECURSIVE c AS (SELECT user_id, event_id, epoch(ts) AS tm, {_COMMAND_SQL} AS kind, max(CASE WHEN event_type = 'click'
+  THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM events),
+ k AS (SELECT user_id, event_id, kind, tm, tm + 43200 AS lim, CASE WHEN kind = 'claim' THEN event_id WHEN event_id % 4 = 0 THEN -1 ELSE held END
+  AS token, row_number() OVER (PARTITION BY user_id ORDER BY tm, CAST(event_id AS VARCHAR)) AS rk FROM c),
+ walk(user_id, rk, event_id, token, lim, att, st, outcome) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, 0::DOUBLE, 0, 0, NULL::VARCHAR FROM k UNION ALL
+  SELECT user_id, rk, event_id,
+   CASE WHEN free AND att < 3 THEN new WHEN free OR (kind IN ('result', 'fail') AND mine) OR (kind = 'redrive' AND st = 3) THEN NULL ELSE old END,
+   CASE WHEN (free AND att < 3) OR (kind = 'renew' AND mine) THEN until ELSE lim END,
+   CASE WHEN free AND att < 3 THEN att + 1 WHEN kind = 'redrive' AND st = 3 THEN 0 ELSE att END,
+   CASE WHEN free THEN CASE WHEN att < 3 THEN 1 ELSE 3 END WHEN kind = 'result' AND mine THEN 2 WHEN kind = 'fail' AND mine
+     THEN CASE WHEN att < 3 THEN 0 ELSE 3 END WHEN kind = 'redrive' AND st = 3 THEN 0 ELSE st END,
+   CASE kind WHEN 'claim' THEN CASE WHEN NOT free THEN 'claim_refused' WHEN att < 3 THEN 'claimed' ELSE 'retry_limit_exceeded' END
+     WHEN 'redrive' THEN CASE WHEN st = 3 THEN 'redriven' ELSE 'stale' END
+     ELSE CASE WHEN NOT mine THEN 'stale' WHEN kind = 'renew' THEN 'renewed' WHEN kind = 'result' THEN 'accepted'
+       WHEN att < 3 THEN 'retry_scheduled' ELSE 'failed' END END
+  FROM (SELECT r.user_id, r.rk, r.event_id, r.kind, r.token AS new, r.lim AS until, s.token AS old, s.lim, s.att, s.st,
+    coalesce(s.st = 1 AND s.lim > r.tm AND s.token = r.token, FALSE) AS mine,
+    r.kind = 'claim' AND s.st IN (0, 1) AND NOT (s.st = 1 AND s.lim > r.tm) AS free
+    FROM walk s JOIN k r ON r.user_id = s.user_id AND r.rk = s.rk + 1))
+ SELECT CAST(user_id AS VARCHAR) AS inspection_id, CAST(event_id AS VARCHAR) AS event_id, outcome FROM walk WHERE rk > 0"""
 
 
 def _commands(spark, d, rows):
-    """Clicks claim a lease for twelve hours; purchases present the token seen last."""
+    """Clicks claim a lease for twelve hours; all other commands present the token seen last."""
     from pyspark.sql import Window
 
     before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     claim = F.col("event_type") == "click"
     held = F.max(F.when(claim, F.col("event_id"))).over(before)
     at = F.col("ts").cast("double")
-    return rows.filter("event_type IN ('click', 'purchase')").select(
+    return rows.select(
         "ts", F.col("user_id").cast("string").alias("inspection_id"), F.col("event_id").cast("string").alias("event_id"),
-        F.when(claim, "claim").otherwise("result").alias("kind"),
+        F.expr(_COMMAND_SQL).alias("kind"),
         F.when(claim, F.col("event_id")).when(F.col("event_id") % 4 == 0, -1).otherwise(held).cast("string").alias("token"),
-        at.alias("at"), F.when(claim, at + 43200).alias("lease_until"),
+        at.alias("at"), (at + 43200).alias("lease_until"),
     )
 
 
-@query(
-    "fenced_results",
-    _COMMANDS_SQL + ", v AS (SELECT *, coalesce(token = held AND lim > tm, FALSE) AS fits FROM h WHERE kind = 'result'),"
-    " n AS (SELECT *, row_number() OVER (PARTITION BY user_id, token, fits ORDER BY tm, event_id) AS k FROM v)"
-    " SELECT CAST(user_id AS VARCHAR) AS inspection_id, CAST(event_id AS VARCHAR) AS event_id, CASE WHEN fits AND k = 1 THEN 'accepted' ELSE"
-    " 'stale' END AS outcome FROM n",
-)
+@query("fenced_results", _FENCE_SQL)
 def fenced_results(spark, d):
-    return E.fenced_results_batch(_commands(spark, d, T.events(spark, d)))
+    verdicts = E.fenced_results_batch(_commands(spark, d, T.events(spark, d)))
+    return verdicts.select("inspection_id", "event_id", "outcome")
 
 
-@query(
-    "fenced_results_stream",
-    _COMMANDS_SQL + """, k AS (SELECT user_id, event_id, kind, tm, CASE WHEN kind = 'claim' THEN event_id ELSE token END AS token,
-     tm + 43200 AS lim, row_number() OVER (PARTITION BY user_id ORDER BY tm, event_id) AS rk FROM h),
-    walk AS (WITH RECURSIVE s(user_id, rk, event_id, token, lim, att, outcome) AS (
-      SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, 0::DOUBLE, 0, NULL::VARCHAR FROM k
-      UNION ALL SELECT r.user_id, r.rk, r.event_id,
-       CASE WHEN r.kind = 'claim' THEN CASE WHEN s.token IS NOT NULL AND s.lim > r.tm THEN s.token WHEN s.att >= 3 THEN NULL ELSE r.token END
-         WHEN s.lim > r.tm AND s.token = r.token THEN NULL ELSE s.token END,
-       CASE WHEN r.kind = 'claim' AND NOT (s.token IS NOT NULL AND s.lim > r.tm) AND s.att < 3 THEN r.lim ELSE s.lim END,
-       CASE WHEN r.kind = 'claim' AND NOT (s.token IS NOT NULL AND s.lim > r.tm) AND s.att < 3 THEN s.att + 1 ELSE s.att END,
-       CASE WHEN r.kind = 'claim' THEN CASE WHEN s.token IS NOT NULL AND s.lim > r.tm THEN 'claim_refused' WHEN s.att >= 3
-         THEN 'retry_limit_exceeded' ELSE 'claimed' END WHEN s.lim > r.tm AND s.token = r.token THEN 'accepted' ELSE 'stale' END
-      FROM s JOIN k r ON r.user_id = s.user_id AND r.rk = s.rk + 1) SELECT * FROM s WHERE rk > 0)
-    SELECT CAST(user_id AS VARCHAR) AS inspection_id, CAST(event_id AS VARCHAR) AS event_id, outcome FROM walk""",
-)
+@query("fenced_results_stream", _FENCE_SQL)
 def fenced_results_stream(spark, d):
     """The stateful form: tokens, leases and used attempts are followed per job."""
     commands = _commands(spark, d, T.events(spark, d))

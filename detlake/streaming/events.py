@@ -94,53 +94,81 @@ def windowed_metrics(events: DataFrame, size: str = "1 hour", slide: str | None
     )
 
 
-LEASE_STATE = "token string, lease_until double, attempts int"
+LEASE_STATE = "token string, lease_until double, attempts int, status string"
 LEASE_OUTPUT = "inspection_id string, event_id string, at double, outcome string"
+NEW_LEASE = (None, 0.0, 0, "queued")
+#: Event time for which a finished job is remembered, to judge late commands; then its state ends.
+FINISHED_MS = 24 * 3600 * 1000
+
+
+def follow_lease(lease: tuple, kind: str, token: str | None, at: float, lease_until: float) -> tuple:
+    """(lease, verdict) after one command.
+
+    A job is claimed while it is queued or its lease has ended; after too many attempts a
+    claim fails it. Renewals, results and failures count only under the current lease.
+    Only a failed job can be redriven.
+    """
+    held, until, attempts, status = lease
+    live = status == "processing" and until > at
+    mine = live and held == token
+    if kind == "claim":
+        if live or status in ("completed", "failed"):
+            return lease, "claim_refused"
+        if attempts >= MAX_ATTEMPTS:
+            return (None, 0.0, attempts, "failed"), "retry_limit_exceeded"
+        return (token, float(lease_until), attempts + 1, "processing"), "claimed"
+    if kind == "redrive":
+        return (NEW_LEASE, "redriven") if status == "failed" else (lease, "stale")
+    if not mine:
+        return lease, "stale"
+    if kind == "renew":
+        return (held, float(lease_until), attempts, status), "renewed"
+    if kind == "fail":
+        last = attempts >= MAX_ATTEMPTS
+        return (None, 0.0, attempts, "failed" if last else "queued"), "failed" if last else "retry_scheduled"
+    return (None, 0.0, attempts, "completed"), "accepted"
+
+
+def _verdicts(job: str, lease: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
+    out = []
+    for row in rows[["event_id", "kind", "token", "at", "lease_until"]].itertuples(index=False):
+        lease, verdict = follow_lease(lease, row.kind, row.token, row.at, row.lease_until)
+        out.append((job, row.event_id, row.at, verdict))
+    return lease, out
+
+
+_VERDICT_COLUMNS = ["inspection_id", "event_id", "at", "outcome"]
 
 
 def _fence(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Follow one job's lease; yields a verdict for each claim, renewal and result."""
-    token, until, attempts = state.get if state.exists else (None, 0.0, 0)
-    verdicts = []
+    """Follow one job's lease; yields a verdict for each command and for leases that ran out."""
+    lease = state.get if state.exists else NEW_LEASE
     if state.hasTimedOut:
-        if token is not None:
-            gone = "retry_limit_exceeded" if attempts >= MAX_ATTEMPTS else "lease_expired"
-            verdicts.append((key[0], token, until, gone))
-        state.update((None, 0.0, attempts))
-        yield pd.DataFrame(verdicts, columns=["inspection_id", "event_id", "at", "outcome"])
-        return
-    rows = pd.concat(list(batches)).sort_values(["at", "event_id"], kind="stable")
-    for row in rows.itertuples():
-        held = token is not None and until > row.at
-        mine = held and token == row.token
-        if row.kind == "claim":
-            if held:
-                verdict = "claim_refused"
-            elif attempts >= MAX_ATTEMPTS:
-                token, verdict = None, "retry_limit_exceeded"
-            else:
-                token, until, attempts, verdict = row.token, row.lease_until, attempts + 1, "claimed"
-        elif row.kind == "renew":
-            verdict = "renewed" if mine else "stale"
-            until = row.lease_until if mine else until
-        elif row.kind == "redrive":
-            token, until, attempts, verdict = None, 0.0, 0, "redriven"
-        else:
-            verdict = "accepted" if mine else "stale"
-            token = None if mine else token
-        verdicts.append((key[0], row.event_id, row.at, verdict))
-    state.update((token, float(until), int(attempts)))
-    if token is not None:
+        token, until, attempts, status = lease
+        if status in ("completed", "failed"):
+            state.remove()
+            return
+        last = attempts >= MAX_ATTEMPTS
+        lease = (None, 0.0, attempts, "failed" if last else "queued")
+        rows = [(key[0], token, until, "retry_limit_exceeded" if last else "lease_expired")]
+    else:
+        # One trigger's commands of one job.
+        lease, rows = _verdicts(key[0], lease, pd.concat(list(batches)).sort_values(["at", "event_id"], kind="stable"))
+    state.update(lease)
+    if lease[3] == "processing":
         # A lease that ended before the watermark is noticed at the next chance.
-        state.setTimeoutTimestamp(max(int(until * 1000), state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(verdicts, columns=["inspection_id", "event_id", "at", "outcome"])
+        state.setTimeoutTimestamp(max(int(lease[1] * 1000), state.getCurrentWatermarkMs() + 1))
+    else:
+        state.setTimeoutTimestamp(max(int(rows[-1][2] * 1000), state.getCurrentWatermarkMs()) + FINISHED_MS)
+    yield pd.DataFrame(rows, columns=_VERDICT_COLUMNS)
 
 
 def fenced_results(commands: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Accept a result only under the lease token that is current when it arrives.
 
-    ``commands``: ts, inspection_id, event_id, kind (claim, renew, result, redrive), token,
-    at, lease_until (epoch seconds). Expired leases and used-up attempts come from timers.
+    ``commands``: ts, inspection_id, event_id, kind (claim, renew, fail, result, redrive),
+    token, at, lease_until (epoch seconds). Expired leases and used-up attempts come from
+    timers; a job's state ends a day of event time after it has finished or come to rest.
     """
     return (
         commands.withWatermark("ts", delay)
@@ -152,25 +180,29 @@ def fenced_results(commands: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def fenced_results_batch(commands: DataFrame) -> DataFrame:
-    """Accepted results of claims and results without renewals, as a batch query.
+    """The verdicts of ``fenced_results`` on a finished log, by the same rules.
 
-    For audits of a finished log in which every claim was granted.
+    Commands are dealt by job and read in order, one lease at a time, so a job with very
+    many commands is never gathered.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("inspection_id").orderBy("at", "event_id")
-    claim = F.when(F.col("kind") == "claim", F.struct("token", "lease_until"))
-    held = F.last(claim, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    results = commands.withColumn("held", held).filter("kind = 'result'")
-    fits = (F.col("held.token") == F.col("token")) & (F.col("held.lease_until") > F.col("at"))
-    first = F.row_number().over(
-        Window.partitionBy("inspection_id", "token", "fits").orderBy("at", "event_id")
-    )
-    judged = results.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("n", first)
-    return judged.select(
-        "inspection_id",
-        "event_id",
-        F.when(F.col("fits") & (F.col("n") == 1), "accepted").otherwise("stale").alias("outcome"),
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        job, lease = None, NEW_LEASE
+        for frame in frames:
+            out = []
+            for name, rows in frame.groupby("inspection_id", sort=False):
+                if name != job:
+                    job, lease = name, NEW_LEASE
+                lease, some = _verdicts(job, lease, rows)
+                out += some
+            yield pd.DataFrame(out, columns=_VERDICT_COLUMNS)
+
+    columns = ["inspection_id", "event_id", "kind", "token", "at", "lease_until"]
+    return (
+        commands.select(*columns)
+        .repartition("inspection_id")
+        .sortWithinPartitions("inspection_id", "at", "event_id")
+        .mapInPandas(run, LEASE_OUTPUT)
     )
 
 

@@ -222,17 +222,27 @@ def test_redelivered_events_count_once(spark, tmp_path):
     assert kept.count() == 10
 
 
-def test_fenced_stream_equals_batch_audit(spark):
-    """The registered stream query against the window form over the same commands."""
+def test_fenced_stream_equals_batch_on_every_row(spark):
+    """The registered stream query and the batch form over the same commands."""
     from detlake.plans import operations as O
     from detlake.plans import tables as T
 
     d = "/root/testdata/sf0.001"
     stream = O.fenced_results_stream(spark, d)
-    audit = E.fenced_results_batch(O._commands(spark, d, T.events(spark, d)))
-    verdicts = {r["event_id"]: r["outcome"] for r in stream.filter("outcome IN ('accepted', 'stale')").collect()}
-    refused = stream.filter("outcome IN ('claim_refused', 'retry_limit_exceeded')").count()
-    expected = {r["event_id"]: r["outcome"] for r in audit.collect()}
-    assert verdicts.keys() == expected.keys() and refused > 0
-    # A refused claim only ever turns results into stale ones.
-    assert {k for k, v in verdicts.items() if v == "accepted"} <= {k for k, v in expected.items() if v == "accepted"}
+    batch = E.fenced_results_batch(O._commands(spark, d, T.events(spark, d)))
+    verdicts = sorted(map(tuple, stream.collect()))
+    assert verdicts == sorted(map(tuple, batch.select("inspection_id", "event_id", "outcome").collect()))
+    assert len({outcome for *_, outcome in verdicts}) >= 6
+
+
+def test_finished_jobs_take_no_further_commands():
+    steps = [("claim", "a", 1.0, 9.0), ("fail", "a", 2.0, 0), ("claim", "b", 3.0, 9.0), ("fail", "b", 4.0, 0),
+             ("claim", "c", 5.0, 9.0), ("fail", "c", 6.0, 0), ("claim", "d", 7.0, 9.0), ("redrive", None, 8.0, 0),
+             ("claim", "e", 9.0, 20.0), ("result", "e", 10.0, 0), ("redrive", None, 11.0, 0), ("claim", "f", 12.0, 20.0)]
+    lease, seen = E.NEW_LEASE, []
+    for step in steps:
+        lease, verdict = E.follow_lease(lease, *step)
+        seen.append(verdict)
+    assert seen == ["claimed", "retry_scheduled", "claimed", "retry_scheduled", "claimed", "failed", "claim_refused",
+                    "redriven", "claimed", "accepted", "stale", "claim_refused"]
+    assert lease[3] == "completed"
