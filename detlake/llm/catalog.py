@@ -31,5 +31,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_quality_rules": quality.OP4_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }

@@ -160,3 +160,29 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select(
         "doc_id", *[F.col(f"measures.{n}").alias(n) for n in names], "base_failed", "kept"
     )
+
+
+def _rule_sql(rule: Rule) -> str:
+    ratio = f"{rule.numerator} / nullif({rule.denominator}, 0)"
+    bounds = [f"{ratio} {sign} {bound}" for sign, bound in ((">=", rule.low), ("<=", rule.high)) if bound is not None]
+    return f"coalesce({' AND '.join(bounds)}, TRUE)"
+
+
+_STOPS_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)),
+  lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, u.i, w[u.i] || ' ' || w[u.i + 1] || ' ' || w[u.i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS u(i)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+n AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, range(3) AS z(k) GROUP BY 1),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')) AS n_symbols,
+  length(t) - length(regexp_replace(t, '{SHOUTS}', '', 'g')) AS n_shouts, len(lines) AS n_lines,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  len(list_filter(w, lambda x: lower(x) IN ({_STOPS_SQL}))) AS n_stop_words,
+  len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words FROM w LEFT JOIN n USING (doc_id)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {' AND '.join(map(_rule_sql, RULES))} AS kept FROM b
+"""
