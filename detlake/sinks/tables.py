@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from detlake.functions.hashing import table_digest
 
@@ -18,16 +19,24 @@ def _existing(spark: SparkSession, path: str, form: str, schema) -> DataFrame |
         raise
 
 
+def _is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has been committed."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def frozen_write(
     df: DataFrame, path: str, partition_by: list[str] | None = None, form: str = "parquet"
 ) -> bool:
     """Write a table once. Writing the same rows again is accepted and changes nothing.
 
-    Returns whether anything was written; different rows at ``path`` are refused.
+    Returns whether anything was written; different rows at ``path`` are refused. What an
+    aborted write has left is replaced.
     """
-    before = _existing(df.sparkSession, path, form, df.schema)
+    spark = df.sparkSession
+    before = _existing(spark, path, form, df.schema) if _is_complete(spark, path) else None
     if before is None:
-        writer = df.write.mode("errorifexists").format(form)
+        writer = df.write.mode("overwrite").format(form)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.save(path)
@@ -37,6 +46,12 @@ def frozen_write(
     return False
 
 
+def _frozen(df: DataFrame, path: str, partition_by: list[str] | None = None, form: str = "parquet") -> DataFrame:
+    """Write once and continue from the files."""
+    frozen_write(df, path, partition_by, form)
+    return df.sparkSession.read.schema(df.schema).format(form).load(path).select(*df.columns)
+
+
 def write_release(
     root: str, images: DataFrame, annotations: DataFrame, lineage: DataFrame, version: str
 ) -> DataFrame:
@@ -54,24 +69,22 @@ def write_release(
     }
     digests = None
     for name, df in tables.items():
-        frozen_write(df, f"{root}/{name}", ["split"] if name == "images" else None)
-        row = table_digest(df).select(
+        written = _frozen(df, f"{root}/{name}", ["split"] if name == "images" else None)
+        row = table_digest(written).select(
             F.lit(version).alias("version"), F.lit(name).alias("table"), "rows", "digest"
         )
         digests = row if digests is None else digests.unionByName(row)
-    frozen_write(digests, f"{root}/release", form="json")
-    return digests
+    return _frozen(digests, f"{root}/release", form="json")
 
 
 def write_audit(root: str, inventory: DataFrame, findings: DataFrame) -> DataFrame:
     """Inventory and findings as JSON, with the inventory digest in the summary."""
-    frozen_write(inventory, f"{root}/inventory", form="json")
+    written = _frozen(inventory, f"{root}/inventory", form="json")
     frozen_write(findings, f"{root}/findings", form="json")
-    summary = table_digest(inventory).select(
+    summary = table_digest(written).select(
         F.col("rows").alias("images"), F.col("digest").alias("inventory_sha256")
     )
-    frozen_write(summary, f"{root}/audit", form="json")
-    return summary
+    return _frozen(summary, f"{root}/audit", form="json")
 
 
 def write_research_set(
@@ -81,11 +94,9 @@ def write_research_set(
     parts = {"images": images, "corrections": corrections, "quarantine": quarantined}
     summary = None
     for name, df in parts.items():
-        frozen_write(df, f"{root}/{name}")
-        row = df.agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
+        row = _frozen(df, f"{root}/{name}").agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
         summary = row if summary is None else summary.union(row)
-    frozen_write(summary, f"{root}/summary", form="json")
-    return summary
+    return _frozen(summary, f"{root}/summary", form="json")
 
 
 def export_json(df: DataFrame, path: str) -> None:
@@ -110,13 +121,21 @@ def complete_reports(root: str):
     """A ``foreachBatch`` sink for reports and their completion events.
 
     Rows are keyed by (inspection_id, attempt): a replayed batch overwrites the files it
-    wrote before instead of adding to them.
+    wrote before, and what an earlier batch has completed is not completed again. Events
+    are made from the reports that were written, so both bear the same time.
     """
+    keys = ["inspection_id", "attempt"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        reports = batch.dropDuplicates(["inspection_id", "attempt"])
-        reports.write.mode("overwrite").parquet(f"{root}/reports/batch={batch_id}")
-        events = reports.select(
+        spark, path = batch.sparkSession, f"{root}/reports/batch={batch_id}"
+        reports = batch.dropDuplicates(keys)
+        placed = StructType([*batch.schema.fields, StructField("batch", LongType())])
+        earlier = _existing(spark, f"{root}/reports", "parquet", placed)
+        if earlier is not None:
+            done = earlier.filter(F.col("batch") < batch_id).select(*keys)
+            reports = reports.join(done, keys, "left_anti").select(*batch.columns)
+        reports.write.mode("overwrite").parquet(path)
+        events = spark.read.schema(batch.schema).parquet(path).select(
             F.concat_ws(":", F.lit("completed"), "inspection_id", "attempt").alias("id"),
             "inspection_id",
             F.lit("inspection_completed").alias("event_type"),

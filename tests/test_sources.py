@@ -239,6 +239,27 @@ def test_review_batch_source(spark, tmp_path):
     assert rows[0]["answers"] == {"relationship": "related"}
 
 
+def test_an_aborted_write_is_replaced(spark, tmp_path):
+    path = tmp_path / "t"
+    (path / "_temporary").mkdir(parents=True)
+    (path / "part-0.parquet").write_bytes(b"half a file")
+    assert K.frozen_write(spark.range(3), str(path)) is True
+    assert spark.read.parquet(str(path)).count() == 3
+
+
+def test_reports_are_completed_once(spark, tmp_path):
+    schema = "inspection_id string, attempt int, completed_at double, model_version string, is_demo boolean"
+    first = spark.createDataFrame([("a", 1, 1.0, "m", False), ("a", 1, 2.0, "m", False)], schema)
+    second = spark.createDataFrame([("a", 1, 9.0, "m", False), ("b", 1, 9.5, "m", False)], schema)
+    save = K.complete_reports(str(tmp_path))
+    for number, batch in ((0, first), (1, second), (1, second)):
+        save(batch, number)
+    reports = spark.read.parquet(str(tmp_path / "reports")).collect()
+    events = spark.read.parquet(str(tmp_path / "events")).collect()
+    assert sorted((r["inspection_id"], r["attempt"]) for r in reports) == [("a", 1), ("b", 1)]
+    assert sorted(r["completed_at"] for r in reports) == sorted(r["created_at"] for r in events)
+
+
 def test_frozen_write(spark, tmp_path):
     df = spark.range(10).withColumn("split", F.lit("train"))
     path = str(tmp_path / "t")
