@@ -122,7 +122,7 @@ def _buckets(signs: DataFrame) -> DataFrame:
     return rows.join(shared, "bucket").filter(F.col("id") != F.col("dst")).select(F.col("id").alias("src"), "dst").distinct()
 
 
-def compare_block(keys: list, texts: list[str], signs: np.ndarray, side: np.ndarray, whole: bool):
+def compare_block(texts: list[str], signs: np.ndarray, side: np.ndarray, whole: bool):
     """Links among texts, or between side 0 and side 1 if not ``whole``.
 
     Returns (links of each text, spanning edges as pairs of positions).
@@ -188,7 +188,7 @@ def _compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = group["key"].tolist()
         signs = np.stack([np.frombuffer(s, "<u2") for s in group["sign"]])
         side = (group["block"] != group["low"]).to_numpy().astype(int)
-        links, edges = compare_block(keys, group["text"].tolist(), signs, side, bool(whole))
+        links, edges = compare_block(group["text"].tolist(), signs, side, bool(whole))
         out += [(keys[i], None, int(n)) for i, n in enumerate(links) if n]
         out += [(keys[i], keys[j], 0) for i, j in edges]
         if len(out) > 10_000:
@@ -225,8 +225,14 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         .join(sizes, "component")
         .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     )
-    bodies = docs.join(placed, "key").groupBy("key").agg(
-        *[F.first(c).alias(c) for c in ("text", "sign", "component", "block", "blocks")]
+    # One document gives the text of its copies. Joined by key and document, copies of a hot
+    # text are dealt to all tasks, and only rows that came repeatedly meet afterwards.
+    chosen = placed.join(texts.select(F.col("key").alias("chosen"), "text_id"), F.col("key") == F.col("chosen"))
+    bodies = (
+        docs.withColumnRenamed("key", "of")
+        .join(chosen, (F.col("of") == F.col("key")) & F.col("doc").eqNullSafe(F.col("text_id")))
+        .groupBy("key")
+        .agg(*[F.first(c).alias(c) for c in ("text", "sign", "component", "block", "blocks")])
     )
     work = bodies.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
