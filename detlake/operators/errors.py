@@ -10,6 +10,7 @@ from detlake.operators.matching import IOU_FLOOR
 from detlake.operators.spatial import overlapping_pairs
 from detlake.session import stored
 
+# Reporting thresholds.
 THRESHOLDS = (0.05, 0.25, 0.5)
 
 

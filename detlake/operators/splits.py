@@ -27,7 +27,7 @@ def grouped_split(
     )
     total = ranked.count()
     if total < 3:
-        raise ValueError("at least three independent groups are required")
+        raise ValueError(f"{total} groups cannot fill three splits")
     held = max(1, round(total * share))
     split = (
         F.when(F.col("number") <= held, "test")
@@ -62,7 +62,7 @@ def stratified_sample(
     )
     reached = {r["class"]: r["n"] for r in chosen.groupBy("class").agg(F.count("*").alias("n")).collect()}
     if any(reached.get(c, 0) < per_class for c in classes):
-        raise ValueError("insufficient class coverage")
+        raise ValueError(f"coverage: a class has fewer than {per_class} positives")
     core = chosen.select(key).distinct()
     missing = count - core.count()
     fill = (
