@@ -1,10 +1,11 @@
-"""Context-tree weighting over the bytes of tokens.
+"""Context-tree weighting over the bytes of texts.
 
 A text is its lower-cased words, each closed by a space, then an empty word as its end. A
 byte is eight binary decisions, each made in the contexts of the last 0, 1, ... ``DEPTH``
-bytes of its token (the space before the token is the last context byte; nothing further
-back counts). Every context and decision has a Krichevsky-Trofimov estimator over the
-training tokens. With KT the block probability of a node's own estimator,
+bytes. With ``across`` these run over spaces into the words before, back to the space that
+opens the text; without it they end at the space before the word. Each context and decision
+has a Krichevsky-Trofimov estimator over the training texts. With KT the block probability
+of a node's own estimator,
 
     Pw(node) = KT(node)                                      at the greatest depth
     Pw(node) = (KT(node) + product of Pw(children)) / 2      elsewhere
@@ -12,7 +13,7 @@ training tokens. With KT the block probability of a node's own estimator,
 and the probability of the next bit mixes the estimates along the path of contexts by the
 weights KT / (KT + product of the children).
 
-All training and all scored tokens contribute (context, byte) pairs, which Spark counts.
+All training and all scored texts contribute (context, byte) pairs, which Spark counts.
 Nodes below three context bytes are weighted where their last three bytes meet; the few
 nodes above (at most 65,536 contexts of two bytes) are summed up from them. Texts are
 scored in blocks: a block asks once for each of its distinct words and pairs.
@@ -21,7 +22,7 @@ scored in blocks: a block asks once for each of its distinct words and pairs.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
@@ -33,13 +34,16 @@ from pyspark.sql import functions as F
 from detlake.llm.common import parts_for, text_bytes, whole_text
 from detlake.session import stored
 
-DEPTH = 5
+#: At most 6: a context and its byte are one positive 64-bit key.
+DEPTH = 6
 SPLIT = 3
-BLOCK_BYTES = 16 << 20
-#: Distinct words that pass one table of counts in a task; it is then emptied.
+#: Bytes of text that are scored together, and counted together; most of their pairs repeat.
+BLOCK_BYTES = 64 << 20
+#: Distinct words and pairs that pass one table of counts in a task; it is then emptied.
 COUNTED_WORDS = 400_000
-#: Words that are spelled out at once.
-SPELLED_WORDS = 50_000
+COUNTED_PAIRS = 4_000_000
+#: Bytes that are spelled out at once.
+SPELLED_BYTES = 2 << 20
 _HALF = np.log(0.5)
 
 
@@ -55,70 +59,95 @@ def word_keys(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64) | np.int64(-(1 << 63))
 
 
-def pairs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all (context, byte) pairs of the words with their closing space, and word starts.
+def pairs_of(texts: Iterable[list[bytes]], across: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of the (context, byte) pairs of all texts, in order, and the number of the text of each.
 
     A key holds the context bytes from the last one down, then the byte: ``DEPTH`` + 1 bytes.
+    Contexts are filled up with zeros before the space that opens them.
     """
-    text = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    at = np.arange(1, len(text))
-    within = at - 1 - np.repeat(starts, lengths)
-    keys = text[1:].copy()
-    for back in range(1, DEPTH + 1):
-        byte = np.where(within + 1 >= back, text[np.maximum(at - back, 0)], 0)
-        keys |= byte << (8 * (DEPTH - back + 1))
-    return keys, starts
+    opening = bytes(DEPTH - 1) + b" "
+    held: list[bytes] = []
+    of: list[int] = []
+    size = 0
+
+    def spelled() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        text = opening + opening.join(held)
+        lengths = np.fromiter(map(len, held), np.int64, len(held))
+        ends = np.cumsum(lengths + DEPTH)
+        for low in range(DEPTH, len(text), SPELLED_BYTES):
+            part = text[low - DEPTH : low + SPELLED_BYTES]
+            n = len(part) - DEPTH
+            context = np.ndarray(n, "<i8", part + bytes(8), 0, (1,)) & ((1 << 8 * DEPTH) - 1)
+            keys = context << 8 | np.frombuffer(part, np.uint8, n, DEPTH)
+            at = np.arange(low, low + n)
+            unit = np.searchsorted(ends, at, side="right")
+            real = at >= (ends - lengths)[unit]
+            yield keys[real], np.asarray(of)[unit[real]]
+
+    for number, words in enumerate(texts):
+        for unit in [b" ".join(words)] if across else words:
+            held.append(unit + b" ")
+            of.append(number)
+            size += len(unit) + 1 + DEPTH
+            if size >= SPELLED_BYTES:
+                yield from spelled()
+                held, of, size = [], [], 0
+    if held:
+        yield from spelled()
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    first = _firsts(keys)
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _chunks(words: list[bytes]) -> Iterator[slice]:
-    for at in range(0, len(words), SPELLED_WORDS):
-        yield slice(at, at + SPELLED_WORDS)
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each comes."""
+    keys = np.sort(keys)
+    first = _firsts(keys)
+    return keys[first], np.diff(first, append=len(keys))
 
 
-def _items(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the distinct words and of their pairs, with counts."""
-    keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
-    for part in _chunks(words):
-        pairs, starts = pairs_of(words[part])
-        lengths = np.diff(np.concatenate([starts, [len(pairs)]]))
-        more, add = _summed(pairs, np.repeat(counts[part], lengths))
-        keys, sums = _summed(np.concatenate([keys, more]), np.concatenate([sums, add]))
-    return np.concatenate([word_keys(words), keys]), np.concatenate([counts, sums])
-
-
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(across: bool):
     """Counts of words and pairs in training texts; those of other texts with count 0."""
-    train: Counter[bytes] = Counter()
-    seen: set[bytes] = set()
-
-    def drained() -> pd.DataFrame:
-        for word in seen:
-            train.setdefault(word, 0)
-        words, counts = list(train), np.fromiter(train.values(), np.int64, len(train))
-        train.clear()
-        seen.clear()
-        keys, counts = _items(words, counts)
-        return pd.DataFrame({"key": keys, "n": counts})
 
-    for frame in frames:
-        for text, held in zip(frame["text"], frame["held_out"], strict=True):
-            if held:
-                seen.update(tokens(text))
-            else:
-                train.update(tokens(text))
-            if len(train) + len(seen) > COUNTED_WORDS:
-                yield drained()
-    if train or seen:
-        yield drained()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        train: Counter[bytes] = Counter()
+        seen: set[bytes] = set()
+        keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def drained() -> pd.DataFrame:
+            for word in seen:
+                train.setdefault(word, 0)
+            words, counts = list(train), np.fromiter(train.values(), np.int64, len(train))
+            train.clear()
+            seen.clear()
+            return pd.DataFrame({"key": word_keys(words), "n": counts})
+
+        def noted(texts: Iterable[bytes], into) -> Iterator[list[bytes]]:
+            for text in texts:
+                words = tokens(text)
+                into.update(words)
+                yield words
+
+        for frame in frames:
+            for held, part in frame.groupby("held_out"):
+                for pairs, _ in pairs_of(noted(part["text"], seen if held else train), across):
+                    more, add = _distinct(pairs)
+                    keys, sums = _summed(np.concatenate([keys, more]), np.concatenate([sums, add * (not held)]))
+                    if len(keys) > COUNTED_PAIRS:
+                        yield pd.DataFrame({"key": keys, "n": sums})
+                        keys, sums = keys[:0], sums[:0]
+                    if len(train) + len(seen) > COUNTED_WORDS:
+                        yield drained()
+        if train or seen:
+            yield drained()
+        if len(keys):
+            yield pd.DataFrame({"key": keys, "n": sums})
+
+    return run
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -300,34 +329,53 @@ def pair_codes(pairs: DataFrame) -> DataFrame:
     return seen.join(maps, ["top", "byte"]).select("key", code.alias("code"))
 
 
-def _asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _asked(across: bool):
     """The distinct words and pairs of each block."""
-    for frame in frames:
-        for block, part in frame.groupby("block"):
-            words: set[bytes] = set()
-            for text in part["text"]:
-                words.update(tokens(text))
-            keys, _ = _items(list(words), np.zeros(len(words), np.int64))
-            yield pd.DataFrame({"key": keys, "block": block})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked: dict[int, tuple[set[bytes], np.ndarray]] = {}
+
+        def drained() -> Iterator[pd.DataFrame]:
+            while asked:
+                block, (words, keys) = asked.popitem()
+                yield pd.DataFrame({"key": np.concatenate([word_keys(list(words)), keys]), "block": block})
+
+        for frame in frames:
+            for block, part in frame.groupby("block"):
+                words, keys = asked.get(block, (set(), np.empty(0, np.int64)))
+                for text in part["text"]:
+                    words.update(tokens(text))
+                for pairs, _ in pairs_of(map(tokens, part["text"]), across):
+                    keys, _ = _distinct(np.concatenate([keys, _distinct(pairs)[0]]))
+                asked[block] = words, keys
+                if sum(len(k) for _, k in asked.values()) > 2 * COUNTED_PAIRS:
+                    yield from drained()
+        yield from drained()
+
+    return run
 
 
-def _scored(n_train: int, distinct: int):
+def _scored(n_train: int, distinct: int, across: bool):
     rest = np.log10(n_train + distinct + 1)
 
     def run(docs: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         at: defaultdict[bytes, int] = defaultdict(count().__next__)
         places = [np.fromiter((at[w] for w in tokens(t)), np.int32) for t in docs["text"]]
         words = list(at)
-        order = np.argsort(items["key"].to_numpy())
-        keys, values = items["key"].to_numpy()[order], items["value"].to_numpy()[order]
-        counts = values[np.searchsorted(keys, word_keys(words))]
-        codes = np.empty(len(words))
-        for some in _chunks(words):
-            pairs, starts = pairs_of(words[some])
-            codes[some] = np.add.reduceat(values[np.searchsorted(keys, pairs)], starts)
+        # A block that was drained midway may have asked twice for a key.
+        if not items["key"].is_unique:
+            items = items.drop_duplicates("key")
+        keys, values = pd.Index(items["key"].to_numpy()), items["value"].to_numpy()
+        counts = values[keys.get_indexer(word_keys(words))]
+        codes = np.zeros(len(docs))
+        for pairs, of in pairs_of(map(tokens, docs["text"]), across):
+            codes += np.bincount(of, values[keys.get_indexer(pairs)], len(docs))
         base = np.log10(counts + 1) - rest
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        rows = [(len(p), int((counts[p] > 0).sum()), base[p].sum(), codes[p].sum(), int(sizes[p].sum())) for p in places]
+        rows = [
+            (len(p), int((counts[p] > 0).sum()), base[p].sum(), code, int(sizes[p].sum()))
+            for p, code in zip(places, codes, strict=True)
+        ]
         out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score", "n_code_bytes"])
         return pd.concat([docs[["key", "held_out"]].reset_index(drop=True), out], axis=1)
 
@@ -337,10 +385,13 @@ def _scored(n_train: int, distinct: int):
 _SCORES = "key string, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_code_bytes long"
 
 
-def score_texts(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(
+    df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", across: bool = False
+) -> DataFrame:
     """One row per row of ``df``: key, held_out, n_tokens, n_known, train_tokens, base_score,
     score and bits_per_byte (the code length per byte of the lower-cased, space-closed tokens).
 
+    ``across``: contexts run into the words before; otherwise they end with the word.
     Learns from rows where ``held_out`` is false (null: false) and scores all. Null text
     counts as empty: its one token is the end. Without training rows every estimate is the
     prior's. Repeated rows and null keys are scored like others; an empty table gives none.
@@ -351,7 +402,7 @@ def score_texts(df: DataFrame, held_out: Column, key: str = "doc_id", text: str
         F.encode(whole_text(f"`{text}`"), "UTF-8").alias("text"),
     )
     blocks = parts_for(text_bytes(docs), BLOCK_BYTES)
-    counted = docs.select("held_out", "text").mapInPandas(_counted, "key long, n long")
+    counted = docs.select("held_out", "text").coalesce(blocks).mapInPandas(_counted(across), "key long, n long")
     model = stored(counted.groupBy("key").agg(F.sum("n").alias("n")), "ctw-counts")
     words, pairs = model.filter(F.col("key") < 0), model.filter(F.col("key") >= 0)
     facts = words.agg(
@@ -364,9 +415,9 @@ def score_texts(df: DataFrame, held_out: Column, key: str = "doc_id", text: str
     placed = docs.withColumn(
         "block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")
     ).repartition(blocks, "block")
-    items = placed.mapInPandas(_asked, "key long, block int").join(values, "key")
+    items = placed.mapInPandas(_asked(across), "key long, block int").join(values, "key")
     scored = placed.groupBy("block").cogroup(items.groupBy("block")).applyInPandas(
-        _scored(facts["n"], facts["v"]), _SCORES
+        _scored(facts["n"], facts["v"], across), _SCORES
     )
     return scored.select(
         F.col("key").cast(df.schema[key].dataType).alias(key), "held_out", "n_tokens", "n_known",
@@ -378,4 +429,4 @@ def score_texts(df: DataFrame, held_out: Column, key: str = "doc_id", text: str
 def op2_context_tree(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
-    return score_texts(docs, held_out)
+    return score_texts(docs, held_out, across=True)

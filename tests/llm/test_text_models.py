@@ -92,6 +92,38 @@ def test_model_learns_and_takes_awkward_tables(spark):
     assert ct.score_texts(documents(spark), F.lit(True)).filter("n_known > 0").count() == 0
 
 
+def test_contexts_run_across_words(spark):
+    assert ct.DEPTH >= 6
+    rows = [(1, "a cat sat on the mat", 0), (2, "the cat the mat", 0), (3, "on the mat a cat", 1), (4, "cat mat a the on", 1), (5, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    got = {r.doc_id: r for r in ct.score_texts(df, F.col("n_tokens") == 1, across=True).collect()}
+    whole = {d: b" ".join([*(t or "").encode().split(), b""]) for d, t, _ in rows}
+    tree = PlainTree([whole[d] for d, _, held in rows if not held])
+    for d, text in whole.items():
+        assert got[d].score == pytest.approx(tree.log10(text), rel=1e-6)
+    # The same words in another order.
+    assert got[3].score > got[4].score and got[3].base_score == pytest.approx(got[4].base_score)
+
+
+def test_pairs_do_not_depend_on_the_cuts(monkeypatch):
+    texts = [ct.tokens(t) for t in (b"one two three", b"", b"x" * 50, b"a b c d")]
+    for across in (False, True):
+        monkeypatch.setattr(ct, "SPELLED_BYTES", 1 << 20)
+        ((keys, of),) = ct.pairs_of(texts, across)
+        monkeypatch.setattr(ct, "SPELLED_BYTES", 7)
+        parts = list(ct.pairs_of(texts, across))
+        assert len(parts) > 3
+        assert np.array_equal(np.concatenate([p[0] for p in parts]), keys)
+        assert np.array_equal(np.concatenate([p[1] for p in parts]), of)
+
+
+def test_query_scores_across_words(spark, tmp_path):
+    rows = [(n, "the old man reads the long book") for n in range(8)] + [(8, "book long the reads man old the")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in ct.op2_context_tree(spark, str(tmp_path)).collect()}
+    assert got[0] != pytest.approx(got[8], rel=1e-3)
+
+
 def test_log_gamma():
     from math import lgamma
 
