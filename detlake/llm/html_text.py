@@ -26,7 +26,9 @@ BLOCK_TAGS = frozenset(
     "option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template textarea iframe svg math object xmp title".split())
+RAW_TAGS = frozenset("script style noscript template textarea iframe svg xmp title".split())
+# Of these, the ones that run to the end of the page if nothing closes them, as HTML says.
+ENDLESS_TAGS = frozenset("script style textarea iframe xmp title".split())
 # Chrome by tag, and by the words of a class, id or role.
 CHROME_TAGS = frozenset("nav aside footer form menu button select dialog head".split())
 CHROME_WORDS = frozenset(
@@ -93,8 +95,11 @@ def flat_blocks(page: str) -> list[Block]:
         if tag in RAW_TAGS and not closing:
             if tag in BLOCK_TAGS:
                 flush()
+            if tag == "svg" and piece.endswith("/>"):
+                continue
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if end or tag in ENDLESS_TAGS:
+                at = end.end() if end else len(page)
         elif tag == "a":
             links = max(links - 1, 0) if closing else min(links + 1, 1)
         elif tag == "br":

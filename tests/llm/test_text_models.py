@@ -189,6 +189,16 @@ def test_main_text(spark):
     assert ht.extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("icon", ["<svg class=i viewBox='0 0 1 1'/>", "<math/>", "<svg>", "<template>", "<noscript>"])
+def test_open_icons_lose_nothing(icon):
+    assert ht.main_text(f"<body>{icon}<article><p>One two three.</p><p>Four five.</p></article></body>") == "One two three.\nFour five."
+
+
+def test_text_of_math_and_objects_stays():
+    page = "<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds <svg><text>no</text></svg>.</p><object data=a>Fallback text.</object><p>End.<script>var a"
+    assert ht.main_text(page) == "So x=2 holds .\nFallback text.\nEnd."
+
+
 def test_tree_fits_its_table():
     rows, marks = ht.labelled()
     assert len(rows) < 200
