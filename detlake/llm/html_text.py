@@ -2,8 +2,8 @@
 
 A page is cut at block-level tags into flat text blocks. A block is described by its own
 word count and link density, those of its neighbours, and where it stands: inside chrome
-(menus, footers, adverts, comments, known by tag or by the words of class and id), inside
-an article, a heading or a list item. A decision tree, trained on the small labelled table
+(menus, footers, adverts, comments, known by tag or by a whole name in class, id or role),
+inside an article, a heading or a list item. An article or main lifts the chrome around it. A decision tree, trained on the small labelled table
 below, says which blocks are main text.
 """
 
@@ -38,6 +38,11 @@ CHROME_WORDS = frozenset(
     "promotion reader recommended related replies reply respond search share sharing sidebar signup skip social "
     "sponsor sponsored subscribe tags toc toolbar topbar widget widgets".split()
 )
+# Words that place chrome; a name is chrome if all its words are from these two.
+PLACE_WORDS = frozenset(
+    "area bar block body bottom box container form global holder inner item left link links list main outer page panel "
+    "primary right secondary section site top wrap wrapper".split()
+)
 ARTICLE_TAGS = frozenset(("article", "main"))
 ARTICLE_WORDS = frozenset("article content entry post story main body text".split())
 
@@ -46,10 +51,29 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*>|</?[A-Za-z](?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*>|</?[A-Za-z][^>]*>|[^<]+|<", re.S
 )
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
-_LABELS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_LABELS = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 
+# Tags whose id is a slug of their text, not the name of a part of the page.
+SLUG_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p article main".split())
+
+
+def names(tag: str, piece: str) -> tuple[bool, bool]:
+    """Whether the names in a tag say chrome, and whether they say article."""
+    chrome = article = False
+    for m in _LABELS.finditer(piece):
+        if m[1].lower() == "id" and tag in SLUG_TAGS:
+            continue
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            words = set(_WORDS.findall(name))
+            if words & CHROME_WORDS and words <= CHROME_WORDS | PLACE_WORDS:
+                chrome = True
+            elif words & ARTICLE_WORDS:
+                article = True
+    return chrome, article
+
+
 @dataclass
 class Block:
     text: str
@@ -118,15 +142,14 @@ def flat_blocks(page: str) -> list[Block]:
                 if tag == "li" and stack[-1][0] == "li":
                     stack.pop()
                 _, chrome, article = stack[-1]
-                labels = {w for m in _LABELS.finditer(piece) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())}
+                own_chrome, own_article = names(tag, piece)
+                if tag in ARTICLE_TAGS:
+                    chrome, own_article = False, True
                 if tag == "header" and not article:
                     chrome = True
-                if tag in CHROME_TAGS or labels & CHROME_WORDS and tag not in ("html", "body") and not (
-                    labels & ARTICLE_WORDS and article
-                ):
+                if tag in CHROME_TAGS or own_chrome and tag not in ("html", "body"):
                     chrome = True
-                if tag in ARTICLE_TAGS or labels & ARTICLE_WORDS:
-                    article = True
+                article = article or own_article
                 stack.append((tag, chrome, article))
                 links = 0
     flush()
@@ -217,6 +240,10 @@ LABELLED = """
 5 0.0 3 1.0 6 0.0 0 0 0 0 0
 3 0.0 6 0.0 4 0.5 0 0 0 0 0
 1 0.0 0 0.0 2 1.0 0 0 0 0 0
+120 0.02 90 0.0 80 0.0 1 0 0 0 1
+150 0.0 60 0.0 0 0.0 1 0 0 0 1
+85 0.0 40 0.0 110 0.05 1 0 0 0 1
+6 0.0 2 1.0 95 0.0 1 0 1 0 1
 """
 
 

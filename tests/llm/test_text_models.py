@@ -199,6 +199,20 @@ def test_text_of_math_and_objects_stays():
     assert ht.main_text(page) == "So x=2 holds .\nFallback text.\nEnd."
 
 
+@pytest.mark.parametrize("opening", [
+    "<main class='content has-sidebar'>", "<div class='content-sidebar-wrap'><article>", "<article class='post comments-open'>",
+    "<article id='share-price-falls'>", "<div class=sidebar><article>", "<form id=form><main>",
+])
+def test_names_of_articles_are_no_chrome(opening):
+    page = f"<body><nav><a href=/>Home</a></nav>{opening}<h1 id=share-alert>Title here</h1><p id=menu>One two three four.</p>"
+    assert ht.main_text(page) == "Title here\nOne two three four."
+
+
+def test_length_decides_within_chrome():
+    long = "word " * 120
+    assert ht.main_text(f"<form><p>{long}</p><p>{long}</p></form>").count("word") == 240
+
+
 def test_tree_fits_its_table():
     rows, marks = ht.labelled()
     assert len(rows) < 200
