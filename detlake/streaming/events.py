@@ -81,7 +81,7 @@ def latest_states(updates: DataFrame) -> DataFrame:
 
 def windowed_metrics(events: DataFrame, size: str = "1 hour", slide: str | None = None,
                      delay: str = "1 hour", value: str = "value") -> DataFrame:
-    """Events, retries and value totals per window and type; late rows beyond the delay drop."""
+    """Events, largest value and first time per window and type; late rows beyond the delay drop."""
     frame = F.window("ts", size, slide) if slide else F.window("ts", size)
     return (
         events.withWatermark("ts", delay)
