@@ -85,7 +85,8 @@ def _digit_spans(text: str) -> Iterator[tuple[str, int, int]]:
     while i + 3 < len(runs):
         four = runs[i : i + 4]
         if all(b[0] - a[1] == 1 and text[a[1]] == "." for a, b in pairwise(four)):
-            if all(b - a < 20 and int(text[a:b]) <= 255 for a, b in four):
+            parts = [text[a:b].lstrip("0") for a, b in four]
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
                 yield "ip", four[0][0], four[3][1]
             i += 4
         else:

@@ -160,6 +160,12 @@ def test_base_spans_equal_the_patterns():
         assert got == by_patterns(text), text
 
 
+def test_addresses_with_many_leading_zeros():
+    for text in ("0" * 23 + "1.2.3.4", "1.2.3." + "0" * 30, "0" * 30 + "256.2.3.4", "1.2.3." + "9" * 25):
+        assert [x for x in personal.find_spans(text) if x[2] == "ip"] == [x for x in by_patterns(text) if x[2] == "ip"], text
+    assert personal.find_spans("0" * 23 + "1.2.3.4")[0][2] == "ip"
+
+
 def test_added_kinds_and_tables(spark):
     text = 'see https://a.example.com/x?y=1. IBAN: DE89 3704 0044 0532 0130 00 account no. 12345678 token = "ffc31055b4e2"'
     assert [text[a:b] for a, _, _, b in personal.find_spans(text)] == [
