@@ -6,7 +6,9 @@ import corpus_pipeline
 from detlake.llm import (
     context_tree,
     exact_dedup,
+    histogram_search,
     html_text,
+    lexical,
     mixing,
     near_join,
     personal,
@@ -14,6 +16,7 @@ from detlake.llm import (
     quality,
     token_count,
     token_files,
+    whitening,
 )
 
 QUERIES = {
@@ -27,10 +30,15 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op11_histogram_search": histogram_search.op11_histogram_search,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_whitening": whitening.op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op4_quality_rules": quality.OP4_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_histogram_search": histogram_search.OP11_SQL,
+    "op12_lexical_search": lexical.OP12_SQL,
 }
