@@ -5,12 +5,21 @@ The index is a Parquet table bucketed and sorted by digest, one row per distinct
 digest, joined with the index by a sort-merge anti-join that needs no exchange of the
 index, and appended. A batch that is offered again changes nothing.
 
-The table lives at a path. Any later session opens it with ``open_index``: the folder is
-declared again with the same buckets, so the bucket order survives the session.
+The index lives in a folder: ``facts`` holds one row for the number of buckets and each
+generation of the table, ``rows-<generation>`` the table. Any later session opens it with
+``open_index``: the number of buckets comes from the folder, never from the session, so the
+bucket order survives it. Each batch appends a file to its buckets; ``compact`` writes the next
+generation with one sorted file a bucket, whose order the join then takes as it is. Older
+generations stay until the folder is cleaned by its owner. One writer at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,50 +34,117 @@ def text_digest(text: str = "text") -> Column:
     return F.sha2(F.encode(whole_text(f"`{text}`"), "UTF-8"), 256)
 
 
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def _ordered_scans(spark: SparkSession) -> Iterator[None]:
+    """Scans of one sorted file a bucket count as sorted while this holds."""
+    before = spark.conf.get(_ORDERED)
+    spark.conf.set(_ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_ORDERED, before)
+
+
 class DigestIndex:
-    """A bucketed digest table at ``path``."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self.name = "digests_" + "".join(c if c.isalnum() else "_" for c in self.path)[-100:].lower()
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} ({COLUMNS}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+    """The bucketed digest table in the folder ``path``."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        known = self._facts()
+        if known is None:
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            self._note(0)
+        elif buckets not in (None, known["buckets"]):
+            raise ValueError(f"the index at {path} has {known['buckets']} buckets, not {buckets}")
+        else:
+            self.buckets, self.generation = known["buckets"], known["generation"]
+        self.name = self._declared(self.generation)
+
+    def _facts(self):
+        try:
+            facts = self.spark.read.schema("buckets INT, generation INT").parquet(f"{self.path}/facts")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return facts.orderBy(F.desc("generation")).first()
+
+    def _note(self, generation: int) -> None:
+        row = self.spark.range(1).select(
+            F.lit(self.buckets).alias("buckets"), F.lit(generation).alias("generation")
+        )
+        row.write.mode("append").parquet(f"{self.path}/facts")
+        self.generation = generation
+
+    def _declared(self, generation: int) -> str:
+        """Name of the table over one generation: a digest of its exact folder."""
+        folder = f"{self.path}/rows-{generation}"
+        name = "digests_" + hashlib.sha256(folder.encode()).hexdigest()[:40]
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({COLUMNS}) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{folder}'"
         )
+        return name
 
     def rows(self) -> DataFrame:
         self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
+    def unknown(self, digests: DataFrame) -> DataFrame:
+        """Rows of ``digests`` that the index lacks; the index is neither shuffled nor, compacted, sorted."""
+        return digests.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+
+    def _write(self, rows: DataFrame, name: str, folder: str, mode: str = "append") -> None:
+        # One writer task a bucket: each writes one sorted file to its own bucket.
+        (
+            rows.repartition(self.buckets, "digest")
+            .write.mode(mode)
+            .format("parquet")
+            .bucketBy(self.buckets, "digest")
+            .sortBy("digest")
+            .option("path", folder)
+            .saveAsTable(name)
+        )
+
     def add(self, df: DataFrame, batch: str, key: str = "doc_id", text: str = "text") -> DataFrame:
         """Append the texts of ``df`` that the index lacks; returns the index.
 
-        Of equal texts in the batch the largest key is kept (null keys are the smallest);
-        a text that the index holds already stays with the row it has.
+        Of equal texts in the batch the largest key is kept (null keys are the smallest) and
+        ``group_size`` counts them; a text that the index holds already stays with the row it has.
         """
-        new = (
+        digests = (
             df.select(text_digest(text).alias("digest"), F.col(f"`{key}`").cast("long").alias("key"))
             .groupBy("digest")
             .agg(F.max("key").alias("keep_id"), F.count("*").alias("group_size"))
-            .join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-            .withColumn("batch", F.lit(batch))
-        )
-        # One writer task a bucket: each appends one sorted file to its own bucket.
-        (
-            new.repartition(self.buckets, "digest")
-            .write.mode("append")
-            .format("parquet")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .option("path", self.path)
-            .saveAsTable(self.name)
         )
+        with _ordered_scans(self.spark):
+            new = self.unknown(digests).withColumn("batch", F.lit(batch))
+            self._write(new, self.name, f"{self.path}/rows-{self.generation}")
+        return self.rows()
+
+    def compact(self) -> DataFrame:
+        """Write the next generation, one sorted file a bucket, and go on with it.
+
+        A reader of an older generation keeps its files; a compaction that was cut short before
+        its generation was noted is written anew.
+        """
+        following = self.generation + 1
+        name = self._declared(following)
+        self._write(self.rows(), name, f"{self.path}/rows-{following}", "overwrite")
+        self._note(following)
+        self.name = name
         return self.rows()
 
 
 def open_index(spark: SparkSession, path: str | None = None, buckets: int | None = None) -> DigestIndex:
-    """Open or create the index at ``path``; a fresh folder of the shared one if None."""
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Open or create the index in the folder ``path``; a fresh folder of the shared one if None.
+
+    ``buckets`` counts for a new index only (default: the session's shuffle partitions); an
+    existing one refuses another number.
+    """
     return DigestIndex(spark, path or scratch_path(spark, "digest-index"), buckets)
 
 

@@ -17,11 +17,13 @@ edges cut, and its inner words, which have one way, are encoded once per worker.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -408,7 +410,8 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", out: str = "piec
 
     No begin, end or other special tokens are added. Null counts as empty and has no ids.
     Texts of more than ``chunk`` characters go through the parallel scan, equal ones once.
-    ``text`` is kept, null becomes empty; a column named like ``out`` is replaced.
+    ``text`` is kept, null becomes empty; a column named like ``out`` is replaced. Repeated rows
+    are coded each time; an empty table gives an empty table.
     """
     df = df.drop(*[c for c in df.columns if c.lower() == out.lower() and c != text])
     df = df.withColumn(text, whole_text(f"`{text}`"))
@@ -422,24 +425,72 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", out: str = "piec
 
 
 def decode_pieces(df: DataFrame, path: str, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
-    """``df`` with ``out``, the text of packed ids; null ids give null."""
+    """``df`` with ``out``, the text of packed ids; null ids give null, repeated rows are
+    decoded each time and an empty table gives an empty table."""
     return with_computed(df, ids, {out: "string"}, _texts_of(path), keep=True)
 
 
-def piece_report(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _reported(path: str):
+    """Numbers of pieces, checksums and round trips of texts, or of texts that come with their ids."""
+
+    def start():
+        model = piece_model(path)
+
+        def report(texts, given=None):
+            counts, sums, same = [], [], []
+            for i, value in enumerate(texts):
+                text = value.as_py()
+                ids = model.encode(text) if given is None else given[i].as_py()
+                counts.append(len(ids) // 4)
+                sums.append(zlib.crc32(ids))
+                same.append(model.decode(ids) == text.replace(MARK, " "))
+            return counts, sums, same
+
+        return report
+
+    return start
+
+
+_REPORT = "n_pieces long, ids_crc32 long, round_trip boolean"
+
+
+def piece_report(
+    df: DataFrame, path: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK_CHARS
+) -> DataFrame:
     """Per row: key, n_pieces, ids_crc32 and round_trip (decoding gives the text back).
 
     Decoding writes the space mark as a space, so a text that holds the mark itself comes
-    back with spaces; it is compared that way.
+    back with spaces; it is compared that way. One worker encodes and decodes a text and
+    keeps neither ids nor decoded text. Null counts as empty; repeated rows are reported each
+    time; texts of more than ``chunk`` characters are encoded by the parallel scan, equal ones
+    once; an empty table gives an empty table. Other columns are not read.
     """
-    coded = decode_pieces(encode_pieces(df.select(key, text), path, text), path)
-    as_written = F.regexp_replace(F.col(f"`{text}`"), MARK, " ")
-    return coded.select(
-        key,
-        (F.octet_length("piece_ids") / 4).cast("long").alias("n_pieces"),
-        F.crc32("piece_ids").alias("ids_crc32"),
-        (F.col("decoded") == as_written).alias("round_trip"),
-    )
+    rows = df.select(F.col(f"`{key}`"), whole_text(f"`{text}`").alias("value"))
+    giant = F.length("value") > chunk
+    kind = df.schema[key].dataType.simpleString()
+    start, names = _reported(path), ["n_pieces", "ids_crc32", "round_trip"]
+
+    def small_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        report = start()
+        for batch in batches:
+            made = [pa.array(c) for c in report(batch.column(1))] if batch.num_rows else []
+            if made:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made], [key, *names])
+
+    def giant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        report = start()
+        for batch in batches:
+            for i in range(batch.num_rows):  # one text at a time
+                made = [pa.array(c) for c in report(batch.column(1).slice(i, 1), batch.column(2).slice(i, 1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *made], ["text_key", *names])
+
+    small = rows.filter(~giant).mapInArrow(small_rows, f"`{key}` {kind}, {_REPORT}")
+    large = rows.filter(giant).withColumn("text_key", F.sha2("value", 256))
+    texts = large.groupBy(F.col("text_key").alias("key")).agg(F.first("value").alias("text"))
+    texts = stored(texts, "piece-giants")
+    coded = texts.join(encode_giants(texts, path, chunk), "key").select("key", "text", "ids")
+    facts = coded.mapInArrow(giant_rows, f"text_key string, {_REPORT}")
+    return small.unionByName(large.select(key, "text_key").join(facts, "text_key").drop("text_key"))
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -166,10 +166,12 @@ def fit_whitening(rows: DataFrame, width: int, components: int = 16, seed: int =
 
     Directions whose variance is no more than rounding are not components.
     """
+    none = Whitening(0, np.zeros(width, np.int64), np.zeros((0, width)), np.zeros(0), 0.0, 0.0)
+    if not width:
+        return none
     blocks = Blocks(rows, width)
     n, sums = blocks.n, blocks.sums
-    none = Whitening(n, sums, np.zeros((0, width)), np.zeros(0), 0.0, 0.0)
-    if not n or not width:
+    if not n:
         return none
     right, b, trace = bidiagonalise(blocks, components, seed, tolerance)
     _, values, turned = np.linalg.svd(b)

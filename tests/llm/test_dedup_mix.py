@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from detlake.llm.exact_dedup import deduplicate, look_up, open_index
 from detlake.llm.mixing import mix, source_targets
@@ -35,6 +36,53 @@ def test_index_persists_and_grows(spark):
     assert "Bucketed" in plan
 
 
+def _texts(spark, ids, word="text"):
+    return documents(spark, [(i, f"{word} {i}", None, None, 0) for i in ids])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_keeps_its_buckets_and_its_own_table(spark):
+    path = scratch_path(spark, "test-index")
+    first = open_index(spark, path, 8)
+    first.add(_texts(spark, range(1000)), "1")
+    spark.sql(f"DROP TABLE {first.name}")  # as in another catalog
+    again = open_index(spark, path)  # the session has 4 shuffle partitions
+    assert (spark.conf.get("spark.sql.shuffle.partitions"), again.buckets) == ("4", 8)
+    assert again.rows().groupBy("digest").count().count() == 1000
+    assert again.add(_texts(spark, range(500, 1500)), "2").count() == 1500
+    with pytest.raises(ValueError):
+        open_index(spark, path, 4)
+    # Paths that look alike are different indexes.
+    others = [open_index(spark, f"{path}{end}") for end in ("/a/b_c", "/a/b/c", "/A/b/c")]
+    assert [o.add(_texts(spark, [i]), "1").count() for i, o in enumerate(others)] == [1, 1, 1]
+
+
+def test_compacted_index_is_joined_without_a_sort(spark):
+    index = open_index(spark, scratch_path(spark, "test-index"), 4)
+    for batch in range(5):
+        index.add(_texts(spark, range(batch * 50, batch * 50 + 100)), str(batch))
+    assert index.rows().count() == 300
+    before = {tuple(r) for r in index.rows().collect()}
+    assert {tuple(r) for r in index.compact().collect()} == before
+    fresh_ = open_index(spark, index.path)
+    assert (fresh_.generation, fresh_.name) == (1, index.name)
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    spark.conf.set(key, "true")
+    try:
+        digests = spark.range(50).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+        text = _plan(fresh_.unknown(digests))
+    finally:
+        spark.conf.unset(key)
+    assert "SortMergeJoin" in text and "Bucketed: true" in text
+    below = text.split("SortMergeJoin")[1]
+    assert below.count("Exchange hashpartitioning(digest") == 1  # of the new rows only
+    assert below.count("Sort [digest") == 1
+    assert fresh_.add(_texts(spark, range(290, 310)), "6").count() == 310
+
+
 def test_dedup_clashes_hot_group_and_empty(spark):
     rows = [(i, "same", None, None, 0) for i in range(3000)] + [(i, f"t{i}", None, None, 0) for i in range(3000, 6000)]
     got = deduplicate(clashing(documents(spark, rows), "KEPT", "digest", "group_size"))

@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -275,3 +276,8 @@ def test_tables_of_pieces(spark, model):
     assert all(np.frombuffer(r.piece_ids, "<u4").tolist() == model.library.encode(r.text) for r in got)
     assert pieces.piece_report(documents(spark), MODEL).filter("round_trip").count() == len(awkward_rows())
     assert pieces.piece_report(documents(spark, []), MODEL).count() == 0
+    rows = awkward_rows() * 2  # repeated rows, giants among them, are reported each time
+    report = pieces.piece_report(documents(spark, rows), MODEL, chunk=500)
+    want = [model.library.encode(r[1] or "") for r in rows]
+    want = sorted((str(r[0]), len(w), zlib.crc32(np.asarray(w, "<u4").tobytes()), True) for r, w in zip(rows, want, strict=True))
+    assert sorted((str(r[0]), *r[1:]) for r in report.collect()) == want
