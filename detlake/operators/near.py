@@ -6,7 +6,12 @@ copies is one row in the join, however many images share it.
 * Small distances: the signature is cut into ``k + extra`` bands. Two signatures within
   distance ``k`` agree on at least ``extra`` bands, so they meet under some combination
   of ``extra`` bands. Key width grows with the table, which keeps key groups small.
-* Larger distances: bands are probed to a small radius (pigeonhole per band).
+* Larger distances: two bands at once. With ``k // 2 + 1`` bands or more, two signatures within
+  ``k`` differ by one bit at most in each of some two bands (or, if no bit is to spare, are equal
+  in one and differ by exactly two in all others). Keys of two bands are long enough to keep
+  their groups small, and each side flips one bit of one of the bands, so a row has hundreds
+  of keys where probing long bands to a radius of four takes thousands.
+* With a given number of bands: each band is probed to a small radius (pigeonhole per band).
 
 A pair that meets under several keys is kept only under its first one.
 """
@@ -47,7 +52,7 @@ def _part(signature: Column, offset: int, size: int) -> Column:
 def plan_bands(width: int, k: int, rows: int) -> tuple[str, int]:
     """Pick the search and its number of bands from the number of distinct signatures.
 
-    Aims at keys of about log2(rows) bits: wider keys mean more copies of each row,
+    Band combinations aim at keys of about log2(rows) bits: wider keys mean more copies of each row,
     narrower keys mean more candidates per key.
     """
     bits = max(8, min(40, math.ceil(math.log2(max(rows, 2)))))
@@ -57,7 +62,7 @@ def plan_bands(width: int, k: int, rows: int) -> tuple[str, int]:
             if extra * (width // bands) >= bits:
                 return "combinations", bands
         return "combinations", k + 4
-    return "probes", max(2, min(k, round(width / min(bits, 20))))
+    return "pairs", (k + 1) // 2 + 1
 
 
 def _combination_keys(signature: Column, width: int, k: int, bands: int) -> Column:
@@ -129,6 +134,59 @@ def _first_probe(difference: Column, width: int, k: int, bands: int) -> Column:
     return first == F.col("n")
 
 
+def _single_bits(size: int) -> Column:
+    return F.array(*[F.lit(1 << b).cast("bigint") for b in range(size)])
+
+
+def _pair_keys(signature: Column, width: int, k: int, bands: int, spread: bool) -> Column:
+    """Key structs: bands i < j, their bits, and the bit flipped. One side (``spread``) flips
+    in band i, the other in band j, so the same two bands meet once whatever differs.
+
+    Where ``2 * (bands - 1) == k`` there is also the band i that is equal, with the next band
+    flipped by one bit on both sides (i is negative then, to keep these keys apart).
+    """
+    edges = band_edges(width, bands)
+    parts = [_part(signature, *e) for e in edges]
+    zero = F.array(F.lit(0).cast("bigint"))
+
+    def keyed(number: int, i: int, j: int, flipped: int, flips: Column) -> Column:
+        def key(flip: Column) -> Column:
+            first, second = (parts[n].bitwiseXOR(flip) if n == flipped else parts[n] for n in (i, j))
+            joined = F.shiftleft(first, edges[j][1]).bitwiseOR(second)
+            return F.struct(F.lit(number).alias("i"), F.lit(j).alias("j"), joined.alias("v"), flip.alias("flip"))
+
+        return F.transform(flips, key)
+
+    keys = []
+    for i, j in itertools.combinations(range(bands), 2):
+        flipped = i if spread else j
+        keys.append(keyed(i, i, j, flipped, F.concat(zero, _single_bits(edges[flipped][1]))))
+    if 2 * (bands - 1) == k:
+        for i in range(bands):
+            j = (i + 1) % bands
+            keys.append(keyed(-1 - i, i, j, j, _single_bits(edges[j][1])))
+    return F.flatten(F.array(*keys))
+
+
+def _first_pair(difference: Column, width: int, k: int, bands: int) -> Column:
+    """Is this key the one to report the pair under: the first two bands that differ by at most a
+    bit; or, where only one band does, that band, with the lower of the next one's two bits flipped."""
+    edges = band_edges(width, bands)
+    parts = [_part(difference, *e) for e in edges]
+    close = F.filter(F.array(*[F.when(F.bit_count(p) <= 1, F.lit(n)) for n, p in enumerate(parts)]), F.isnotnull)
+    two = (F.get(close, F.lit(0)) == F.col("i")) & (F.get(close, F.lit(1)) == F.col("j"))
+    following = F.element_at(F.array(*parts), F.col("j") + 1)
+    lower = following.bitwiseAND(-following)
+    one = (F.size(close) == 1) & (F.col("i") < 0) & (F.col("flip") == lower)
+    return F.coalesce(two, F.lit(False)) | one
+
+
+def pair_candidates(a: DataFrame, b: DataFrame, width: int, k: int, bands: int) -> DataFrame:
+    """(a, b, i, j, flip) of signatures that meet under keys of two bands, before verification."""
+    right = b.select("b", F.inline(_pair_keys(F.col("b"), width, k, bands, False))).drop("flip")
+    return a.select("a", F.inline(_pair_keys(F.col("a"), width, k, bands, True))).join(right, ["i", "j", "v"])
+
+
 def near_signatures(
     left: DataFrame,
     right: DataFrame,
@@ -148,6 +206,8 @@ def near_signatures(
         search, bands = plan_bands(width, k, rows)
     else:
         search = "combinations" if k <= COMBINATION_LIMIT and bands > k else "probes"
+    if search == "pairs":
+        return _verified(pair_candidates(a, b, width, k, bands), k, lambda d: _first_pair(d, width, k, bands))
     if search == "combinations":
         keyed_a = _combination_keys(F.col("a"), width, k, bands)
         keyed_b = _combination_keys(F.col("b"), width, k, bands)
@@ -156,13 +216,19 @@ def near_signatures(
         keyed_a = _probe_keys(F.col("a"), width, k, bands, spread=True)
         keyed_b = _probe_keys(F.col("b"), width, k, bands, spread=False)
         first = _first_probe
+    met = a.select("a", F.inline(keyed_a)).join(
+        b.select("b", F.inline(keyed_b)).select("b", "n", "v"), ["n", "v"]
+    )
+    return _verified(met, k, lambda d: first(d, width, k, bands))
+
+
+def _verified(met: DataFrame, k: int, first) -> DataFrame:
+    """Pairs within distance ``k``, each from the first key that both have."""
     difference = F.col("a").bitwiseXOR(F.col("b"))
     return (
-        a.select("a", F.inline(keyed_a))
-        .join(b.select("b", F.inline(keyed_b)).select("b", "n", "v"), ["n", "v"])
-        .withColumn("distance", F.bit_count(difference))
+        met.withColumn("distance", F.bit_count(difference))
         .filter(F.col("distance") <= k)
-        .filter(first(difference, width, k, bands))
+        .filter(first(difference))
         .select("a", "b", "distance")
     )
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from detlake.operators.running import numbered, running_totals
+from detlake.session import stored
 
 
 def seeded_rank(seed, value, separator: str = ":") -> Column:
@@ -136,52 +139,140 @@ def group_stats(images: DataFrame, annotations: DataFrame, classes: list[int]) -
     )
 
 
-def holdout_choices(stats: DataFrame, count: int, totals: DataFrame | None = None,
-                    target: float = 0.15) -> DataFrame:
-    """Every choice of ``count`` groups with its score, best first under (score, tie).
+#: Part of everything that a holdout should have.
+HOLDOUT_SHARE = 0.15
+#: Measures by which halves of a choice are brought together.
+CELL_MEASURES = 3
+
+
+def _choices(ranked: DataFrame, groups: int, places: int, measures: list[str]) -> DataFrame:
+    """Every choice of ``places`` groups: their numbers, rising, and the sum of each measure.
 
     Choices are generated as index tuples i1 < i2 < … and joined to the group statistics
-    by index, so the work is spread over tasks. A choice must leave every class present
-    on both sides. ``totals`` (default: of ``stats``) sets the shares that are scored.
+    by index, so the work is spread over tasks.
     """
-    measures = [c for c in stats.columns if c != "group_id"]
-    classes = [c for c in measures if c != "images"]
-    ranked = numbered(stats, [F.col("group_id")], "_n")
-    groups = ranked.count()
-    if groups <= count:
-        raise ValueError("too few groups to hold any out")
-    available = stats.agg(*[F.sum(c).alias(c) for c in measures]).first()
-    whole = (totals or stats).agg(*[F.sum(c).alias(c) for c in measures]).first()
-    choices = stats.sparkSession.range(1, groups - count + 2).withColumnRenamed("id", "i1")
-    for place in range(2, count + 1):
-        last = groups - count + place
-        choices = choices.withColumn(
+    rows = ranked.sparkSession.range(1, groups - places + 2).withColumnRenamed("id", "i1")
+    for place in range(2, places + 1):
+        last = groups - places + place
+        rows = rows.withColumn(
             f"i{place}",
             F.explode(F.sequence(F.col(f"i{place - 1}") + 1, F.lit(last).cast("bigint"))),
         )
-    for place in range(1, count + 1):
+    for place in range(1, places + 1):
         part = ranked.select(
-            F.col("_n").alias(f"i{place}"),
-            F.col("group_id").alias(f"g{place}"),
-            *[F.col(m).alias(f"{m}_{place}") for m in measures],
+            F.col("_n").alias(f"i{place}"), *[F.col(m).alias(f"{m}_{place}") for m in measures]
+        )
+        rows = rows.join(part, f"i{place}")
+    sums = [
+        sum((F.col(f"{m}_{p}") for p in range(2, places + 1)), F.col(f"{m}_1")).alias(m) for m in measures
+    ]
+    return rows.select(F.array(*[f"i{p}" for p in range(1, places + 1)]).alias("chosen"), *sums)
+
+
+class _Holdout:
+    """What a choice of groups is judged by."""
+
+    def __init__(self, stats: DataFrame, count: int, totals: DataFrame | None, target: float):
+        self.measures = [c for c in stats.columns if c != "group_id"]
+        self.ranked = stored(numbered(stats, [F.col("group_id")], "_n"), "holdout-groups")
+        self.groups, self.count, self.target = self.ranked.count(), count, target
+        if self.groups <= count:
+            raise ValueError("too few groups to hold any out")
+        sums = [F.sum(c).alias(c) for c in self.measures]
+        self.available, self.whole = stats.agg(*sums).first(), (totals or stats).agg(*sums).first()
+
+    def share(self, measure: str, picked: Column) -> Column:
+        return picked / F.lit(self.whole[measure])
+
+    def judged(self, choices: DataFrame) -> DataFrame:
+        """Choices that leave every class on both sides, with their score."""
+        covered = F.lit(True)
+        for c in self.measures:
+            if c != "images":
+                covered = covered & (F.col(c) > 0) & (F.col(c) < self.available[c])
+        score = sum(
+            (F.pow(self.share(m, F.col(m)) - self.target, F.lit(2)) for m in self.measures), F.lit(0.0)
         )
-        choices = choices.join(part, f"i{place}")
-    picked = {m: sum((F.col(f"{m}_{p}") for p in range(2, count + 1)), F.col(f"{m}_1")) for m in measures}
-    covered = F.lit(True)
-    for c in classes:
-        covered = covered & (picked[c] > 0) & (picked[c] < available[c])
-    score = sum(
-        (F.pow(picked[m] / F.lit(whole[m]) - target, F.lit(2)) for m in measures), F.lit(0.0)
+        return choices.filter(covered).withColumn("score", score)
+
+    def named(self, choices: DataFrame) -> DataFrame:
+        """groups, score and tie of choices: the names in the order of their numbers."""
+        listed = choices.select("chosen", "score", F.posexplode("chosen").alias("place", "_n"))
+        names = listed.join(self.ranked.select("_n", "group_id"), "_n").groupBy("chosen", "score").agg(
+            F.array_sort(F.collect_list(F.struct("place", "group_id"))).alias("parts")
+        )
+        groups = F.array_join("parts.group_id", "|")
+        return names.select(groups.alias("groups"), "score", F.sha2(groups, 256).alias("tie"))
+
+
+def holdout_choices(stats: DataFrame, count: int, totals: DataFrame | None = None,
+                    target: float = HOLDOUT_SHARE) -> DataFrame:
+    """Every choice of ``count`` groups with its score, best first under (score, tie).
+
+    A choice must leave every class present on both sides. ``totals`` (default: of ``stats``)
+    sets the shares that are scored. The list has as many rows as there are choices; see
+    ``best_holdouts`` for the best ones alone.
+    """
+    how = _Holdout(stats, count, totals, target)
+    return how.named(how.judged(_choices(how.ranked, how.groups, count, how.measures)))
+
+
+def best_holdouts(stats: DataFrame, count: int, totals: DataFrame | None = None,
+                  target: float = HOLDOUT_SHARE) -> DataFrame:
+    """The choices of ``holdout_choices`` with the lowest score, without listing all.
+
+    A choice is its lower-numbered half and the rest. All halves are listed, which are about
+    the square root of the choices, and brought together where their shares add up to the target
+    within a radius: halves meet in cells of that size. Every choice whose score is the
+    radius squared or less is found that way, so the best found is the best there is; if none
+    is found the radius grows. Equal scores all come out. No row if no choice keeps every
+    class on both sides.
+    """
+    how = _Holdout(stats, count, totals, target)
+    if count == 1:
+        found = how.judged(_choices(how.ranked, how.groups, 1, how.measures))
+        return how.named(_lowest(found))
+    few = count // 2
+    low = stored(_choices(how.ranked, how.groups, few, how.measures), "holdout-halves")
+    high = stored(_choices(how.ranked, how.groups, count - few, how.measures), "holdout-halves")
+    radius = 0.05 * math.comb(how.groups, count) ** (-1 / len(how.measures))
+    while True:
+        found = stored(_within(how, low, high, radius), "holdout-found")
+        if not found.isEmpty() or radius * radius > len(how.measures):
+            return how.named(_lowest(found))
+        radius *= 3
+
+
+def _lowest(found: DataFrame) -> DataFrame:
+    best = found.agg(F.min("score").alias("score")).first()["score"]
+    return found.filter(F.col("score") <= F.lit(best).cast("double"))
+
+
+def _within(how: _Holdout, low: DataFrame, high: DataFrame, radius: float) -> DataFrame:
+    """Choices of two halves whose score is at most ``radius`` squared."""
+    by = how.measures[:CELL_MEASURES]
+    size = F.lit(radius * (1 + 1e-9))
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    left = low.select("chosen", *how.measures, *[F.floor(how.share(m, F.col(m)) / size).alias(f"_{m}") for m in by])
+    for m in by:
+        left = left.withColumn("_d", F.explode(around)).withColumn(f"_{m}", F.col(f"_{m}") + F.col("_d")).drop("_d")
+    missing = [F.floor((how.target - how.share(m, F.col(m))) / size).alias(f"_{m}") for m in by]
+    right = high.select(
+        F.col("chosen").alias("others"), *[F.col(m).alias(f"more_{m}") for m in how.measures], *missing
+    )
+    met = left.join(right, [f"_{m}" for m in by]).filter(
+        F.element_at("chosen", -1) < F.element_at("others", 1)
     )
-    names = F.concat_ws("|", *[f"g{p}" for p in range(1, count + 1)])
-    return choices.filter(covered).select(
-        names.alias("groups"), score.alias("score"), F.sha2(names, 256).alias("tie")
+    whole = met.select(
+        F.concat("chosen", "others").alias("chosen"),
+        *[(F.col(m) + F.col(f"more_{m}")).alias(m) for m in how.measures],
     )
+    return how.judged(whole).filter(F.col("score") <= radius * radius)
 
 
 def choose_holdout(stats: DataFrame, count: int, totals: DataFrame | None = None) -> list[str]:
     """The groups whose shares come closest to 15 percent of everything."""
-    best = holdout_choices(stats, count, totals).orderBy("score", "tie").limit(1).collect()
+    best = best_holdouts(stats, count, totals).orderBy("score", "tie").limit(1).collect()
     if not best:
         raise ValueError("cannot keep every class on both sides")
     return best[0]["groups"].split("|")

@@ -648,6 +648,30 @@ def holdout_split(spark, d):
     return S.holdout_split(S.group_stats(T.images(spark, d), T.truth(spark, d), [1, 2, 3]))
 
 
+_MANY_SQL = """WITH i AS (SELECT o_orderkey AS image_id, 'h' || lpad(CAST(o_custkey % 37 AS VARCHAR), 2, '0') AS group_id FROM orders),
+ b AS (SELECT group_id, count(*) FILTER (l_partkey % 5 = 0) AS c1, count(*) FILTER (l_partkey % 5 = 1) AS c2 FROM lineitem JOIN i ON l_orderkey = image_id
+  GROUP BY 1), st AS (SELECT group_id, count(*) AS images, any_value(c1) AS c1, any_value(c2) AS c2 FROM i LEFT JOIN b USING (group_id) GROUP BY 1),
+ tot AS (SELECT sum(images) AS im, sum(c1) AS t1, sum(c2) AS t2 FROM st),
+ pr AS (SELECT a.group_id || '|' || b.group_id AS g, b.group_id AS last, a.group_id AS first, a.images + b.images AS images, a.c1 + b.c1 AS c1, a.c2 + b.c2 AS c2
+  FROM st a JOIN st b ON a.group_id < b.group_id),
+ qu AS (SELECT p.g || '|' || q.g AS groups, p.images + q.images AS images, p.c1 + q.c1 AS c1, p.c2 + q.c2 AS c2 FROM pr p JOIN pr q ON p.last < q.first),
+ sc AS (SELECT groups, pow(images / im - 0.15, 2) + pow(c1 / t1 - 0.15, 2) + pow(c2 / t2 - 0.15, 2) AS score FROM qu, tot)
+"""
+
+
+@query(
+    "best_holdouts",
+    _MANY_SQL + "SELECT groups, round(score, 12) AS score, sha256(groups) AS tie FROM sc WHERE score <= (SELECT min(score) FROM sc)",
+)
+def best_holdouts(spark, d):
+    """Four of 37 groups: 66,045 choices."""
+    images = T.read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("image_id"), F.expr("concat('h', lpad(CAST(o_custkey % 37 AS STRING), 2, '0'))").alias("group_id")
+    )
+    stats = S.group_stats(images, T.truth(spark, d), [1, 2])
+    return S.best_holdouts(stats, 4).select("groups", rounded("score", 12), "tie")
+
+
 # Near duplicates
 
 
@@ -727,6 +751,21 @@ def orientation_links(spark, d):
     return N.orientation_links(rows, 5, 3, 32, 28)
 
 
+@query(
+    "orientation_links_wide",
+    f"""WITH {SIGNATURE_SQL}, d AS (SELECT a.image_id AS first_image_id, b.image_id AS second_image_id,
+    a.family AS first_family, b.family AS second_family,
+    list_min(list_transform(b.turned_63, lambda h: bit_count(xor(a.turned_63[1], h))))::INT AS phash_distance,
+    list_min(list_transform(b.turned_64, lambda h: bit_count(xor(a.turned_64[1], h))))::INT AS ahash_distance
+    FROM sig a JOIN sig b ON a.ordinal < b.ordinal AND a.family <> b.family)
+    SELECT * FROM d WHERE phash_distance <= 12 OR ahash_distance <= 8""",
+)
+def orientation_links_wide(spark, d):
+    """Signatures of 63 and 64 bits within 12 and 8."""
+    rows = T.signatures(spark, d).withColumns({"phash": F.col("turned_63"), "ahash": F.col("turned_64")})
+    return N.orientation_links(rows)
+
+
 # Groups
 
 

@@ -16,7 +16,7 @@ from detlake.operators import review as W
 from detlake.operators import runs as U
 from detlake.operators import scoring as P
 from detlake.plans import tables as T
-from detlake.plans.registry import query
+from detlake.plans.registry import query, rounded
 from detlake.plans.tables import BASE_SQL
 from detlake.streaming import events as E
 
@@ -802,7 +802,7 @@ def job_state_stream(spark, d):
     rows = _event_stream(spark, d).select(
         F.col("user_id").alias("inspection_id"), F.expr(_KIND_SQL).alias("event_type"), "ts", "event_id"
     )
-    updates = E.run_to_table(E.job_state_stream(rows), "states", "update")
+    updates = E.run_to_table(E.job_state_stream(rows, "60 days"), "states", "update", E.ROCKS)
     return E.latest_states(updates).select("inspection_id", "state", "events", "attempts")
 
 
@@ -829,6 +829,54 @@ def windowed_metrics_stream(spark, d):
     return last.select(F.col("window_start").cast("bigint").alias("window_start"), "event_type", "r.*")
 
 
+def _closed(spark, rows, label):
+    """``rows`` as a stream that a row of the year 2100 closes, so that all others come out."""
+    path = E.scratch_path(spark, label)
+    tick = rows.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    tick = tick.withColumn("ts", F.lit("2100-01-01").cast("timestamp"))
+    rows.unionByName(tick).write.parquet(path)
+    return E.read_stream(spark, path, rows.schema)
+
+
+@query(
+    "queue_age_stream",
+    """WITH o AS (SELECT ts, event_id, epoch_us(ts) AS c, 1000000::BIGINT * 3600 * (event_id % 30) + 250000 * (event_id % 4) AS wait FROM events
+  WHERE event_type IN ('click', 'view')), a AS (SELECT *, CASE WHEN event_id % 5 <> 0 AND wait <= 86400000000 THEN wait END AS age FROM o)
+ SELECT epoch(time_bucket(INTERVAL 6 HOUR, ts))::BIGINT AS window_start, count(*) AS n, count_if(age IS NULL)::BIGINT AS unpublished,
+  min(CASE WHEN age IS NULL THEN c END) AS oldest_unpublished, max(age) / 1e6 AS max_age, round(sum(age) / count(age) / 1e6, 6) AS mean_age
+ FROM a GROUP BY 1""",
+)
+def queue_age_stream(spark, d):
+    """Clicks and views enter the outbox; four of five are published some hours later, twice each."""
+    rows = T.events(spark, d).filter("event_type IN ('click', 'view')").select(
+        "ts", "event_id", F.col("user_id").alias("inspection_id")
+    )
+    wait = F.make_dt_interval(hours=F.col("event_id") % 30, secs=F.col("event_id") % 4 * F.lit(0.25).cast("decimal(18,6)"))
+    sent = rows.filter("event_id % 5 <> 0").select((F.col("ts") + wait).alias("ts"), "event_id")
+    twice = sent.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    ages = E.queue_ages(_closed(spark, rows, "outbox"), _closed(spark, twice, "sent"), "1 day", "60 days")
+    found = E.run_to_table(E.queue_metrics(ages, "6 hours"), "queue")
+    return found.select(
+        F.col("window_start").cast("bigint").alias("window_start"), "n", "unpublished",
+        F.unix_micros("oldest_unpublished").alias("oldest_unpublished"), "max_age", rounded("mean_age", 6),
+    )
+
+
+@query(
+    "retries_stream",
+    f"""WITH k AS (SELECT ts, user_id, {_KIND_SQL} AS kind FROM events), j AS (SELECT epoch(time_bucket(INTERVAL 6 HOUR, ts))::BIGINT AS window_start,
+  user_id, count(*) AS n FROM k WHERE kind = 'inspection_retry_scheduled' GROUP BY ALL)
+ SELECT window_start, sum(n)::BIGINT AS retries, count(*) AS jobs, max(n) AS most FROM j GROUP BY 1""",
+)
+def retries_stream(spark, d):
+    rows = T.events(spark, d).select(
+        "ts", F.col("user_id").alias("inspection_id"), F.expr(_KIND_SQL).alias("event_type")
+    )
+    closed = _closed(spark, rows, "retries").fillna({"event_type": "inspection_retry_scheduled"})
+    found = E.run_to_table(E.retries_per_window(closed, "6 hours"), "retry-windows")
+    return found.select(F.col("window_start").cast("bigint").alias("window_start"), "retries", "jobs", "most")
+
+
 _COMMAND = {"click": "claim", "purchase": "result", "view": "renew", "error": "redrive", "signup": "fail"}
 _COMMAND_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _COMMAND.items()) + " END"
 _FENCE_SQL = f"""WITH RECURSIVE c AS (SELECT user_id, event_id, epoch(ts) AS tm, {_COMMAND_SQL} AS kind, max(CASE WHEN event_type = 'click'

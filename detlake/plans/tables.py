@@ -157,7 +157,11 @@ sig AS (SELECT vec_id AS image_id, vec_id AS ordinal, 'f' || CAST(label AS VARCH
    list_transform([0, 8, 16, 24], lambda r: list_sum(list_transform(range(32), lambda i:
      CASE WHEN embedding[(i + r) % 32 + 1] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT) AS turned,
    list_transform([0, 7, 14, 21], lambda r: list_sum(list_transform(range(28), lambda i:
-     CASE WHEN embedding[(i + r) % 28 + 33] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT) AS turned_b
+     CASE WHEN embedding[(i + r) % 28 + 33] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT) AS turned_b,
+   list_transform([0, 8, 16, 24], lambda r: list_sum(list_transform(range(63), lambda i:
+     CASE WHEN embedding[(i + r) % 32 + 1] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT) AS turned_63,
+   list_transform([0, 8, 16, 24], lambda r: list_sum(list_transform(range(64), lambda i:
+     CASE WHEN embedding[(i + r) % 32 + 33] > 0 THEN 1::HUGEINT << i ELSE 0 END))::HUGEINT) AS turned_64
    FROM embeddings)
 """
 
@@ -187,6 +191,12 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(
             f"transform(array(0, 7, 14, 21), r -> {_sign_bits(28, '(i + r) % 28 + 32')})"
         ).alias("turned_b"),
+        F.expr(
+            f"transform(array(0, 8, 16, 24), r -> {_sign_bits(63, '(i + r) % 32')})"
+        ).alias("turned_63"),
+        F.expr(
+            f"transform(array(0, 8, 16, 24), r -> {_sign_bits(64, '(i + r) % 32 + 32')})"
+        ).alias("turned_64"),
     )
 
 

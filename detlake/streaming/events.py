@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -25,7 +27,24 @@ def read_stream(spark: SparkSession, path: str, schema, form: str = "parquet", g
     return reader.load(path)
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+#: State store that value states and timers of ``transformWithStateInPandas`` need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_store(spark: SparkSession, provider: str | None) -> Iterator[None]:
+    """Streams that are started meanwhile keep their state with ``provider``."""
+    before = spark.conf.get(_PROVIDER)
+    if provider:
+        spark.conf.set(_PROVIDER, provider)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def run_to_table(stream: DataFrame, label: str, mode: str = "append", provider: str | None = None) -> DataFrame:
     """Process everything available now and return what was written.
 
     Update mode has no file sink; its batches are written one by one with their number.
@@ -35,14 +54,15 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     writer = stream.writeStream.option("checkpointLocation", f"{path}/_checkpoint").trigger(
         availableNow=True
     )
-    if mode == "append":
-        query = writer.outputMode("append").format("parquet").start(f"{path}/data")
-    else:
-        def save(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
-
-        query = writer.outputMode(mode).foreachBatch(save).start()
-    query.awaitTermination()
+    with state_store(spark, provider):
+        if mode == "append":
+            query = writer.outputMode("append").format("parquet").start(f"{path}/data")
+        else:
+            def save(batch: DataFrame, number: int) -> None:
+                batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+
+            query = writer.outputMode(mode).foreachBatch(save).start()
+        query.awaitTermination()
     fields = list(stream.schema.fields)
     if mode != "append":
         fields.append(StructField("batch", LongType()))
@@ -55,17 +75,66 @@ def without_repeats(stream: DataFrame, delay: str = "1 hour", key: str = "event_
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def job_state_stream(events: DataFrame) -> DataFrame:
-    """Current state of every job touched, for update mode."""
-    return (
-        events.withColumn("state", state_after())
-        .groupBy("inspection_id")
-        .agg(
-            F.max_by("state", F.struct("ts", "event_id")).alias("state"),
-            F.max("ts").alias("since"),
-            F.count("*").alias("events"),
-            F.count_if(F.col("event_type") == "inspection_processing").alias("attempts"),
+#: Event time for which a finished job is remembered, to judge late events; then its state ends.
+FINISHED_MS = 24 * 3600 * 1000
+_JOB_STATE = "state string, since timestamp, events long, attempts long"
+#: States in which a job has come to rest.
+FINISHED = ("COMPLETED", "FAILED")
+
+
+class _JobStates(StatefulProcessor):
+    """State, last event, events and attempts of one job; kept until a while after it has finished."""
+
+    def __init__(self, keep_ms: int, event_id: str):
+        self.keep_ms, self.event_id = keep_ms, event_id
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState(
+            "job", f"state string, micros long, event_id {self.event_id}, events long, attempts long"
         )
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state, micros, last, events, attempts = self.job.get() if self.job.exists() else (None, -1, None, 0, 0)
+        for frame in rows:
+            events += len(frame)
+            attempts += int(frame["is_attempt"].sum())
+            newest = frame.sort_values(["micros", "event_id"]).iloc[-1]
+            if last is None or (newest["micros"], newest["event_id"]) > (micros, last):
+                state, micros, last = newest["state"], int(newest["micros"]), newest["event_id"]
+        last = last.item() if hasattr(last, "item") else last
+        self.job.update((state, micros, last, events, attempts))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if state in FINISHED:
+            now = max(micros // 1000, timerValues.getCurrentWatermarkInMs())
+            self.handle.registerTimer(now + self.keep_ms)
+        yield pd.DataFrame(
+            {"inspection_id": [key[0]], "state": [state], "since": [pd.Timestamp(micros, unit="us")],
+             "events": [events], "attempts": [attempts]}
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.job.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def job_state_stream(events: DataFrame, delay: str = "1 hour", keep_ms: int = FINISHED_MS) -> DataFrame:
+    """Current state of every job touched, for update mode; needs the state store ``ROCKS``.
+
+    Events later than ``delay`` are dropped. The state of a finished job ends ``keep_ms`` of event
+    time after its last event; a job that is redriven later is counted anew.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    rows = events.withWatermark("ts", delay).select(
+        "inspection_id", "ts", "event_id", F.unix_micros("ts").alias("micros"), state_after().alias("state"),
+        (F.col("event_type") == "inspection_processing").alias("is_attempt"),
+    )
+    return rows.groupBy("inspection_id").transformWithStateInPandas(
+        _JobStates(keep_ms, kinds["event_id"]), f"inspection_id {kinds['inspection_id']}, {_JOB_STATE}", "Update", "EventTime"
     )
 
 
@@ -94,11 +163,62 @@ def windowed_metrics(events: DataFrame, size: str = "1 hour", slide: str | None
     )
 
 
+def queue_ages(outbox: DataFrame, publications: DataFrame, horizon: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """When each outbox row was published: event_id, inspection_id, created_at, published_at.
+
+    Two streams with ``event_id`` and ``ts`` (``outbox`` with ``inspection_id``) are joined within
+    ``horizon``; what has not been published by then comes out with a null once the watermark has
+    passed it, and state of both sides ends there. A publication that is recorded again within
+    the delay counts once.
+    """
+    rows = outbox.select("event_id", "inspection_id", F.col("ts").alias("created_at")).withWatermark("created_at", delay)
+    sent = (
+        publications.select(F.col("event_id").alias("sent_id"), F.col("ts").alias("published_at"))
+        .withWatermark("published_at", delay)
+        .dropDuplicatesWithinWatermark(["sent_id"])
+    )
+    within = (
+        (F.col("event_id") == F.col("sent_id"))
+        & (F.col("published_at") >= F.col("created_at"))
+        & (F.col("published_at") <= F.col("created_at") + F.expr(f"INTERVAL {horizon}"))
+    )
+    return rows.join(sent, within, "left_outer").drop("sent_id")
+
+
+def queue_metrics(ages: DataFrame, size: str = "1 hour") -> DataFrame:
+    """Per window of creation: rows, unpublished ones, the oldest of them, queue age in seconds."""
+    age = F.unix_micros("published_at") - F.unix_micros("created_at")
+    waits = F.col("published_at").isNull()
+    return (
+        ages.groupBy(F.window("created_at", size).alias("w"))
+        .agg(
+            F.count("*").alias("n"),
+            F.count_if(waits).alias("unpublished"),
+            F.min(F.when(waits, F.col("created_at"))).alias("oldest_unpublished"),
+            (F.max(age) / 1e6).alias("max_age"),
+            (F.avg(age) / 1e6).alias("mean_age"),
+        )
+        .select(F.col("w.start").alias("window_start"), "n", "unpublished", "oldest_unpublished", "max_age", "mean_age")
+    )
+
+
+def retries_per_window(events: DataFrame, size: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """Per window: scheduled retries, the jobs that had any, and the most of one job.
+
+    Jobs are counted first, so a window with one very busy job is no crowded group.
+    """
+    retries = events.filter(F.col("event_type") == "inspection_retry_scheduled").withWatermark("ts", delay)
+    by_job = retries.groupBy(F.window("ts", size).alias("w"), "inspection_id").agg(F.count("*").alias("n"))
+    return (
+        by_job.groupBy(F.window(F.window_time("w"), size).alias("v"))
+        .agg(F.sum("n").alias("retries"), F.count("*").alias("jobs"), F.max("n").alias("most"))
+        .select(F.col("v.start").alias("window_start"), "retries", "jobs", "most")
+    )
+
+
 LEASE_STATE = "token string, lease_until double, attempts int, status string"
 LEASE_OUTPUT = "inspection_id string, event_id string, at double, outcome string"
 NEW_LEASE = (None, 0.0, 0, "queued")
-#: Event time for which a finished job is remembered, to judge late commands; then its state ends.
-FINISHED_MS = 24 * 3600 * 1000
 
 
 def follow_lease(lease: tuple, kind: str, token: str | None, at: float, lease_until: float) -> tuple:

@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 from detlake.operators import matching as M
 from detlake.operators import precision as A
 from detlake.operators import tiles as L
+from detlake.plans import catalog
 from detlake.plans import tables as T
 from detlake.sources import files as S
 
@@ -64,8 +65,10 @@ def test_object_listing_does_not_read_content(spark, tmp_path):
 
 
 def test_every_query_has_sql(spark):
-    assert entry.queries().keys() == entry.oracle_sql().keys()
-    assert len(entry.queries()) > 130
+    assert catalog.QUERIES.keys() == catalog.ORACLES.keys()
+    assert len(catalog.QUERIES) > 130
+    assert catalog.QUERIES.items() <= entry.queries().items()
+    assert catalog.ORACLES.items() <= entry.oracle_sql().items()
 
 
 def test_entry_runs(spark):
