@@ -43,49 +43,62 @@ def grey_levels(data: bytes, height: int, width: int, channels: int) -> np.ndarr
     return np.rint(pixels[:, :, 2] * red + pixels[:, :, 1] * green + pixels[:, :, 0] * blue)
 
 
-def _weights(source: int, target: int) -> np.ndarray:
-    """Rows of the area each source pixel contributes to each target pixel."""
-    edges = np.linspace(0, source, target + 1)
-    cells = np.arange(source)
-    low = np.maximum(edges[:-1, None], cells[None, :])
-    high = np.minimum(edges[1:, None], cells[None, :] + 1)
-    shared = np.clip(high - low, 0, None)
-    return shared / shared.sum(axis=1, keepdims=True)
+class AreaSums:
+    """A picture's summed-area table, from which every grid of area averages is read.
 
+    All arithmetic is on whole numbers until the last division: a cell's edges lie at
+    multiples of 1/rows and 1/columns of a pixel, so its sum times ``rows * columns`` is whole.
+    """
 
-def thumbnail(grey: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    return np.rint(_weights(grey.shape[0], rows) @ grey @ _weights(grey.shape[1], columns).T)
+    def __init__(self, grey: np.ndarray):
+        self.height, self.width = grey.shape
+        self.table = np.zeros((self.height + 1, self.width + 1), np.int64)
+        np.cumsum(np.cumsum(grey.astype(np.int64), axis=0), axis=1, out=self.table[1:, 1:])
+
+    @staticmethod
+    def _at(table: np.ndarray, size: int, cells: int) -> np.ndarray:
+        """``cells`` times the table's rows at the cell edges, between two rows by parts."""
+        whole, part = np.divmod(np.arange(cells + 1) * size, cells)
+        after = np.minimum(whole + 1, size)
+        part = part[:, None]
+        return (cells - part) * table[whole] + part * table[after]
+
+    def grid(self, rows: int, columns: int) -> np.ndarray:
+        """Area averages in ``rows`` by ``columns`` cells, rounded to whole levels."""
+        across = self._at(self._at(self.table, self.height, rows).T, self.width, columns).T
+        sums = np.diff(np.diff(across, axis=0), axis=1)
+        return np.rint(sums / (self.height * self.width))
 
 
 def _signed(bits: int) -> int:
     return bits - (1 << 64) if bits >= 1 << 63 else bits
 
 
-def difference_bits(grey: np.ndarray) -> int:
-    """64 bits, most significant first: is a pixel brighter than its right neighbour?"""
-    small = thumbnail(grey, 8, 9)
-    bits = (small[:, :-1] > small[:, 1:]).ravel()
+def difference_bits(grid: np.ndarray) -> int:
+    """64 bits of an 8 by 9 grid, most significant first: is a cell brighter than its right neighbour?"""
+    bits = (grid[:, :-1] > grid[:, 1:]).ravel()
     return _signed(int("".join("1" if b else "0" for b in bits), 2))
 
 
-def average_bits(grey: np.ndarray) -> int:
-    """64 bits, least significant first: is a pixel at least the mean?"""
-    small = thumbnail(grey, 8, 8).ravel()
+def average_bits(grid: np.ndarray) -> int:
+    """64 bits of an 8 by 8 grid, least significant first: is a cell at least the mean?"""
+    small = grid.ravel()
     return _signed(sum(1 << i for i in np.flatnonzero(small >= small.mean()).tolist()))
 
 
 _BASIS = np.cos((2 * np.arange(32)[None, :] + 1) * np.arange(8)[:, None] * np.pi / 64)
 
 
-def frequency_bits(grey: np.ndarray) -> int:
-    """63 bits: is a low-frequency cosine coefficient above the median (constant term left out)?"""
-    values = (_BASIS @ thumbnail(grey, 32, 32) @ _BASIS.T).ravel()[1:]
+def frequency_bits(grid: np.ndarray) -> int:
+    """63 bits of a 32 by 32 grid: is a low-frequency cosine coefficient above the median (constant
+    term left out)?"""
+    values = (_BASIS @ grid @ _BASIS.T).ravel()[1:]
     return sum(1 << i for i in np.flatnonzero(values > np.median(values)).tolist())
 
 
-def orientations(grey: np.ndarray):
-    """The image and its mirror, each turned by 0, 90, 180 and 270 degrees."""
-    for base in (grey, grey[:, ::-1]):
+def orientations(grid: np.ndarray):
+    """A grid and its mirror, each turned by 0, 90, 180 and 270 degrees: the grids of the turned picture."""
+    for base in (grid, grid[:, ::-1]):
         for turns in range(4):
             yield np.rot90(base, turns)
 
@@ -99,14 +112,14 @@ def _fingerprints(
         if raw is None or h is None or h <= 0:
             rows.append((None, None, None, None))
             continue
-        grey = grey_levels(raw, int(h), int(w), int(c))
-        views = list(orientations(grey))
+        sums = AreaSums(grey_levels(raw, int(h), int(w), int(c)))
+        large = sums.grid(32, 32)
         rows.append(
             (
-                difference_bits(grey),
-                [average_bits(v) for v in views],
-                [frequency_bits(v) for v in views],
-                round(float(thumbnail(grey, 32, 32).mean()), 2),
+                difference_bits(sums.grid(8, 9)),
+                [average_bits(g) for g in orientations(sums.grid(8, 8))],
+                [frequency_bits(g) for g in orientations(large)],
+                round(float(large.mean()), 2),
             )
         )
     return pd.DataFrame(rows, columns=["dhash", "ahash", "phash", "mean_luminance"]).astype(
@@ -144,6 +157,35 @@ def fingerprints(decoded: DataFrame) -> DataFrame:
     )
 
 
+SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
+
+
+def _jpeg_size(raw: bytes) -> tuple[int, int] | None:
+    at = 2
+    while at + 9 <= len(raw) and raw[at] == 0xFF:
+        marker = raw[at + 1]
+        # Frame headers; the three others of this range are tables.
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            height, width = struct.unpack(">HH", raw[at + 5 : at + 9])
+            return width, height
+        at += 2 + int.from_bytes(raw[at + 2 : at + 4], "big")
+    return None
+
+
+@F.pandas_udf(SIZE)
+def image_size(content: pd.Series) -> pd.DataFrame:
+    """Width and height from the headers of PNG and JPEG files; null for what is neither."""
+    rows = []
+    for raw in content:
+        found = None
+        if raw is not None and raw[:8] == b"\x89PNG\r\n\x1a\n" and raw[12:16] == b"IHDR" and len(raw) >= 24:
+            found = struct.unpack(">II", raw[16:24])
+        elif raw is not None and raw[:3] == b"\xff\xd8\xff":
+            found = _jpeg_size(raw)
+        rows.append(found or (None, None))
+    return pd.DataFrame(rows, columns=["width", "height"]).astype("Int32")
+
+
 def _jpeg_orientation(raw: bytes) -> int:
     at = 2
     while at + 4 <= len(raw) and raw[at] == 0xFF:

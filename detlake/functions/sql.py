@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 
-@udtf(returnType="x1: int, y1: int, x2: int, y2: int")
-class Tiles:
-    """SELECT * FROM tiles(width, height, size, overlap)"""
+def _starts(length: str) -> str:
+    """SQL for the first pixels of the tiles along a side; the last tile ends at its edge."""
+    last = f"greatest({length} - size, 0)"
+    return f"array_union(sequence(0, {last}, greatest(size - overlap, 1)), array({last}))"
 
-    def eval(self, width: int, height: int, size: int, overlap: int):
-        from detlake.operators.tiles import tile_starts
 
-        if size == 0:
-            yield 0, 0, width, height
-            return
-        for y in tile_starts(height, size, overlap):
-            for x in tile_starts(width, size, overlap):
-                yield x, y, min(width, x + size), min(height, y + size)
+#: Tiles of one image by built-in functions alone; size 0 keeps the image whole.
+_TILES = f"""
+CREATE OR REPLACE TEMPORARY FUNCTION tiles(width INT, height INT, size INT, overlap INT)
+RETURNS TABLE(x1 INT, y1 INT, x2 INT, y2 INT)
+RETURN SELECT x, y, if(size = 0, width, least(width, x + size)), if(size = 0, height, least(height, y + size))
+FROM (SELECT if(size = 0, array(0), {_starts("height")}) AS ys, if(size = 0, array(0), {_starts("width")}) AS xs)
+LATERAL VIEW explode(ys) AS y LATERAL VIEW explode(xs) AS x
+"""
 
 
 def register_sql(spark: SparkSession) -> None:
@@ -45,4 +45,4 @@ def register_sql(spark: SparkSession) -> None:
         "CREATE OR REPLACE TEMPORARY FUNCTION hamming(a BIGINT, b BIGINT) RETURNS INT"
         " RETURN bit_count(a ^ b)"
     )
-    spark.udtf.register("tiles", Tiles)
+    spark.sql(_TILES)

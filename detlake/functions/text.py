@@ -40,6 +40,37 @@ def sorted_entries(mapping) -> Column:
     return F.array_sort(F.map_entries(mapping))
 
 
+def json_equal(a, b) -> Column:
+    """Whether two JSON texts hold equal values: order of keys does not count, 1 equals 1.0 and 1e0,
+    but true is not 1 and "1" is not 1. Null if either is no JSON."""
+    return json_canonical(a) == json_canonical(b)
+
+
+def json_canonical(text) -> Column:
+    """JSON with sorted keys and one spelling for each number, or null if it is no JSON.
+
+    ``parse_json`` sorts keys and refuses repeated ones. A number with a fraction or an exponent
+    counts as the double nearest to it; one of digits alone is compared digit by digit.
+    """
+    plain = F.to_json(F.try_parse_json(_c(text)))
+    parts = F.regexp_extract_all(plain, F.lit(_JSON_PART), F.lit(0))
+    return F.when(plain.isNotNull(), F.array_join(F.transform(parts, _one_spelling), ""))
+
+
+# A whole string, a number, or what stands between them.
+_JSON_PART = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.]*(?:[eE][+-]?[0-9]+)?|[^"0-9-]+|-'
+
+
+def _one_spelling(part: Column) -> Column:
+    """A number's one spelling: digits alone if it is whole, else those of its double."""
+    double = part.try_cast("double")
+    whole = (double == F.floor(double)) & (F.abs(double) < 1e37)
+    digits = F.when(part.rlike("^-?[0-9]+$"), F.regexp_replace(part, "^-0$", "0")).when(
+        whole, double.try_cast("decimal(38,0)").cast("string")
+    )
+    return F.when(part.rlike("^-?[0-9]"), F.coalesce(digits, double.cast("string"))).otherwise(part)
+
+
 def batch_hash() -> Column:
     """Identity of a review batch read from JSON."""
     decisions = F.transform(

@@ -20,11 +20,14 @@ class Packet:
     pair_cases: DataFrame
     near_cases: DataFrame
     box_cases: DataFrame
+    class_cases: DataFrame | None = None
+    source_cases: DataFrame | None = None
 
     def catalog(self) -> DataFrame:
-        return review.case_catalog(
-            pair=self.pair_cases, near=self.near_cases, box=self.box_cases
-        )
+        """Cases of all kinds that the packet has, in no order; ``in_id_order`` writes them in theirs."""
+        kinds = {"pair": self.pair_cases, "near": self.near_cases, "box": self.box_cases,
+                 "class": self.class_cases, "source": self.source_cases}
+        return review.case_catalog(**{kind: df for kind, df in kinds.items() if df is not None})
 
     def summary(self) -> DataFrame:
         """Counts of members, groups, links and cases by name."""
@@ -39,17 +42,50 @@ class Packet:
             self.near_cases.agg(F.lit("near_cases"), F.count("*")),
             self.box_cases.agg(F.lit("box_cases"), F.count("*")),
         ]
+        for name, cases in (("class_cases", self.class_cases), ("source_cases", self.source_cases)):
+            if cases is not None:
+                parts.append(cases.agg(F.lit(name), F.count("*")))
         whole = parts[0]
         for part in parts[1:]:
             whole = whole.union(part)
         return whole
 
 
+# What must be reviewed once for each source.
+SOURCE_TOPICS = ["rights_and_provenance", "source_grouping_and_split_review"]
+
+
+def class_cases(categories: DataFrame) -> DataFrame:
+    """One case for each category of each source: does its definition hold for the project?
+
+    ``categories``: source, category_id, name.
+    """
+    return categories.select("source", "category_id", "name").distinct().withColumn(
+        "case_id", stable_id("class", "source", "category_id")
+    )
+
+
+def source_cases(sources: DataFrame) -> DataFrame:
+    """The cases that each source has as a whole. ``sources``: source."""
+    topics = F.explode(F.array(*[F.lit(t) for t in SOURCE_TOPICS])).alias("topic")
+    return sources.select("source").distinct().select("source", topics).withColumn(
+        "case_id", stable_id("source", "source", "topic")
+    )
+
+
+def in_id_order(df: DataFrame, *ids: str) -> DataFrame:
+    """Rows dealt and sorted by their ids, so that files written from them are in one order."""
+    return df.repartitionByRange(*ids).sortWithinPartitions(*ids)
+
+
 def build_packet(
     images: DataFrame, annotations: DataFrame, pairs: DataFrame | None = None, k: int = 2,
-    width: int = 64,
+    width: int = 64, categories: DataFrame | None = None,
 ) -> Packet:
-    """``images``: image_id, ordinal, split, signature, pixel_sha256, width, height."""
+    """``images``: image_id, ordinal, split, signature, pixel_sha256, width, height.
+
+    With ``categories`` (source, category_id, name) the packet has class and source cases too.
+    """
     links = grouping.build_links(images, pairs)
     groups = grouping.assign_groups(images, links)
     close = near.near_pairs(images, near.near_links(images, k, width))
@@ -76,7 +112,10 @@ def build_packet(
     )
     proposals = validate.correction_proposals(validate.border_corrections(annotations, images))
     box_cases = proposals.withColumn("case_id", stable_id("box", "image_id", "annotation_index"))
-    return Packet(images, links, groups, pair_cases, near_cases, box_cases)
+    packet = Packet(images, links, groups, pair_cases, near_cases, box_cases)
+    if categories is not None:
+        packet.class_cases, packet.source_cases = class_cases(categories), source_cases(categories)
+    return packet
 
 
 def inventory_differences(inventory: DataFrame, members: DataFrame, fields: list[str]) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from detlake.operators import near
 from detlake.operators.components import connected_components
+from detlake.session import stored
 
 
 def pair_images(defects: DataFrame, normals: DataFrame) -> DataFrame:
@@ -111,6 +113,19 @@ def review_queue(pairs: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def checked_queue(images: DataFrame, links: DataFrame, audited: int) -> DataFrame:
+    """The review queue by signature, written once, if its pairs are as many as the audit counted.
+
+    The count is observed while the queue is written; a queue of another length is refused.
+    """
+    seen = Observation("queue")
+    queue = near.signature_queue(images, links).observe(seen, F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    written = stored(queue, "review-queue")
+    if seen.get["pairs"] != audited:
+        raise ValueError(f"near-duplicate count differs from the audit: {seen.get['pairs']}, not {audited}")
+    return written
+
+
 def quarantine(images: DataFrame, links: DataFrame, groups: DataFrame) -> DataFrame:
     """Training images near another split, or in a group that crosses splits.
 

@@ -24,6 +24,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from detlake.operators.running import running_totals
+from detlake.session import stored
+
 COMBINATION_LIMIT = 4  # largest distance searched by band combinations
 
 
@@ -319,6 +322,68 @@ def near_pairs(
     return met.filter(apart & once).select(*ordered, "distance")
 
 
+def signature_queue(df: DataFrame, links: DataFrame) -> DataFrame:
+    """The review list by signature: (a, b, distance, a_images, b_images, pairs), links with pairs only.
+
+    ``pairs`` is the number of image pairs of different splits and pixels behind a link, counted
+    from group sizes, so a mass of copies is one row. ``near_pairs`` of some of the links
+    expands them. ``df``: signature, split, pixel_sha256; equal pixels have equal signatures.
+    """
+    cells = df.groupBy("signature", "split", "pixel_sha256").agg(F.count("*").alias("n"))
+    splits = cells.groupBy("signature", "split").agg(F.sum("n").alias("n"))
+    sizes = splits.groupBy("signature").agg(
+        F.map_from_entries(F.collect_list(F.struct("split", "n"))).alias("by_split"), F.sum("n").alias("n"),
+        F.sum(F.col("n") * F.col("n")).alias("squares"),
+    )
+    copies = (
+        cells.groupBy("signature", "pixel_sha256")
+        .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+        .groupBy("signature")
+        .agg(F.sum(F.col("n") * F.col("n") - F.col("squares")).alias("copies"))
+    )
+    sizes = sizes.join(copies, "signature")
+
+    def side(name: str) -> DataFrame:
+        return sizes.select(
+            F.col("signature").alias(name), F.col("by_split").alias(f"{name}_splits"), F.col("n").alias(f"{name}_images"),
+            F.col("squares").alias(f"{name}_squares"), F.col("copies").alias(f"{name}_copies"),
+        )
+
+    same_split = F.aggregate(
+        F.map_entries("a_splits"),
+        F.lit(0).cast("bigint"),
+        lambda total, e: total
+        + e["value"] * F.coalesce(F.try_element_at("b_splits", e["key"]), F.lit(0).cast("bigint")),
+    )
+    alone = F.expr("(a_images * a_images - a_squares - a_copies) div 2")
+    pairs = F.when(F.col("a") == F.col("b"), alone).otherwise(F.col("a_images") * F.col("b_images") - same_split)
+    return (
+        links.join(side("a"), "a")
+        .join(side("b"), "b")
+        .withColumn("pairs", pairs)
+        .filter("pairs > 0")
+        .select("a", "b", "distance", "a_images", "b_images", "pairs")
+    )
+
+
+def expand_queue(df: DataFrame, queue: DataFrame, first: int, last: int) -> DataFrame:
+    """The image pairs of the links that hold ranks ``first`` to ``last`` of the queue in (a, b) order.
+
+    Each row carries ``link_rank``, the rank of its link's first pair. ``df`` as for ``near_pairs``.
+    """
+    ranked = running_totals(queue.select("a", "b", "distance", "pairs"), [], [F.col("a"), F.col("b")], {"upto": F.col("pairs")})
+    start = F.col("upto") - F.col("pairs") + 1
+    wanted = ranked.withColumn("link_rank", start).filter((F.col("link_rank") <= last) & (F.col("upto") >= first))
+    links = stored(wanted.select("a", "b", "distance", "link_rank"), "queue-page")
+    pairs = near_pairs(df, links.select("a", "b", "distance"))
+    named = pairs.join(df.select(F.col("image_id").alias("first_image_id"), F.col("signature").alias("_s")), "first_image_id").join(
+        df.select(F.col("image_id").alias("second_image_id"), F.col("signature").alias("_t")), "second_image_id"
+    )
+    ends = links.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "link_rank")
+    same = (F.least("_s", "_t") == F.col("_a")) & (F.greatest("_s", "_t") == F.col("_b"))
+    return named.join(ends, same).drop("_s", "_t", "_a", "_b")
+
+
 def _listing_rows(df: DataFrame, limit: int) -> DataFrame:
     """The only images that can occur in the first ``limit`` pairs.
 

@@ -240,7 +240,7 @@ def best_holdouts(stats: DataFrame, count: int, totals: DataFrame | None = None,
         found = stored(_within(how, low, high, radius), "holdout-found")
         if not found.isEmpty() or radius * radius > len(how.measures):
             return how.named(_lowest(found))
-        radius *= 3
+        radius *= 2
 
 
 def _lowest(found: DataFrame) -> DataFrame:

@@ -99,6 +99,23 @@ def write_research_set(
     return _frozen(summary, f"{root}/summary", form="json")
 
 
+def write_packet(root: str, packet) -> DataFrame:
+    """A review packet (``derive.Packet``) as frozen tables in the order of their ids, with a digest each."""
+    from detlake.operators.derive import in_id_order
+
+    tables = {
+        "members": in_id_order(packet.members, "image_id"),
+        "groups": in_id_order(packet.groups.select("group_id", "image_id"), "group_id", "image_id"),
+        "links": in_id_order(packet.links, "src", "dst", "reason"),
+        "cases": in_id_order(packet.catalog(), "case_id"),
+    }
+    digests = None
+    for name, df in tables.items():
+        row = table_digest(_frozen(df, f"{root}/{name}")).select(F.lit(name).alias("table"), "rows", "digest")
+        digests = row if digests is None else digests.unionByName(row)
+    return _frozen(digests, f"{root}/summary", form="json")
+
+
 def export_json(df: DataFrame, path: str) -> None:
     """Work lists, decision templates and evidence rows, one JSON object per line."""
     df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)

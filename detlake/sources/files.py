@@ -50,10 +50,9 @@ def object_listing(spark: SparkSession, path: str, root: str | None = None) -> D
 def read_yolo(spark: SparkSession, path: str) -> DataFrame:
     """Label lines of every text file, numbered from 1, with the label path."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.txt")
-        .text(path)
+        .text(path, wholetext=True)
         .withColumn("label_path", F.col("_metadata.file_path"))
     )
     lines = files.select("label_path", F.posexplode(F.split("value", "\\r?\\n")).alias("n", "line"))

@@ -158,10 +158,30 @@ def test_grey_and_colour_copies_share_a_digest(spark, tmp_path):
 
 def test_hash_definitions():
     ramp = np.tile(np.arange(90, 0, -1.0), (80, 1))
-    assert P.difference_bits(ramp) == -1  # every pixel brighter than its right neighbour
-    assert P.difference_bits(ramp[:, ::-1]) == 0
+    assert P.difference_bits(P.AreaSums(ramp).grid(8, 9)) == -1  # every cell brighter than its right neighbour
+    assert P.difference_bits(P.AreaSums(ramp[:, ::-1]).grid(8, 9)) == 0
     flat = np.full((16, 16), 9.0)
-    assert P.average_bits(flat) == -1
+    assert P.average_bits(P.AreaSums(flat).grid(8, 8)) == -1
+
+
+@pytest.mark.parametrize("shape", [(8, 9), (80, 61), (33, 100), (5, 7), (1, 1), (64, 64)])
+def test_area_sums_give_area_averages(shape):
+    grey = np.random.default_rng(shape[0]).integers(0, 256, shape).astype(float)
+
+    def shares(source, cells):
+        """How much of each pixel row every cell takes."""
+        edges = np.linspace(0, source, cells + 1)
+        low, high = np.maximum(edges[:-1, None], np.arange(source)), np.minimum(edges[1:, None], np.arange(source) + 1)
+        return np.clip(high - low, 0, None) * cells / source
+
+    for rows, columns in ((8, 8), (8, 9), (32, 32)):
+        plain = shares(shape[0], rows) @ grey @ shares(shape[1], columns).T
+        got = P.AreaSums(grey).grid(rows, columns)
+        settled = np.abs(plain - np.floor(plain) - 0.5) > 1e-9  # halves go to the even level
+        assert (got == np.rint(plain))[settled].all() and np.abs(got - plain).max() <= 0.5 + 1e-9
+    # The grid of a turned picture is the turned grid.
+    for view, grid in zip(P.orientations(grey), P.orientations(P.AreaSums(grey).grid(32, 32)), strict=True):
+        assert (P.AreaSums(np.ascontiguousarray(view)).grid(32, 32) == grid).all()
 
 
 def test_admission(spark, tmp_path):
@@ -199,6 +219,7 @@ def test_yolo_source(spark, tmp_path):
     (labels / "a.txt").write_text("0 0.5 0.5 0.2 0.4\n1 0.5 0.5\n0.5 0 0 0 0\n-1 0 0 0 0\nx 0 0 0 0\n")
     lines = S.parse_yolo_lines(S.read_yolo(spark, str(labels)))
     issues = [r["issue"] for r in lines.orderBy("line_number").collect()]
+    assert [r["line_number"] for r in lines.orderBy("line_number").collect()] == [1, 2, 3, 4, 5]
     assert issues == [None, "invalid_yolo_line", *["invalid_yolo_values"] * 3]
     from detlake.functions.geometry import yolo_to_xyxy
 
