@@ -98,9 +98,11 @@ class DigestIndex:
         return digests.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
 
     def _write(self, rows: DataFrame, name: str, folder: str, mode: str = "append") -> None:
-        # One writer task a bucket: each writes one sorted file to its own bucket.
+        # One writer task a bucket: each writes one sorted file to its own bucket. The digest goes
+        # as an expression of the same value: a plain column would be taken for dealt already
+        # when the rows come from a bucketed table, which is then read without its buckets.
         (
-            rows.repartition(self.buckets, "digest")
+            rows.repartition(self.buckets, F.substring("digest", 1, 64))
             .write.mode(mode)
             .format("parquet")
             .bucketBy(self.buckets, "digest")
