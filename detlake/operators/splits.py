@@ -249,17 +249,23 @@ def _lowest(found: DataFrame) -> DataFrame:
 
 
 def _within(how: _Holdout, low: DataFrame, high: DataFrame, radius: float) -> DataFrame:
-    """Choices of two halves whose score is at most ``radius`` squared."""
+    """Choices of two halves whose score is at most ``radius`` squared.
+
+    Cells are eight radii wide, so what a half lacks, give or take the radius, mostly lies in
+    one cell and a half is seldom listed twice.
+    """
     by = how.measures[:CELL_MEASURES]
-    size = F.lit(radius * (1 + 1e-9))
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    left = low.select("chosen", *how.measures, *[F.floor(how.share(m, F.col(m)) / size).alias(f"_{m}") for m in by])
-    for m in by:
-        left = left.withColumn("_d", F.explode(around)).withColumn(f"_{m}", F.col(f"_{m}") + F.col("_d")).drop("_d")
-    missing = [F.floor((how.target - how.share(m, F.col(m))) / size).alias(f"_{m}") for m in by]
+    reach, size = F.lit(radius * (1 + 1e-9)), F.lit(8 * radius)
     right = high.select(
-        F.col("chosen").alias("others"), *[F.col(m).alias(f"more_{m}") for m in how.measures], *missing
+        F.col("chosen").alias("others"),
+        *[F.col(m).alias(f"more_{m}") for m in how.measures],
+        *[F.floor(how.share(m, F.col(m)) / size).alias(f"_{m}") for m in by],
     )
+    left = low
+    for m in by:
+        lacks = how.target - how.share(m, F.col(m))
+        cells = F.sequence(F.floor((lacks - reach) / size), F.floor((lacks + reach) / size))
+        left = left.withColumn(f"_{m}", F.explode(cells))
     met = left.join(right, [f"_{m}" for m in by]).filter(
         F.element_at("chosen", -1) < F.element_at("others", 1)
     )
