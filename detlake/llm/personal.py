@@ -28,6 +28,17 @@ IBAN_CUES = ("iban",)
 ACCOUNT_CUES = ("account", "acct", "konto", "cuenta", "compte", "passport", "ssn")
 SECRET_CUES = ("token", "api_key", "apikey", "password", "passwd", "secret")
 
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27,
+    "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23,
+    "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -102,27 +113,29 @@ def _digit_spans(text: str) -> Iterator[tuple[str, int, int]]:
         i = j + 1
 
 
-def _url(text: str, at: int) -> tuple[int, int] | None:
+def _url(text: str, at: int, scheme: int) -> tuple[int, int] | None:
+    """The host is checked first: what has none is not expanded."""
     if at and (text[at - 1].isalnum() or text[at - 1] in "/@."):
         return None
-    body = _URL_BODY.match(text, at)
-    high = at + len(body[0].rstrip(".,;:!?)]")) if body else at
-    host = text[at:high].split("://", 1)[-1]
-    return (at, high) if _HOST.match(host) else None
+    if not _HOST.match(text, at if text[at] in "wW" else at + scheme):
+        return None
+    return at, at + len(_URL_BODY.match(text, at)[0].rstrip(".,;:!?)]"))
 
 
 def _iban(text: str, at: int) -> tuple[int, int] | None:
+    """An account number of its country's length, with or without spaces, whose check digits hold."""
     found = _IBAN.match(text, at)
     if not found:
         return None
-    low, high = found.span(1)
-    # The longest prefix whose check digits hold; the country fixes the true length.
-    while high - low >= 15:
-        code = text[low:high].replace(" ", "")
-        if text[high - 1] != " " and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
-            return low, high
-        high -= 1
-    return None
+    low, high = found.start(1), found.start(1)
+    size = IBAN_LENGTHS.get(text[low : low + 2], 0)
+    code = ""
+    while high < found.end(1) and len(code) < size:
+        code += text[high].strip()
+        high += 1
+    if not size or len(code) < size or text[high : high + 1].isalnum():
+        return None
+    return (low, high) if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 else None
 
 
 def find_spans(text: str) -> list[tuple[int, int, str]]:
@@ -138,7 +151,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
         elif kind == "+":
             name, found = "phone", _phone(text, at)
         elif kind == "url":
-            name, found = "url", _url(text, at)
+            name, found = "url", _url(text, at, length)
         elif kind == "iban":
             name, found = "iban", _iban(text, last + 1)
         else:
@@ -174,7 +187,8 @@ def personal_data(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` without ``text``, with counts of the base kinds, ``base_sha256`` and ``spans``.
 
     ``spans`` lists kind:start:end of all kinds by start. Null and empty texts have none.
-    Columns of these names are replaced; an empty table gives an empty table.
+    Columns of these names are replaced; an empty table gives an empty table. Repeated rows are
+    marked each time; very long texts are read whole, in time that grows with their length.
     """
     kinds = {**{f"n_{k}": "long" for k in BASE_KINDS}, "base_sha256": "string", "spans": "string"}
     return with_computed(df.withColumn(text, whole_text(f"`{text}`")), text, kinds, lambda: _marks)

@@ -281,3 +281,119 @@ def test_tables_of_pieces(spark, model):
     want = [model.library.encode(r[1] or "") for r in rows]
     want = sorted((str(r[0]), len(w), zlib.crc32(np.asarray(w, "<u4").tobytes()), True) for r, w in zip(rows, want, strict=True))
     assert sorted((str(r[0]), *r[1:]) for r in report.collect()) == want
+
+
+NOISE = ["post-comments", "article-comments", "related-posts", "share-buttons", "cookie-notice-text", "ad-slot", "comments", "story-related"]
+
+
+@pytest.mark.parametrize("name", NOISE)
+def test_furniture_inside_an_article_goes(name):
+    long = " ".join(["word"] * 150)
+    page = (
+        f"<article class='post'><header class='post-header'><h1>Title here</h1></header><p>{prose(1, 40)}</p>"
+        f"<div class='{name}'><p>Reader says something.</p><p>{long}</p><ul><li><a href=x>More of it</a></li></ul></div>"
+        f"<div class='entry-content'><p>{prose(2, 50)}</p></div></article>"
+    )
+    assert ht.main_text(page) == f"Title here\n{prose(1, 40)}\n{prose(2, 50)}"
+
+
+@pytest.mark.parametrize("start", ["<main class='content has-sidebar'>", "<article class='post comments-open'>", "<article id='share-price-falls'>",
+                                   "<div class='entry-content with-ads'><article>"])
+def test_names_around_an_article_lose_nothing(start):
+    assert ht.main_text(f"<body>{start}<p>{prose(3, 40)}</p><p class=lead>Short.</p></body>") == f"{prose(3, 40)}\nShort."
+
+
+def plain_blocks(page):
+    """Word and link counts of flat blocks by the standard parser, for pages that close what they open."""
+    from html.parser import HTMLParser
+
+    found, now = [], [[], []]
+
+    class Reader(HTMLParser):
+        links = 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "a":
+                self.links += 1
+            elif tag in ht.BLOCK_TAGS:
+                end()
+
+        def handle_endtag(self, tag):
+            if tag == "a":
+                self.links -= 1
+            elif tag in ht.BLOCK_TAGS:
+                end()
+
+        def handle_data(self, data):
+            now[0].append(data)
+            now[1].append(data if self.links else "")
+
+    def end():
+        words = "".join(now[0]).split()
+        if words:
+            found.append((" ".join(words), len(words), len(" ".join(now[1]).split())))
+        now[:] = [[], []]
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    end()
+    return found
+
+
+def test_block_features_equal_those_of_a_plain_parser():
+    random_ = random.Random(6)
+
+    def content(depth):
+        out = ""
+        for _ in range(random_.randint(1, 4)):
+            kind = random_.choice(["text", "link", "b", "div", "p", "ul"])
+            if kind == "text" or depth > 4:
+                out += f" {prose(random_.random(), random_.randint(1, 6))} &amp; "
+            elif kind == "link":
+                out += f"<a href='x>y' class=\"m\">{prose(random_.random(), 2)}</a> "
+            elif kind == "b":
+                out += f"<b>{prose(random_.random(), 1)}</b> "
+            elif kind == "ul":
+                out += f"<ul><li>{content(9)}</li><li>{content(9)}</li></ul>"
+            else:
+                out += f"<{kind}>{content(depth + 1) if kind == 'div' else content(9)}</{kind}>"
+        return out
+
+    for _ in range(60):
+        page = f"<body>{content(0)}</body>"
+        blocks = ht.flat_blocks(page)
+        assert [(b.text, b.words, b.linked) for b in blocks] == plain_blocks(page)
+        rows = ht.features(blocks)
+        for i, (b, row) in enumerate(zip(blocks, rows, strict=True)):
+            before, after = rows[i - 1][:2] if i else (0, 0), rows[i + 1][:2] if i + 1 < len(rows) else (0, 0)
+            assert row[:6] == (b.words, b.linked / b.words, *before, *after)
+
+
+HOSTILE_PAGES = ["<a ", "<a '", "<a \">\"", "<div></p></ul>", "<svg>", "</svg", "<!-", "<p", "<b x='<", "&amp", "<div class='ad'>", "<title", "< "]
+HOSTILE_TEXTS = ["http://x,", "www.", "a@", "+1 ", "1.", "1 ", "token:", "iban DE", "http://a.b/", "account 1-", "x", "@a.", "https://"]
+
+
+def seconds(work, text):
+    import time
+
+    best = 9.0
+    for _ in range(3):
+        start = time.perf_counter()
+        work(text)
+        best = min(best, time.perf_counter() - start)
+    return best
+
+
+@pytest.mark.parametrize("work, piece", [(ht.main_text, p) for p in HOSTILE_PAGES] + [(personal.find_spans, p) for p in HOSTILE_TEXTS])
+def test_time_grows_with_the_text(work, piece):
+    assert seconds(work, piece * 64_000) < 12 * seconds(work, piece * 16_000) + 0.1  # sixteen times if it were quadratic
+    assert seconds(work, piece * 64_000) < 5
+
+
+def test_iban_has_the_length_of_its_country():
+    good = "iban: DE89 3704 0044 0532 0130 00"
+    assert [(s[2], good[s[0] : s[3]]) for s in personal.find_spans(good) if s[2] == "iban"] == [("iban", good[6:])]
+    assert not [s for s in personal.find_spans(good + "7") if s[2] == "iban"]
+    assert not [s for s in personal.find_spans("iban: DE89 3704 0044 0532 0130 01") if s[2] == "iban"]
+    assert not [s for s in personal.find_spans("iban: ZZ89370400440532013000") if s[2] == "iban"]
