@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from detlake.llm.common import whole_text, word_count
+from detlake.operators.running import numbered
 from detlake.session import stored
 
 EPOCHS = 3.0
@@ -34,12 +35,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epoch
     Weights go round by code point of the source, a null source last. Only one row of sums
     a round reaches the driver; the level rises each round until no further source is clamped.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     turns = F.array(*[F.lit(float(w)) for w in weights])
+    # Sources may be as many as sites: they are numbered by ranges, not in one task.
+    placed = numbered(sizes, [F.col("source").asc_nulls_last()], "place")
+    place = ((F.col("place") - 1) % len(weights)).cast("int")
     rated = stored(
-        sizes.withColumn("weight", F.get(turns, place % len(weights))).withColumn(
-            "cap", F.lit(float(epochs)) * F.col("source_size")
-        ),
+        placed.withColumn("weight", F.get(turns, place))
+        .drop("place")
+        .withColumn("cap", F.lit(float(epochs)) * F.col("source_size")),
         "mix-sources",
     )
     level, clamped = 0.0, -1
@@ -134,8 +137,10 @@ def mix(
             F.pmod("order", F.lit(PARTS)).cast("int").alias("part"),
         ).alias("mix"),
     )
+    # The words of all texts are counted once for the plan, and once more with the rows at the end.
+    sizes = stored(rows.select("mix"), "mix-sizes")
     slices = stored(
-        rows.groupBy("mix.source", "mix.long", "mix.part").agg(F.sum("mix.size").alias("words")),
+        sizes.groupBy("mix.source", "mix.long", "mix.part").agg(F.sum("mix.size").alias("words")),
         "mix-slices",
     )
     targets = source_targets(
@@ -159,7 +164,7 @@ def mix(
     )
     # The long documents, and what they leave for the short ones to make up for.
     long_plan = _slice_plan(slices.filter("long"), wanted)
-    at_edge = _repeated(rows.filter("mix.long"), long_plan.filter(F.col("extra").isNull()))
+    at_edge = _repeated(sizes.filter("mix.long"), long_plan.filter(F.col("extra").isNull()))
     taken = (
         long_plan.select("source", (F.col("extra") * F.col("words")).alias("words"))
         .unionByName(at_edge.select("p.source", (F.col("extra") * F.col("mix.size")).alias("words")))

@@ -32,12 +32,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from detlake.llm.common import whole_text
+from detlake.llm.common import parts_for, text_bytes, whole_text
 from detlake.llm.word_encoder import id_width, word_encoder
 from detlake.session import scratch_path, stored
 
 VERSION = 1
 HEADER = 4
+#: UTF-8 bytes of text in one shard.
+SHARD_BYTES = 24 << 20
 _SHARDS = "first_key long, first_tie long, shard string, docs long, ids long"
 
 
@@ -114,14 +116,15 @@ def write_token_files(
     spark = df.sparkSession
     rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), whole_text(f"`{text}`").alias("text"))
     # The digest splits a key that many rows share; it also settles the order of ties.
-    ranged = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("key", "tie")
+    parts = parts_for(text_bytes(rows), SHARD_BYTES)
+    ranged = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "key", "tie")
     shards = stored(
         ranged.sortWithinPartitions("key", "tie", "text").mapInArrow(
             _write_ids(folder, path, end_id), _SHARDS
         ),
         "token-shards",
     )
-    # One row a shard, some 16 MB of ids each: prefix sums of these few numbers. Shards are
+    # One row a shard of some ``SHARD_BYTES`` of text: prefix sums of these few numbers. Shards are
     # ranges of (key, tie), so their first rows put them in order.
     order = shards.orderBy(F.col("first_key").asc_nulls_first(), "first_tie").collect()
     base, listed = 0, []
