@@ -802,7 +802,7 @@ def job_state_stream(spark, d):
     rows = _event_stream(spark, d).select(
         F.col("user_id").alias("inspection_id"), F.expr(_KIND_SQL).alias("event_type"), "ts", "event_id"
     )
-    updates = E.run_to_table(E.job_state_stream(rows, "60 days"), "states", "update", E.ROCKS)
+    updates = E.run_to_table(E.job_state_stream(rows, "60 days"), "states", "update")
     return E.latest_states(updates).select("inspection_id", "state", "events", "attempts")
 
 

@@ -44,10 +44,10 @@ def state_store(spark: SparkSession, provider: str | None) -> Iterator[None]:
         spark.conf.set(_PROVIDER, before)
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append", provider: str | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, label: str, mode: str = "append", provider: str | None = ROCKS) -> DataFrame:
     """Process everything available now and return what was written.
 
-    Update mode has no file sink; its batches are written one by one with their number.
+    State is kept by ``provider``, outside the heap by default. Update mode has no file sink; its batches are written one by one with their number.
     """
     spark = stream.sparkSession
     path = scratch_path(spark, label)
@@ -129,8 +129,10 @@ def job_state_stream(events: DataFrame, delay: str = "1 hour", keep_ms: int = FI
     time after its last event; a job that is redriven later is counted anew.
     """
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-    rows = events.withWatermark("ts", delay).select(
-        "inspection_id", "ts", "event_id", F.unix_micros("ts").alias("micros"), state_after().alias("state"),
+    # A microsecond more, so that an event at the very first watermark, the epoch, isn't late.
+    marked = events.withColumn("mark", F.col("ts") + F.expr("INTERVAL 1 MICROSECOND")).withWatermark("mark", delay)
+    rows = marked.select(
+        "inspection_id", "mark", "event_id", F.unix_micros("ts").alias("micros"), state_after().alias("state"),
         (F.col("event_type") == "inspection_processing").alias("is_attempt"),
     )
     return rows.groupBy("inspection_id").transformWithStateInPandas(
