@@ -25,15 +25,27 @@ def _is_complete(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
+def _is_foreign(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` holds files that no write of a table has left: neither committed nor aborted."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return False
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    return bool(names) and "_temporary" not in names and "_SUCCESS" not in names
+
+
 def frozen_write(
     df: DataFrame, path: str, partition_by: list[str] | None = None, form: str = "parquet"
 ) -> bool:
     """Write a table once. Writing the same rows again is accepted and changes nothing.
 
-    Returns whether anything was written; different rows at ``path`` are refused. What an
-    aborted write has left is replaced.
+    Returns whether anything was written; different rows at ``path`` are refused, and so is a
+    folder with other files. What an aborted write has left is replaced.
     """
     spark = df.sparkSession
+    if _is_foreign(spark, path):
+        raise ValueError(f"refusing to replace {path}, which is no table")
     before = _existing(spark, path, form, df.schema) if _is_complete(spark, path) else None
     if before is None:
         writer = df.write.mode("overwrite").format(form)

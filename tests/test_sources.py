@@ -268,6 +268,17 @@ def test_an_aborted_write_is_replaced(spark, tmp_path):
     assert spark.read.parquet(str(path)).count() == 3
 
 
+def test_a_foreign_folder_is_not_replaced(spark, tmp_path):
+    path = tmp_path / "notes"
+    path.mkdir()
+    (path / "todo.txt").write_text("keep me")
+    with pytest.raises(ValueError, match="no table"):
+        K.frozen_write(spark.range(3), str(path))
+    assert (path / "todo.txt").read_text() == "keep me"
+    (tmp_path / "empty").mkdir()
+    assert K.frozen_write(spark.range(3), str(tmp_path / "empty")) is True
+
+
 def test_reports_are_completed_once(spark, tmp_path):
     schema = "inspection_id string, attempt int, completed_at double, model_version string, is_demo boolean"
     first = spark.createDataFrame([("a", 1, 1.0, "m", False), ("a", 1, 2.0, "m", False)], schema)
