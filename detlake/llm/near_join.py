@@ -7,8 +7,8 @@
 3. Inside a component, pairs are compared from signatures in steps. After each step a pair
    is dropped when the posterior probability that its similarity reaches the threshold,
    given the equal values so far, is below a tolerance. What is left is verified exactly on
-   the shingle sets. Components above ``BLOCK`` texts are compared block against block by
-   many tasks; tasks return counts and spanning edges, never lists of pairs.
+   the shingle sets. Components above ``BLOCK`` texts are taken apart by their buckets (see
+   ``_units``); tasks return counts and spanning edges, never lists of pairs.
 4. Classes are the components of the verified links.
 """
 
@@ -36,7 +36,7 @@ HASHES = BANDS * ROWS
 #: Signature values compared in one step, and the posterior below which a pair is dropped.
 STEP = 32
 TOLERANCE = 1e-7
-#: Texts of a component that one task compares with each other, or with as many others.
+#: Texts that one task compares with each other, or with as many others.
 BLOCK = 256
 SEED = 7
 
@@ -105,27 +105,62 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 32))
 
 
-def _buckets(signs: DataFrame) -> DataFrame:
-    """Distinct edges (src, dst) of texts that share a band; ids are 64-bit key prefixes.
-
-    Two texts that should share a prefix are merged as candidates here and told apart later.
-    """
-    bands = F.explode(
+def _banded(signs: DataFrame, *columns: str) -> DataFrame:
+    """Rows (band, bucket, *columns), one for each band of each signature."""
+    bands = F.posexplode(
         F.transform(
             F.sequence(F.lit(0), F.lit(BANDS - 1)),
             lambda b: F.xxhash64(b, F.substring(F.col("sign"), (b * 2 * ROWS + 1).cast("int"), 2 * ROWS)),
         )
     )
-    rows = signs.filter(F.length("sign") > 0).select(bands.alias("bucket"), "id")
+    return signs.filter(F.length("sign") > 0).select(bands.alias("band", "bucket"), *columns)
+
+
+def _buckets(signs: DataFrame) -> DataFrame:
+    """Distinct edges (src, dst) of texts that share a band; ids are 64-bit key prefixes.
+
+    Two texts that should share a prefix are merged as candidates here and told apart later.
+    """
+    rows = _banded(signs, "id").drop("band")
     least = rows.groupBy("bucket").agg(F.min("id").alias("dst"), F.max("id").alias("most"))
     shared = least.filter(F.col("dst") < F.col("most")).select("bucket", "dst")
     return rows.join(shared, "bucket").filter(F.col("id") != F.col("dst")).select(F.col("id").alias("src"), "dst").distinct()
 
 
-def compare_block(texts: list[str], signs: np.ndarray, side: np.ndarray, whole: bool):
+def _surviving(signs: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Those of ``others`` whose pair with ``i`` outlives every pruning step."""
+    found = np.zeros(len(others), np.int64)
+    for step, least in enumerate(least_matches()):
+        if not len(others):
+            break
+        part = slice(step * STEP, (step + 1) * STEP)
+        same = found + (signs[others, part] == signs[i, part]).sum(axis=1)
+        keep = same >= least
+        others, found = others[keep], same[keep]
+    return others
+
+
+def _at_home(signs: np.ndarray, i: int, others: np.ndarray, band: int, hot: np.ndarray) -> np.ndarray:
+    """Those of ``others`` that first meet ``i`` in ``band`` and in no hot component."""
+    if not len(others):
+        return others
+    same = (signs[others] == signs[i]).reshape(len(others), BANDS, ROWS).all(axis=2)
+    apart = (hot[i] < 0) | (hot[others] != hot[i])
+    return others[(same.argmax(axis=1) == band) & apart]
+
+
+def compare_block(
+    texts: list[str],
+    signs: np.ndarray,
+    side: np.ndarray,
+    whole: bool,
+    band: int | None = None,
+    hot: np.ndarray | None = None,
+):
     """Links among texts, or between side 0 and side 1 if not ``whole``.
 
-    Returns (links of each text, spanning edges as pairs of positions).
+    With a ``band``, only pairs that are at home in it count. Returns (links of each text,
+    spanning edges as pairs of positions).
     """
     sets = [shingles(t) for t in texts]
     sizes = np.array([len(s) for s in sets])
@@ -133,18 +168,12 @@ def compare_block(texts: list[str], signs: np.ndarray, side: np.ndarray, whole:
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(int(ids.max(initial=-1)) + 1, bool)
     links, edges, label = np.zeros(len(sets), np.int64), [], np.arange(len(sets))
-    needed = least_matches()
     order = np.arange(len(sets))
     for i in range(len(sets)):
         others = order[i + 1 :] if whole else order[side == 1] if side[i] == 0 else order[:0]
-        for step, least in enumerate(needed):
-            if not len(others):
-                break
-            part = slice(step * STEP, (step + 1) * STEP)
-            same = (signs[others, part] == signs[i, part]).sum(axis=1)
-            same = same if step == 0 else same + found
-            keep = same >= least
-            others, found = others[keep], same[keep]
+        others = _surviving(signs, i, others)
+        if band is not None:
+            others = _at_home(signs, i, others, band, hot)
         if not len(others):
             continue
         own = ids[starts[i] : starts[i + 1]]
@@ -184,11 +213,15 @@ def _compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (a, b, links): links of text a, or an edge a-b with no links."""
     out: list[tuple] = []
     for group in _grouped(frames, ["component", "low", "high"]):
-        whole = group["low"].iloc[0] == group["high"].iloc[0]
+        low = int(group["low"].iloc[0])
+        whole = low == group["high"].iloc[0]
         keys = group["key"].tolist()
         signs = np.stack([np.frombuffer(s, "<u2") for s in group["sign"]])
-        side = (group["block"] != group["low"]).to_numpy().astype(int)
-        links, edges = compare_block(group["text"].tolist(), signs, side, bool(whole))
+        side = (group["block"] != low).to_numpy().astype(int)
+        band = -1 - low if low < 0 else None
+        links, edges = compare_block(
+            group["text"].tolist(), signs, side, bool(whole), band, group["hot"].to_numpy()
+        )
         out += [(keys[i], None, int(n)) for i, n in enumerate(links) if n]
         out += [(keys[i], keys[j], 0) for i, j in edges]
         if len(out) > 10_000:
@@ -197,6 +230,73 @@ def _compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["a", "b", "links"])
 
 
+def _homes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a bucket that have a surviving pair at home in it."""
+    for group in _grouped(frames, ["bucket"]):
+        signs = np.stack([np.frombuffer(s, "<u2") for s in group["sign"]])
+        hot, band, order = group["hot"].to_numpy(), int(group["band"].iloc[0]), np.arange(len(group))
+        needed = np.zeros(len(group), bool)
+        for i in order:
+            others = _at_home(signs, i, _surviving(signs, i, order[i + 1 :]), band, hot)
+            needed[others] = True
+            needed[i] |= len(others) > 0
+        yield group.loc[needed, ["key", "bucket", "band", "hot"]]
+
+
+def _blocks(placed: DataFrame, hot: Column) -> DataFrame:
+    """Units of work for rows (key, component, n): each pair of blocks of a component."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    cut = placed.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    return cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        "key", "component", F.least("block", "other").alias("low"),
+        F.greatest("block", "other").alias("high"), "block", hot.alias("hot"),
+    )
+
+
+def _units(signs: DataFrame, near: DataFrame) -> DataFrame:
+    """Which texts meet in which unit of work: (key, component, low, high, block, hot).
+
+    A component of at most ``BLOCK`` texts is one unit. In a larger one, buckets of more than
+    ``BLOCK`` texts form hot components, whose blocks are compared with each other. Every other
+    pair is at home in the first band it shares: a pass over signatures alone finds the texts
+    that have a surviving pair at home in a bucket, and these make a unit (``low`` is then
+    -1 - band). So a long chain of texts costs its buckets, not the square of its length.
+    """
+    none = F.lit(-1).cast("long")
+    sizes = near.groupBy("component").agg(F.count("*").alias("n"))
+    placed = signs.select("key", "id").join(near.withColumnRenamed("node", "id"), "id").join(sizes, "component")
+    units = _blocks(placed.filter(F.col("n") <= BLOCK), none)
+    wide = stored(placed.filter(F.col("n") > BLOCK).select("key"), "near-wide")
+    if wide.isEmpty():
+        return units
+    signed = stored(signs.join(wide, "key"), "near-wide-signs")
+    rows = _banded(signed, "key", "id")
+    met = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("dst")).filter("n > 1")
+    met = stored(rows.join(met, "bucket"), "near-wide-buckets")
+    stars = met.filter((F.col("n") > BLOCK) & (F.col("id") != F.col("dst")))
+    hot = stored(connected_components(stars.select(F.col("id").alias("src"), "dst").distinct()), "near-hot")
+    sizes = hot.groupBy("component").agg(F.count("*").alias("n"))
+    crowded = signed.select("key", "id").join(hot.withColumnRenamed("node", "id"), "id").join(sizes, "component")
+    inside = hot.select(F.col("node").alias("id"), F.col("component").alias("hot"))
+    small = met.filter(F.col("n") <= BLOCK).select("bucket", "band", "key", "id").join(inside, "id", "left")
+    small = small.withColumn("hot", F.coalesce("hot", none))
+    mixed = small.groupBy("bucket").agg(F.min("hot").alias("least"), F.max("hot").alias("most"))
+    mixed = mixed.filter("least < 0 or least < most").select("bucket")
+    homes = stored(
+        small.join(mixed, "bucket").join(signed.select("key", "sign"), "key")
+        .select("bucket", "band", "key", "hot", "sign")
+        .repartition("bucket")
+        .sortWithinPartitions("bucket", "key")
+        .mapInPandas(_homes, "key binary, bucket long, band int, hot long"),
+        "near-homes",
+    )
+    side = -1 - F.col("band")
+    met_at_home = homes.select(
+        "key", F.col("bucket").alias("component"), side.alias("low"), side.alias("high"), side.alias("block"), "hot"
+    )
+    return units.unionByName(_blocks(crowded, F.col("component"))).unionByName(met_at_home)
+
+
 def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per distinct text: (text_key, text_id, copies, links, class_key, class_id, class_size).
 
@@ -217,14 +317,8 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         "near-signs",
     )
     near = stored(connected_components(_buckets(signs)), "near-candidates")
-    # A component of n texts is cut into ceil(n / BLOCK) blocks by the key's own bits; a pair of
-    # blocks is one piece of work.
-    sizes = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = (
-        signs.join(near.withColumnRenamed("node", "id"), "id")
-        .join(sizes, "component")
-        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    )
+    units = stored(_units(signs, near), "near-units")
+    placed = signs.join(units.select("key").distinct(), "key", "left_semi")
     # One document gives the text of its copies. Joined by key and document, copies of a hot
     # text are dealt to all tasks, and only rows that came repeatedly meet afterwards.
     chosen = placed.join(texts.select(F.col("key").alias("chosen"), "text_id"), F.col("key") == F.col("chosen"))
@@ -232,12 +326,9 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         docs.withColumnRenamed("key", "of")
         .join(chosen, (F.col("of") == F.col("key")) & F.col("doc").eqNullSafe(F.col("text_id")))
         .groupBy("key")
-        .agg(*[F.first(c).alias(c) for c in ("text", "sign", "component", "block", "blocks")])
+        .agg(*[F.first(c).alias(c) for c in ("text", "sign")])
     )
-    work = bodies.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "key", "sign", "text",
-    )
+    work = bodies.join(units, "key")
     by = ["component", "low", "high"]
     found = stored(
         work.repartition(*by)

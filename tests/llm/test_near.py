@@ -95,3 +95,39 @@ def test_signature_estimates_similarity():
     true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
     s, t = (np.frombuffer(nj.signature(v), "<u2") for v in (x, y))
     assert abs((s == t).mean() - true) < 0.12
+
+
+def chain(seed, length, words, step):
+    """Texts that slide over one endless text by ``step`` words."""
+    random_ = random.Random(seed)
+    all_words = [f"c{random_.random()}" for _ in range(words + step * length)]
+    return [" ".join(all_words[i * step : i * step + words]) for i in range(length)]
+
+
+def test_wide_components_equal_all_pairs(spark, monkeypatch):
+    """Chains and clusters above the block size: each link is counted once, none is lost."""
+    monkeypatch.setattr(nj, "BLOCK", 6)
+    base = [f"b{i}" for i in range(400)]
+    texts = chain(1, 90, 104, 5) + chain(2, 60, 104, 10) + mutants(3, base, 30, 0.004)
+    texts += mutants(4, base, 8, 0.03)
+    rows = rows_of(texts) + [(1000, texts[0], "en", "a", 0), (1001, texts[150], "en", "a", 0)]
+    got = same(spark, rows)
+    assert sum(r.n_links for r in got) >= 2 * 300
+
+
+def test_chain_costs_its_buckets(spark, monkeypatch):
+    """Texts that are alike to neighbours only: work grows with the chain, not with its square."""
+    monkeypatch.setattr(nj, "BLOCK", 16)
+
+    def work(length):
+        df = documents(spark, rows_of(chain(5, length, 104, 18)))
+        texts = df.selectExpr("text").withColumn("key", nj.text_key(nj.F.col("text")))
+        signs = texts.select("key", "text").mapInPandas(nj._signed, "key binary, sign binary").withColumn(
+            "id", nj.F.conv(nj.F.hex(nj.F.substring("key", 1, 7)), 16, 10).cast("long")
+        )
+        near = nj.connected_components(nj._buckets(signs))
+        assert near.count() > 0.9 * length and near.select("component").distinct().count() < 10
+        return nj._units(signs, near).count()
+
+    short, long = work(200), work(800)
+    assert long <= 5 * short + 200 and long < 4 * 800  # pairs of blocks would be 40,000
