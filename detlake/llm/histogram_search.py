@@ -83,7 +83,8 @@ def _counted(k: int, bins: int, small: bool):
             low, width = part["low"].to_numpy()[:, None], part["width"].to_numpy()[:, None]
             own = np.maximum(_kth(scores, k)[:, None], low)
             floor = low + (own - low) // width * width
-            of, at = np.nonzero((scores >= floor) & (scores < low + bins * width))
+            # The last bins can reach beyond the interval: what is there is above it, and counted.
+            of, at = np.nonzero((scores >= floor) & (scores < part["high"].to_numpy()[:, None]))
             place = (scores[of, at] - low[of, 0]) // width[of, 0]
             cells, counts = np.unique(of * bins + place, return_counts=True)
             out.append(pd.DataFrame({"row": part["row"].to_numpy()[cells // bins], "bin": cells % bins, "n": counts}))
@@ -148,12 +149,12 @@ def top_k_by_histogram(
     )
 
     def over_tiles(state: DataFrame, work, schema: str) -> DataFrame:
-        right = queries.join(state.select("row", "low", "width"), "row").select("*", each[1])
+        right = queries.join(state.select("row", "low", "high", "width"), "row").select("*", each[1])
         return left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile")).applyInPandas(work, schema)
 
     most = F.ceil(F.col("norm") * F.lit(size["norm"] * (1 + 1e-9))) + 1
     state = queries.select(
-        "row", (-most).alias("low"), F.ceil((2 * most + 1) / F.lit(bins)).cast("long").alias("width"),
+        "row", (-most).alias("low"), (most + 1).alias("high"), F.ceil((2 * most + 1) / F.lit(bins)).cast("long").alias("width"),
         F.lit(0).cast("long").alias("above"), F.lit(False).alias("done"),
     )
     downwards = Window.partitionBy("row").orderBy(F.desc("bin"))
@@ -169,9 +170,11 @@ def top_k_by_histogram(
         )
         # Where k is not reached, there are fewer candidates: all of them are taken.
         inside = F.col("above") + F.col("at.sum")
+        start = F.col("low") + F.coalesce(F.col("at.bin"), F.lit(0)) * F.col("width")
         now = open_.join(place, "row", "left").select(
             "row",
-            F.when(F.col("at").isNull(), F.col("low")).otherwise(F.col("low") + F.col("at.bin") * F.col("width")).alias("low"),
+            start.alias("low"),
+            F.least("high", start + F.col("width")).alias("high"),
             F.ceil(F.col("width") / F.lit(bins)).cast("long").alias("width"),
             F.when(F.col("at").isNull(), F.col("above")).otherwise(inside - F.col("at.n")).alias("above"),
             (F.col("at").isNull() | (F.col("width") == 1) | (inside == k)).alias("done"),

@@ -48,6 +48,17 @@ def test_search_equals_a_plain_loop(spark, tile, bins):
     assert found(got) == plain_top_k(rows, lambda q: q % 30 == 0, 10)
 
 
+def test_search_counts_no_score_twice_where_bins_reach_beyond_their_interval(spark):
+    random = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in random.integers(0, 12, 3) / 4], 0) for i in range(400)]
+    for scale, bins in ((4, 7), (100, 10), (1024, 1024)):
+        got = top_k_by_histogram(vectors(spark, rows), F.col("vec_id") % 50 == 0, k=10, scale=scale, tile=64, bins=bins)
+        assert found(got) == plain_top_k(rows, lambda q: q % 50 == 0, 10, scale)
+    near = [(i, [1.0 + float(np.float32(random.uniform(-1e-3, 1e-3))) for _ in range(8)], 0) for i in range(600)]
+    got = top_k_by_histogram(vectors(spark, near), F.col("vec_id") % 50 == 0, k=10)
+    assert found(got) == plain_top_k(near, lambda q: q % 50 == 0, 10)
+
+
 def test_search_takes_large_scores_and_few_candidates(spark):
     rows = random_rows(5, 6, 3, 3e4)
     got = top_k_by_histogram(vectors(spark, rows), F.col("vec_id") >= 4, k=10)
