@@ -6,6 +6,7 @@ documents, label files, pixels) and read back by the operator, whole.
 
 from __future__ import annotations
 
+import math
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
@@ -29,13 +30,24 @@ from detlake.sources import documents as S
 from detlake.sources import files as W
 
 
+#: Entries of one JSON document, about, and bytes of one review batch: a document is read by one
+#: task, so a larger table is written as more documents and not as longer ones.
+ENTRIES = 10_000
+BATCH_BYTES = 2_000_000
+
+
 def _documents(df, keys, label):
     """Rows (keys, body) as one JSON file each, in folders named by the keys."""
     path = scratch_path(df.sparkSession, label)
-    df.repartition(*keys).write.partitionBy(*keys).text(path)
+    df.write.partitionBy(*keys).option("maxRecordsPerFile", 1).text(path)
     return path
 
 
+def _part(rows, *by):
+    """The document of each row: as many documents as hold ``ENTRIES`` of ``rows`` each."""
+    return F.pmod(F.xxhash64(*by), F.lit(max(1, math.ceil(rows.count() / ENTRIES))).cast("bigint"))
+
+
 # Sources
 
 
@@ -44,9 +56,10 @@ def _documents(df, keys, label):
     f"WITH {BASE_SQL} SELECT split, annotation_index AS annotation_id, image_id, category_id, x, y, w, h FROM truth JOIN imgs USING (image_id)",
 )
 def coco_source(spark, d):
-    """Twelve exports, four a split."""
-    images = T.images(spark, d).withColumn("part", F.col("image_id") % 4)
-    boxes = T.truth(spark, d).join(images.select("image_id", "split", "part"), "image_id").groupBy("split", "part").agg(
+    """Exports of whole images, several a split."""
+    truth = T.truth(spark, d)
+    images = T.images(spark, d).withColumn("part", _part(truth, "image_id"))
+    boxes = truth.join(images.select("image_id", "split", "part"), "image_id").groupBy("split", "part").agg(
         F.collect_list(
             F.struct(F.col("annotation_index").alias("id"), "image_id", "category_id", F.array(*"xywh").alias("bbox"))
         ).alias("annotations")
@@ -54,7 +67,7 @@ def coco_source(spark, d):
     named = F.struct(F.col("image_id").alias("id"), F.format_string("%d.png", "image_id").alias("file_name"), "width", "height")
     exports = images.groupBy("split", "part").agg(F.collect_list(named).alias("images")).join(boxes, ["split", "part"])
     body = F.to_json(F.struct("images", "annotations", F.array().cast("array<struct<id: bigint, name: string>>").alias("categories")))
-    path = _documents(exports.select("split", "part", body.alias("body")), ["split", "part"], "coco")
+    path = _documents(exports.select("split", body.alias("body")), ["split"], "coco")
     rows = None
     for split in T.SPLITS:
         part = S.read_coco(spark, f"{path}/split={split}", split).annotations
