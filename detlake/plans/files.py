@@ -133,9 +133,11 @@ def manifest_source(spark, d):
     f"WITH {BASE_SQL} SELECT 'run=' || (category_id % 3) AS run_id, image_id, category_id, x, y, w, h, score FROM preds",
 )
 def saved_predictions_source(spark, d):
-    rows = T.predictions(spark, d).withColumn("run", F.col("category_id") % 3)
+    """Three runs, each saved in several documents."""
+    rows = T.predictions(spark, d)
+    rows = rows.withColumns({"run": F.col("category_id") % 3, "part": _part(rows, "image_id", "prediction_index")})
     one = F.struct("image_id", "category_id", F.array(*"xywh").alias("bbox"), "score")
-    saved = rows.groupBy("run").agg(F.collect_list(one).alias("predictions"))
+    saved = rows.groupBy("run", "part").agg(F.collect_list(one).alias("predictions"))
     body = F.to_json(F.struct(F.array(F.lit("a.png")).alias("source_images"), "predictions"))
     path = _documents(saved.select("run", body.alias("body")), ["run"], "predictions")
     predictions = S.read_saved_predictions(spark, path)[1]
