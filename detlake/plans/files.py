@@ -19,6 +19,7 @@ from detlake.operators import grouping as R
 from detlake.operators import near as N
 from detlake.operators import scoring as P
 from detlake.operators import validate as V
+from detlake.operators.running import running_totals
 from detlake.plans import tables as T
 from detlake.plans.curation import _EDGE_SQL, _NEAR_SQL, _edges, _pixels
 from detlake.plans.operations import _DET_SQL, _detections
@@ -156,12 +157,16 @@ def review_batch_source(spark, d):
         F.concat_ws("-", F.concat(F.lit("c"), "conv_id"), "turn").alias("case_id"),
         F.create_map(F.lit("relationship"), answer).alias("answers"), F.col("text").alias("rationale"),
     )
-    batches = T.read(spark, d, "conversations").groupBy("role", (F.col("conv_id") % 8).alias("part")).agg(F.collect_list(one).alias("decisions"))
+    turns = T.read(spark, d, "conversations").select("role", one.alias("d"), F.octet_length(F.to_json(one)).cast("bigint").alias("size"))
+    order = [F.col(c) for c in ("role", "d.case_id", "d.rationale")]
+    placed = running_totals(turns, [], order, {"upto": F.col("size")})
+    part = F.expr(f"(upto - size) div {BATCH_BYTES}").alias("part")
+    batches = placed.groupBy("role", part).agg(F.collect_list("d").alias("decisions"))
     body = F.to_json(
         F.struct(F.lit("1.0").alias("schema_version"), F.lit("p").alias("packet_sha256"), F.col("role").alias("reviewer"),
                  F.lit("2026-01-01T00:00:00Z").alias("reviewed_at"), "decisions")
     )
-    path = _documents(batches.select("role", "part", body.alias("body")), ["role", "part"], "reviews")
+    path = _documents(batches.select("role", body.alias("body")), ["role"], "reviews")
     rows = S.read_review_batches(spark, path)
     return rows.select("case_id", "reviewer", F.col("answers")["relationship"].alias("answer"), "rationale")
 
