@@ -107,22 +107,22 @@ def yolo_source(spark, d):
   LEFT JOIN labels ON doc_id = image_id""",
 )
 def manifest_source(spark, d):
-    """A manifest a language; labelled documents have one annotation."""
+    """Manifests of one language each; labelled documents have one annotation."""
     box = F.struct(*[F.lit(float(i)).alias(n) for i, n in enumerate(["x1", "y1", "x2", "y2"])])
     labels = T.read(spark, d, "labels").select(F.col("doc_id").alias("image_id"), F.struct(F.col("quality").alias("class_id"), box.alias("bbox")).alias("a"))
-    rows = T.document_files(spark, d).join(labels, "image_id", "left")
+    files = T.document_files(spark, d)
+    rows = files.withColumn("part", _part(files, "image_id")).join(labels, "image_id", "left")
     sample = F.struct(
         F.col("path").alias("image"), "sha256", "width", "height", "group_id", "split",
         F.array_compact(F.array("a")).alias("annotations"),
     )
     body = F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.array(F.lit("q0"), F.lit("q1")).alias("classes"), "samples"))
-    named = rows.groupBy("lang").agg(F.collect_list(sample).alias("samples")).select("lang", body.alias("body"))
+    named = rows.groupBy("lang", "part").agg(F.collect_list(sample).alias("samples")).select("lang", body.alias("body"))
     path = _documents(named, ["lang"], "manifests")
     found = S.read_manifest(spark, path)
-    # Paths repeat within a manifest: rows are met by their place.
-    images = found.images.withColumn("document", F.col("sha256"))
-    boxes = found.annotations.select("path", F.col("image_ordinal").alias("ordinal"), "class_id").distinct()
-    keyed = images.join(boxes, ["path", "ordinal"], "left")
+    # Paths repeat within and between manifests: rows are met by their manifest and their place in it.
+    boxes = found.annotations.select("document", F.col("image_ordinal").alias("ordinal"), "class_id")
+    keyed = found.images.join(boxes, ["document", "ordinal"], "left")
     return keyed.select(
         "path", "sha256", F.col("width").cast("bigint").alias("width"), "group_id", "split",
         F.coalesce("class_id", F.lit(-1)).cast("bigint").alias("class_id"),
@@ -151,7 +151,7 @@ def saved_predictions_source(spark, d):
   text AS rationale FROM conversations""",
 )
 def review_batch_source(spark, d):
-    """Turns as decisions, a batch for each role and remainder of the conversation."""
+    """Turns as decisions, in batches of one role and of a size that the reader takes."""
     answer = F.when(F.length("text") % 2 == 0, "related").otherwise("unrelated")
     one = F.struct(
         F.concat_ws("-", F.concat(F.lit("c"), "conv_id"), "turn").alias("case_id"),

@@ -83,7 +83,10 @@ def read_coco(spark: SparkSession, path: str, split: str | None = None) -> Coco:
 
 @dataclass
 class Manifest:
-    """A dataset manifest as flat tables plus its one-row header."""
+    """Dataset manifests as flat tables plus a header row each.
+
+    ``ordinal`` is the place of an image in its ``document``, the file it comes from.
+    """
 
     header: DataFrame
     classes: DataFrame
@@ -95,17 +98,22 @@ def read_manifest(spark: SparkSession, path: str) -> Manifest:
     document = spark.read.schema(schemas.MANIFEST).option("multiLine", True).option(
         "mode", "FAILFAST"
     ).json(path)
-    samples = document.select(F.posexplode("samples").alias("ordinal", "s"))
+    samples = document.select(
+        F.col("_metadata.file_path").alias("document"), F.posexplode("samples").alias("ordinal", "s")
+    )
     images = samples.select(
+        "document",
         "ordinal",
         F.col("s.image").alias("path"),
         *[F.col(f"s.{c}") for c in ("sha256", "width", "height", "group_id", "split")],
     )
     annotations = samples.select(
+        "document",
         F.col("ordinal").alias("image_ordinal"),
         F.col("s.image").alias("path"),
         F.posexplode("s.annotations").alias("annotation_index", "a"),
     ).select(
+        "document",
         "image_ordinal",
         "path",
         "annotation_index",

@@ -4,15 +4,20 @@ import json
 import struct
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from detlake import schemas
 from detlake.functions import pixels as P
 from detlake.functions.sql import register_sql
 from detlake.operators import scoring as SC
 from detlake.operators import validate as V
+from detlake.plans import files as plans
 from detlake.sinks import tables as K
 from detlake.sources import documents as D
 from detlake.sources import files as S
@@ -364,3 +369,57 @@ def test_message_checks(spark):
     rows = checked_messages(spark.createDataFrame([(b,) for b in bodies], "body string")).select("issue").collect()
     assert [r[0] for r in rows] == [None, "unsupported_version", "unsupported_version", "invalid_identity",
                                     "not_an_object", "not_an_object"]
+
+
+def oracle(name, tables):
+    """The rows of a query's SQL over Parquet files of one folder."""
+    con = duckdb.connect()
+    for file in tables.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
+    return sorted(con.execute(entry.oracle_sql()[name]).fetchall(), key=str)
+
+
+def answered(spark, name, tables):
+    return sorted(map(tuple, entry.queries()[name](spark, str(tables)).collect()), key=str)
+
+
+def table(folder, name, columns):
+    pq.write_table(pa.table(columns), folder / f"{name}.parquet")
+
+
+def test_long_tables_become_more_documents(spark, tmp_path, monkeypatch):
+    """No export holds more than its share, and nothing is lost between them."""
+    monkeypatch.setattr(plans, "ENTRIES", 40)
+    documents = []
+
+    def kept(df, keys, label):
+        documents.append(df.agg(F.max(F.length("body")), F.count("*")).first())
+        return written(df, keys, label)
+
+    written = plans._documents
+    monkeypatch.setattr(plans, "_documents", kept)
+    rows = range(600)
+    table(tmp_path, "orders", {"o_orderkey": list(rows), "o_custkey": list(rows)})
+    table(tmp_path, "lineitem", {
+        "l_orderkey": [i // 3 for i in rows], "l_partkey": [i * 7 for i in rows], "l_suppkey": [i % 40 for i in rows],
+        "l_linenumber": pa.array([i % 3 + 1 for i in rows], pa.int32()), "l_quantity": [float(i % 50) for i in rows]})
+    for name in ("coco_source", "saved_predictions_source"):
+        assert answered(spark, name, tmp_path) == oracle(name, tmp_path)
+    assert all(longest < 20_000 and count > 12 for longest, count in documents)
+
+
+def test_places_repeat_between_manifests(spark, tmp_path):
+    """Equal paths at equal places of several languages stay apart."""
+    ids = [990 * i for i in range(12)]
+    table(tmp_path, "documents", {"doc_id": ids, "text": [f"t{i}" for i in ids], "source": ["s"] * 12,
+                                  "lang": ["de", "en", "fr"] * 4, "n_chars": ids})
+    table(tmp_path, "labels", {"doc_id": ids[:9] + ids[:1], "quality": pa.array([0, 1] * 5, pa.int32())})
+    assert answered(spark, "manifest_source", tmp_path) == oracle("manifest_source", tmp_path)
+
+
+def test_review_batches_stay_below_the_limit(spark, tmp_path):
+    turns = range(700)
+    table(tmp_path, "conversations", {
+        "conv_id": [i // 4 * 8 for i in turns], "turn": [i % 4 for i in turns],
+        "role": [None if i % 90 == 0 else "user" for i in turns], "text": [None if i == 5 else f"{i}\n" + "x" * 9_000 for i in turns]})
+    assert answered(spark, "review_batch_source", tmp_path) == oracle("review_batch_source", tmp_path)
