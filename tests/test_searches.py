@@ -131,3 +131,32 @@ def test_queue_of_copies_is_short_and_counted(spark):
     assert N.expand_queue(images, queue, 1, 5).count() == queue.orderBy("a", "b").first()["pairs"]
     assert N.expand_queue(images, queue, 1, audited).count() == pairs
     assert N.expand_queue(images, queue, audited + 1, audited + 5).count() == 0
+
+
+def test_tiles_find_every_near_pair_once(spark, monkeypatch):
+    """Blocks of both sides, sign bits, repeated and missing signatures; against plain loops."""
+    monkeypatch.setattr(N, "TILE", 32)
+    random_ = random.Random(4)
+    values = [random_.getrandbits(64) - (1 << 63) for _ in range(100)]
+    values += [v ^ (1 << random_.randrange(63)) for v in values[:60]] + values[:30]
+    left = spark.createDataFrame([(v,) for v in values] + [(None,)], "signature long")
+    right = left.limit(70)
+
+    def distance(x, y):
+        return ((x ^ y) & (2**64 - 1)).bit_count()
+
+    for k in (0, 3, 18):
+        links = sorted(map(tuple, N.near_links(left, k, 64).collect()))
+        assert links == sorted((x, y, distance(x, y)) for x in set(values) for y in set(values) if x <= y and distance(x, y) <= k)
+        of_two = sorted(map(tuple, N.near_signatures(left, right, k, 64).collect()))
+        assert of_two == sorted((x, y, distance(x, y)) for x in set(values) for y in set(values[:70]) if distance(x, y) <= k)
+
+
+def test_a_search_that_keys_cannot_narrow_goes_by_tiles(spark):
+    """Keys of two bits fewer than the rows, or thousands a row, would compare most pairs by joins."""
+    assert N.tiles_are_cheaper(63, 18, 600_000, 600_000)
+    assert N.tiles_are_cheaper(24, 4, 100_000, 100_000)
+    assert not N.tiles_are_cheaper(64, 4, 10_000_000, 10_000_000)
+    values = [(i * 2_654_435_761 % (1 << 24),) for i in range(300)]
+    df = spark.createDataFrame(values, "signature long")
+    assert "CoGroup" in N.near_links(df, 4, 24)._jdf.queryExecution().executedPlan().toString()
