@@ -224,6 +224,21 @@ def test_table_digest_ignores_order_and_sees_changes(spark):
     assert H.table_digest(df.union(df)).first()["rows"] == 400
 
 
+def test_table_digest_moves_rows_once(spark):
+    plan = H.table_digest(spark.range(200))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the rows, and 16^5 prefixes at most
+
+
+def test_table_sums_see_changes_and_repeats(spark):
+    df = spark.range(200).withColumn("v", F.col("id") % 7)
+    one = H.table_sums(df).first()
+    assert one == H.table_sums(df.orderBy(F.desc("id")).repartition(5).select("v", "id")).first()
+    assert one != H.table_sums(df.withColumn("v", F.when(F.col("id") == 3, 99).otherwise(F.col("v")))).first()
+    assert H.table_sums(df.union(df)).first()["rows"] == 400
+    assert H.table_sums(df.limit(0)).first()["rows"] == 0
+    assert "hashpartitioning" not in H.table_sums(df)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 100])
 def test_percentiles_interpolate(spark, size):
     from detlake.operators.stats import latency_summary
