@@ -70,7 +70,8 @@ def image_views(
 
 
 def tile_annotations(tiles: DataFrame, annotations: DataFrame, cell: float = 512.0) -> DataFrame:
-    """Labels of every tile in tile coordinates; tiles without labels appear with NULLs.
+    """Labels of every tile in tile coordinates, with the tile's corner; tiles without labels
+    appear with NULLs.
 
     ``tiles``: image_id, tile and tx1..ty2; ``annotations``: image_id, annotation_index,
     class_id, x1..y2. Labels get class_id + 1, since 0 means background.
@@ -100,6 +101,8 @@ def tile_annotations(tiles: DataFrame, annotations: DataFrame, cell: float = 512
     return clipped.select(
         "image_id",
         "tile",
+        "tx1",
+        "ty1",
         "annotation_index",
         "label",
         (F.greatest("x1", "tx1") - F.col("tx1")).alias("x1"),
