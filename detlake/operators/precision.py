@@ -150,8 +150,8 @@ def detection_hits(
     """One row per detection that counts, with its true-positive mask."""
     group = ["image_id", "category_id"]
     calm, calm_truth, busy = split_sides(predictions, truth, ["image_id"], pair_limit)
-    # Placed by image once; ranking per class and gathering per image then stay in place.
-    hits = _hits_by_image(top_detections(calm.repartition("image_id"), group), calm_truth)
+    # Both are placed by image; ranking per class and gathering per image stay in place.
+    hits = _hits_by_image(top_detections(calm, group), calm_truth)
     if busy is None:
         return hits
     detections = stored(top_detections(busy, group), "detections")

@@ -12,7 +12,9 @@ holds the top-left corner of its intersection, so no de-duplication shuffle foll
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from detlake.functions import geometry as G
@@ -24,6 +26,7 @@ CELL_PAIRS = 1_000_000  # possible pairs of one cell, or of one block of a cell
 SPLITS = 10  # halvings of a cell at most
 PARTED = 0.75  # a quarter that keeps more of its cell's rows than this is not split again
 SIDE_LIMIT = 5_000  # rows of one key and side that may be gathered in one row
+TASK_ROWS = 500_000  # rows of both sides, about, that one task joins or gathers by key
 
 
 def _span(start: str, size: str, cell: float) -> tuple[Column, Column]:
@@ -52,6 +55,21 @@ def _prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keys])
 
 
+def _key_sizes(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    if left is right:
+        return left.groupBy(*keys).agg(F.count("*").alias("_l")).withColumn("_r", F.col("_l"))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    rows = left.select(*keys, one.alias("_l"), none.alias("_r")).unionByName(
+        right.select(*keys, none.alias("_l"), one.alias("_r"))
+    )
+    return rows.groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+
+
+def _is_crowded(limit: int, side: int | None) -> Column:
+    crowded = F.col("_l") * F.col("_r") > limit
+    return crowded if side is None else crowded | (F.greatest("_l", "_r") > side)
+
+
 def crowded_keys(
     left: DataFrame,
     right: DataFrame,
@@ -60,26 +78,40 @@ def crowded_keys(
     side: int | None = None,
 ) -> DataFrame:
     """Keys with more than ``limit`` possible pairs, or more than ``side`` rows on a side."""
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    rows = left.select(*keys, one.alias("_l"), none.alias("_r")).unionByName(
-        right.select(*keys, none.alias("_l"), one.alias("_r"))
-    )
-    sizes = rows.groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
-    crowded = F.col("_l") * F.col("_r") > limit
-    if side is not None:
-        crowded = crowded | (F.greatest("_l", "_r") > side)
-    return sizes.filter(crowded).select(*keys)
+    return _key_sizes(left, right, keys).filter(_is_crowded(limit, side)).select(*keys)
+
+
+def task_count(spark: SparkSession, rows: int) -> int:
+    """Partitions for ``rows`` rows: one for each core at least, of about ``TASK_ROWS`` rows."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS))
+
+
+def _counted(
+    left: DataFrame, right: DataFrame, keys: list[str], limit: int, side: int | None = None
+) -> tuple[DataFrame | None, int]:
+    """(crowded keys or None when there are none, partitions for the others)."""
+    sizes = _key_sizes(left, right, keys).agg(
+        F.sum(F.col("_l") + F.col("_r")).alias("rows"), F.count_if(_is_crowded(limit, side)).alias("crowded")
+    ).first()
+    parts = task_count(left.sparkSession, sizes["rows"] or 0)
+    if not sizes["crowded"]:
+        return None, parts
+    return stored(crowded_keys(left, right, keys, limit, side), "crowded"), parts
 
 
 def split_crowded(
     left: DataFrame, right: DataFrame, keys: list[str], limit: int = PAIR_LIMIT
 ) -> tuple[DataFrame, DataFrame | None]:
-    """(left rows of calm keys, left rows of crowded keys or None when there are none)."""
-    crowded = crowded_keys(left, right, keys, limit)
-    if crowded.isEmpty():
-        return left, None
-    crowded = stored(crowded, "crowded")
-    return left.join(crowded, keys, "left_anti"), left.join(crowded, keys, "left_semi")
+    """(left rows of calm keys, left rows of crowded keys or None when there are none).
+
+    Calm rows are dealt by key to tasks of about ``TASK_ROWS`` rows of both sides, so that a
+    larger table makes more tasks and not fuller ones.
+    """
+    crowded, parts = _counted(left, right, keys, limit)
+    if crowded is None:
+        return left.repartition(parts, *keys), None
+    calm = left.join(crowded, keys, "left_anti").repartition(parts, *keys)
+    return calm, left.join(crowded, keys, "left_semi")
 
 
 def split_sides(
@@ -88,13 +120,12 @@ def split_sides(
     """(left and right rows of calm keys, left rows of crowded keys or None).
 
     What is calm may be gathered by key: no key has more than ``side`` rows on either side,
-    also if the other side has none.
+    also if the other side has none. Both sides are dealt by key as in ``split_crowded``.
     """
-    crowded = crowded_keys(left, right, keys, limit, side)
-    if crowded.isEmpty():
-        return left, right, None
-    crowded = stored(crowded, "crowded")
-    calm = (df.join(crowded, keys, "left_anti") for df in (left, right))
+    crowded, parts = _counted(left, right, keys, limit, side)
+    if crowded is None:
+        return left.repartition(parts, *keys), right.repartition(parts, *keys), None
+    calm = (df.join(crowded, keys, "left_anti").repartition(parts, *keys) for df in (left, right))
     return *calm, left.join(crowded, keys, "left_semi")
 
 

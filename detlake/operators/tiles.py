@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from detlake.functions import geometry as G
 from detlake.operators.matching import PAIR_LIMIT
 from detlake.operators.precision import MAX_DETECTIONS, top_detections
-from detlake.operators.spatial import grid_pairs, split_crowded, touching
+from detlake.operators.spatial import grid_pairs, split_crowded, task_count, touching
 from detlake.session import stored
 
 NMS_IOU = 0.5
@@ -118,9 +118,13 @@ def tile_annotations(tiles: DataFrame, annotations: DataFrame, cell: float = 512
 
 
 def restore_boxes(detections: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Tile-local detections in image coordinates."""
-    origin = tiles.select("image_id", "tile", "tx1", "ty1", "width", "height")
-    return detections.join(origin, ["image_id", "tile"]).withColumns(
+    """Tile-local detections in image coordinates.
+
+    Both sides are dealt by image, so that more detections make more tasks and not fuller ones.
+    """
+    parts = task_count(detections.sparkSession, detections.count())
+    origin = tiles.select("image_id", "tile", "tx1", "ty1", "width", "height").repartition(parts, "image_id")
+    return detections.repartition(parts, "image_id").join(origin, ["image_id", "tile"]).withColumns(
         {
             "x1": F.col("x1") + F.col("tx1"),
             "y1": F.col("y1") + F.col("ty1"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from detlake import session
 from detlake.operators import matching as M
 from detlake.operators import spatial as S
+from detlake.operators import tiles as L
 
 SCHEMA = "image_id long, i long, x double, y double, w double, h double"
 
@@ -103,3 +104,18 @@ def test_only_contested_candidates_go_through_rounds(spark, monkeypatch):
     assert {tuple(r)[1:] for r in kept.filter("prediction_index >= 1000").collect()} == {(1000, 1000), (1001, 1001)}
     assert sizes[0] == ("candidates", 303)
     assert all(n <= 3 for _, n in sizes[1:])
+
+
+def test_tile_detections_are_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(S, "TASK_ROWS", 5)
+    detections = spark.range(200).select(
+        (F.col("id") % 50).alias("image_id"), F.lit(0).alias("tile"), F.col("id").alias("prediction_index"),
+        *[F.lit(float(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))],
+    )
+    tiles = spark.range(50).select(
+        F.col("id").alias("image_id"), F.lit(0).alias("tile"), F.lit(3).alias("tx1"), F.lit(4).alias("ty1"),
+        F.lit(64).alias("width"), F.lit(64).alias("height"),
+    )
+    restored = L.restore_boxes(detections, tiles)
+    assert restored.rdd.getNumPartitions() == 40
+    assert {(r["x1"], r["y2"]) for r in restored.collect()} == {(3.0, 7.0)} and restored.count() == 200
