@@ -2,40 +2,49 @@
 
 Rows are range-partitioned by (keys, order) and stored with the number of their range.
 Each range is summed on its own; the few range totals are accumulated in order and
-added back. Ranges may split one key, so a key holding most rows stays parallel.
+added back. Ranges may split one key, so a key holding most rows stays parallel. Rows are
+counted first: a larger table has more ranges and more tasks, not fuller ones.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from detlake.session import stored
 
+RANGE_ROWS = 125_000  # rows of a range, about; a task may be dealt several
+
 
 def running_totals(
     df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]
 ) -> DataFrame:
     """Add ``sums`` accumulated up to and including each row. ``order`` must be unique per key."""
+    parts = max(1, math.ceil(df.count() / RANGE_ROWS))
     ranged = stored(
-        df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(
+        df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn(
             "_range", F.spark_partition_id()
         ),
         "ranges",
-    ).withColumns({f"_add_{n}": c for n, c in sums.items()})
+    )
     here = [*keys, "_range"]
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    totals = ranged.groupBy(*here).agg(*[F.sum(f"_add_{n}").alias(n) for n in sums])
+    totals = ranged.groupBy(*here).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     offsets = totals.select(
         *here, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off_{n}") for n in sums]
     )
     inside = Window.partitionBy(*here).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # Offsets join behind the window, so that they are not sorted and held with every row.
     return (
-        ranged.join(offsets, here)
-        .withColumns({n: F.sum(f"_add_{n}").over(inside) + F.col(f"_off_{n}") for n in sums})
-        .drop("_range", *[f"_add_{n}" for n in sums], *[f"_off_{n}" for n in sums])
+        ranged.repartition(parts, *here)
+        .withColumns({f"_upto_{n}": F.sum(c).over(inside) for n, c in sums.items()})
+        .join(offsets, here)
+        .withColumns({n: F.col(f"_upto_{n}") + F.col(f"_off_{n}") for n in sums})
+        .drop("_range", *[f"{p}_{n}" for p in ("_upto", "_off") for n in sums])
     )
 
 
