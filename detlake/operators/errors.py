@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from detlake.functions import geometry as G
 from detlake.operators.matching import IOU_FLOOR
-from detlake.operators.spatial import overlapping_pairs
+from detlake.operators.spatial import overlapping_pairs, task_count
 from detlake.session import stored
 
 # Reporting thresholds.
@@ -44,9 +44,13 @@ def error_counts(
     zeros = [F.lit(0).alias(c) for i in range(len(thresholds)) for c in (f"tp{i}", f"fp{i}")]
     labels = truth.select(*columns, *zeros, F.lit(1).alias("labels"))
     # Thresholds stay side by side until rows are summed to the finest level, so that
-    # nothing is copied per threshold before it has become small.
+    # nothing is copied per threshold before it has become small. Rows by image are dealt to
+    # tasks by the size of the truth, matches taken to be about as many; few groups are not dealt.
     sums = [c for c in rows.columns if c not in columns]
-    summed = rows.unionByName(labels).groupBy(*columns).agg(*[F.sum(c).alias(c) for c in sums])
+    both = rows.unionByName(labels)
+    if "image_id" in columns:
+        both = both.repartition(task_count(truth.sparkSession, 2 * truth.count()), *columns)
+    summed = both.groupBy(*columns).agg(*[F.sum(c).alias(c) for c in sums])
     finest = summed.select(
         *columns,
         F.inline(
