@@ -1,4 +1,4 @@
-"""Fingerprints of decoded images, in Arrow batches.
+"""Fingerprints of decoded images, in Arrow batches; pictures of one size are computed together.
 
 Input is what Spark's image reader yields: BGR bytes, row by row. Grey levels use the
 usual luma weights and thumbnails are area averages, so results are deterministic here
@@ -35,25 +35,30 @@ HEADER = T.StructType(
 )
 
 
+#: Pixels of pictures of one size that are computed together, one picture at least.
+STACKED_PIXELS = 1 << 18
+
+
 def grey_levels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
-    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.float64)
+    """Grey pictures, stacked, of one size whose bytes follow each other."""
+    pixels = np.frombuffer(data, np.uint8).reshape(-1, height, width, channels).astype(np.float64)
     if channels == 1:
-        return pixels[:, :, 0]
+        return pixels[..., 0]
     red, green, blue = LUMA
-    return np.rint(pixels[:, :, 2] * red + pixels[:, :, 1] * green + pixels[:, :, 0] * blue)
+    return np.rint(pixels[..., 2] * red + pixels[..., 1] * green + pixels[..., 0] * blue)
 
 
 class AreaSums:
-    """A picture's summed-area table, from which every grid of area averages is read.
+    """Summed-area tables of a picture or a stack, from which every grid of area averages is read.
 
     All arithmetic is on whole numbers until the last division: a cell's edges lie at
     multiples of 1/rows and 1/columns of a pixel, so its sum times ``rows * columns`` is whole.
     """
 
     def __init__(self, grey: np.ndarray):
-        self.height, self.width = grey.shape
-        self.table = np.zeros((self.height + 1, self.width + 1), np.int64)
-        np.cumsum(np.cumsum(grey.astype(np.int64), axis=0), axis=1, out=self.table[1:, 1:])
+        *stack, self.height, self.width = grey.shape
+        self.table = np.zeros((*stack, self.height + 1, self.width + 1), np.int64)
+        np.cumsum(np.cumsum(grey.astype(np.int64), axis=-2), axis=-1, out=self.table[..., 1:, 1:])
 
     @staticmethod
     def _at(table: np.ndarray, size: int, cells: int) -> np.ndarray:
@@ -61,69 +66,84 @@ class AreaSums:
         whole, part = np.divmod(np.arange(cells + 1) * size, cells)
         after = np.minimum(whole + 1, size)
         part = part[:, None]
-        return (cells - part) * table[whole] + part * table[after]
+        return (cells - part) * table[..., whole, :] + part * table[..., after, :]
 
     def grid(self, rows: int, columns: int) -> np.ndarray:
         """Area averages in ``rows`` by ``columns`` cells, rounded to whole levels."""
-        across = self._at(self._at(self.table, self.height, rows).T, self.width, columns).T
-        sums = np.diff(np.diff(across, axis=0), axis=1)
+        down = self._at(self.table, self.height, rows)
+        across = self._at(down.swapaxes(-1, -2), self.width, columns).swapaxes(-1, -2)
+        sums = np.diff(np.diff(across, axis=-2), axis=-1)
         return np.rint(sums / (self.height * self.width))
 
 
-def _signed(bits: int) -> int:
-    return bits - (1 << 64) if bits >= 1 << 63 else bits
+def _as_long(bits: np.ndarray, order: str) -> np.ndarray:
+    """The last 64 bits of each entry as a signed number."""
+    packed = np.packbits(bits, axis=-1, bitorder=order)
+    return packed.view(">i8" if order == "big" else "<i8")[..., 0].astype(np.int64)
+
 
+def _row(grid: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(grid).reshape(*grid.shape[:-2], -1)
 
-def difference_bits(grid: np.ndarray) -> int:
-    """64 bits of an 8 by 9 grid, most significant first: is a cell brighter than its right neighbour?"""
-    bits = (grid[:, :-1] > grid[:, 1:]).ravel()
-    return _signed(int("".join("1" if b else "0" for b in bits), 2))
 
+def difference_bits(grid: np.ndarray) -> np.ndarray:
+    """64 bits of each 8 by 9 grid, most significant first: is a cell brighter than its right neighbour?"""
+    return _as_long(_row(grid[..., :-1] > grid[..., 1:]), "big")
 
-def average_bits(grid: np.ndarray) -> int:
-    """64 bits of an 8 by 8 grid, least significant first: is a cell at least the mean?"""
-    small = grid.ravel()
-    return _signed(sum(1 << i for i in np.flatnonzero(small >= small.mean()).tolist()))
+
+def average_bits(grid: np.ndarray) -> np.ndarray:
+    """64 bits of each 8 by 8 grid, least significant first: is a cell at least the mean?"""
+    return _as_long(_row(grid >= grid.mean(axis=(-2, -1), keepdims=True)), "little")
 
 
 _BASIS = np.cos((2 * np.arange(32)[None, :] + 1) * np.arange(8)[:, None] * np.pi / 64)
 
 
-def frequency_bits(grid: np.ndarray) -> int:
-    """63 bits of a 32 by 32 grid: is a low-frequency cosine coefficient above the median (constant
+def frequency_bits(grid: np.ndarray) -> np.ndarray:
+    """63 bits of each 32 by 32 grid: is a low-frequency cosine coefficient above the median (constant
     term left out)?"""
-    values = (_BASIS @ grid @ _BASIS.T).ravel()[1:]
-    return sum(1 << i for i in np.flatnonzero(values > np.median(values)).tolist())
+    values = _row(_BASIS @ grid @ _BASIS.T)[..., 1:]
+    above = values > np.median(values, axis=-1, keepdims=True)
+    return _as_long(np.concatenate([above, np.zeros_like(above[..., :1])], axis=-1), "little")
 
 
 def orientations(grid: np.ndarray):
     """A grid and its mirror, each turned by 0, 90, 180 and 270 degrees: the grids of the turned picture."""
-    for base in (grid, grid[:, ::-1]):
+    for base in (grid, grid[..., ::-1]):
         for turns in range(4):
-            yield np.rot90(base, turns)
+            yield np.rot90(base, turns, axes=(-2, -1))
 
 
 @F.pandas_udf(FINGERPRINT)
 def _fingerprints(
     data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series
 ) -> pd.DataFrame:
-    rows = []
-    for raw, h, w, c in zip(data, height, width, channels):
-        if raw is None or h is None or h <= 0:
-            rows.append((None, None, None, None))
-            continue
-        sums = AreaSums(grey_levels(raw, int(h), int(w), int(c)))
-        large = sums.grid(32, 32)
-        rows.append(
-            (
-                difference_bits(sums.grid(8, 9)),
-                [average_bits(g) for g in orientations(sums.grid(8, 8))],
-                [frequency_bits(g) for g in orientations(large)],
-                round(float(large.mean()), 2),
-            )
-        )
-    return pd.DataFrame(rows, columns=["dhash", "ahash", "phash", "mean_luminance"]).astype(
-        {"dhash": "Int64"}
+    rows: list[tuple] = [(None, None, None, None)] * len(data)
+    alike: dict[tuple[int, int, int], list[int]] = {}
+    for i, (raw, h, w, c) in enumerate(zip(data, height, width, channels)):
+        if raw is not None and h is not None and h > 0:
+            alike.setdefault((int(h), int(w), int(c)), []).append(i)
+    for (h, w, c), places in alike.items():
+        # The largest grid has 32 by 32 cells, however small the picture.
+        step = max(1, STACKED_PIXELS // max(h * w, 32 * 32))
+        for low in range(0, len(places), step):
+            some = places[low : low + step]
+            for i, marks in zip(some, _marks(b"".join(data.iloc[i] for i in some), h, w, c), strict=True):
+                rows[i] = marks
+    out = pd.DataFrame(rows, columns=["dhash", "ahash", "phash", "mean_luminance"], dtype=object)
+    # Not by way of doubles, which a null among the numbers would make of them.
+    return out.assign(dhash=pd.array(out["dhash"].tolist(), "Int64"), mean_luminance=out["mean_luminance"].astype(float))
+
+
+def _marks(stacked: bytes, height: int, width: int, channels: int):
+    """dhash, ahash, phash and mean luminance of each of some pictures of one size."""
+    sums = AreaSums(grey_levels(stacked, height, width, channels))
+    large = sums.grid(32, 32)
+    return zip(
+        difference_bits(sums.grid(8, 9)).tolist(),
+        np.stack([average_bits(g) for g in orientations(sums.grid(8, 8))], axis=-1).tolist(),
+        np.stack([frequency_bits(g) for g in orientations(large)], axis=-1).tolist(),
+        [round(m, 2) for m in large.mean(axis=(-2, -1)).tolist()],
     )
 
 

@@ -189,6 +189,23 @@ def test_area_sums_give_area_averages(shape):
         assert (P.AreaSums(np.ascontiguousarray(view)).grid(32, 32) == grid).all()
 
 
+def test_pictures_of_one_size_are_computed_together(spark, monkeypatch):
+    """Stacks give what single pictures give, sizes mixed, unreadable ones in between."""
+    random_ = np.random.default_rng(5)
+    sizes = [(8, 72, 1), (33, 50, 3), (1, 1, 1)] * 20
+    pictures = [(n, *size, random_.integers(0, 256, size, np.uint8).tobytes()) for n, size in enumerate(sizes)]
+    rows = [*pictures, (90, None, None, None, None), (91, -1, -1, 1, b"")]
+    df = spark.createDataFrame(rows, "path int, height int, width int, channels int, pixels binary").coalesce(1)
+    got = {r["path"]: r for r in P.fingerprints(df).collect()}
+    for n, h, w, c, raw in pictures:
+        (single,) = P._marks(raw, h, w, c)
+        assert (got[n]["dhash"], got[n]["ahash"], got[n]["phash"], got[n]["mean_luminance"]) == single
+        grey = P.grey_levels(raw, h, w, c)[0]
+        mean = P.AreaSums(grey).grid(8, 8)
+        assert single[1][0] % 2**64 == sum(1 << i for i in np.flatnonzero(mean.ravel() >= mean.mean()).tolist())
+    assert got[90]["dhash"] is None and got[91]["ahash"] is None
+
+
 def test_admission(spark, tmp_path):
     (tmp_path / "ok.png").write_bytes(png(picture(1)))
     control = struct.pack(">II", 2, 0)
