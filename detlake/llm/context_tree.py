@@ -42,8 +42,13 @@ BLOCK_BYTES = 64 << 20
 #: Distinct words and pairs that pass one table of counts in a task; it is then emptied.
 COUNTED_WORDS = 400_000
 COUNTED_PAIRS = 4_000_000
-#: Bytes that are spelled out at once.
+#: Answers that a task holds for its blocks before it sends them, packed.
+PACKED_ANSWERS = 1_000_000
+#: Bytes that are spelled out at once; fewer where a block's answers take the memory.
 SPELLED_BYTES = 2 << 20
+SCORED_BYTES = 1 << 19
+#: Distinct pairs that wait before they are merged into a table, which sorts all of it.
+WAITING_PAIRS = 2_000_000
 _HALF = np.log(0.5)
 
 
@@ -59,12 +64,15 @@ def word_keys(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64) | np.int64(-(1 << 63))
 
 
-def pairs_of(texts: Iterable[list[bytes]], across: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_of(
+    texts: Iterable[list[bytes]], across: bool, at_once: int | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Keys of the (context, byte) pairs of all texts, in order, and the number of the text of each.
 
     A key holds the context bytes from the last one down, then the byte: ``DEPTH`` + 1 bytes.
     Contexts are filled up with zeros before the space that opens them.
     """
+    at_once = at_once or SPELLED_BYTES
     opening = bytes(DEPTH - 1) + b" "
     held: list[bytes] = []
     of: list[int] = []
@@ -74,8 +82,8 @@ def pairs_of(texts: Iterable[list[bytes]], across: bool) -> Iterator[tuple[np.nd
         text = opening + opening.join(held)
         lengths = np.fromiter(map(len, held), np.int64, len(held))
         ends = np.cumsum(lengths + DEPTH)
-        for low in range(DEPTH, len(text), SPELLED_BYTES):
-            part = text[low - DEPTH : low + SPELLED_BYTES]
+        for low in range(DEPTH, len(text), at_once):
+            part = text[low - DEPTH : low + at_once]
             n = len(part) - DEPTH
             context = np.ndarray(n, "<i8", part + bytes(8), 0, (1,)) & ((1 << 8 * DEPTH) - 1)
             keys = context << 8 | np.frombuffer(part, np.uint8, n, DEPTH)
@@ -89,7 +97,7 @@ def pairs_of(texts: Iterable[list[bytes]], across: bool) -> Iterator[tuple[np.nd
             held.append(unit + b" ")
             of.append(number)
             size += len(unit) + 1 + DEPTH
-            if size >= SPELLED_BYTES:
+            if size >= at_once:
                 yield from spelled()
                 held, of, size = [], [], 0
     if held:
@@ -117,6 +125,12 @@ def _counted(across: bool):
         train: Counter[bytes] = Counter()
         seen: set[bytes] = set()
         keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            table = _summed(*(np.concatenate(c) for c in zip((keys, sums), *waiting, strict=True)))
+            waiting.clear()
+            return table
 
         def drained() -> pd.DataFrame:
             for word in seen:
@@ -136,7 +150,9 @@ def _counted(across: bool):
             for held, part in frame.groupby("held_out"):
                 for pairs, _ in pairs_of(noted(part["text"], seen if held else train), across):
                     more, add = _distinct(pairs)
-                    keys, sums = _summed(np.concatenate([keys, more]), np.concatenate([sums, add * (not held)]))
+                    waiting.append((more, add * (not held)))
+                    if sum(len(k) for k, _ in waiting) > WAITING_PAIRS:
+                        keys, sums = merged()
                     if len(keys) > COUNTED_PAIRS:
                         yield pd.DataFrame({"key": keys, "n": sums})
                         keys, sums = keys[:0], sums[:0]
@@ -144,6 +160,8 @@ def _counted(across: bool):
                         yield drained()
         if train or seen:
             yield drained()
+        if waiting:
+            keys, sums = merged()
         if len(keys):
             yield pd.DataFrame({"key": keys, "n": sums})
 
@@ -343,11 +361,15 @@ def _asked(across: bool):
         for frame in frames:
             for block, part in frame.groupby("block"):
                 words, keys = asked.get(block, (set(), np.empty(0, np.int64)))
+                waiting = [keys]
                 for text in part["text"]:
                     words.update(tokens(text))
                 for pairs, _ in pairs_of(map(tokens, part["text"]), across):
-                    keys, _ = _distinct(np.concatenate([keys, _distinct(pairs)[0]]))
-                asked[block] = words, keys
+                    waiting.append(_distinct(pairs)[0])
+                    if sum(map(len, waiting[1:])) > WAITING_PAIRS:
+                        waiting = [_distinct(np.concatenate(waiting))[0]]
+                keys = np.concatenate(waiting)
+                asked[block] = words, _distinct(keys)[0] if len(keys) else keys
                 if sum(len(k) for _, k in asked.values()) > 2 * COUNTED_PAIRS:
                     yield from drained()
         yield from drained()
@@ -355,6 +377,30 @@ def _asked(across: bool):
     return run
 
 
+def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The answers to each block as a few rows of packed arrays, where one a key would be sorted and sent."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def drained() -> Iterator[pd.DataFrame]:
+        block, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(block, kind="stable")
+        first = _firsts(block[order])
+        parts = ([p.tobytes() for p in np.split(c[order], first[1:])] for c in columns)
+        yield pd.DataFrame(dict(zip(("block", "key", "value"), (block[order][first], *parts), strict=True)))
+
+    for frame in frames:
+        if len(frame):
+            held.append(tuple(frame[c].to_numpy() for c in ("block", "key", "value")))
+            size += len(frame)
+        if size > PACKED_ANSWERS:
+            yield from drained()
+            size = 0
+    if held:
+        yield from drained()
+
+
 def _scored(n_train: int, distinct: int, across: bool):
     rest = np.log10(n_train + distinct + 1)
 
@@ -362,13 +408,15 @@ def _scored(n_train: int, distinct: int, across: bool):
         at: defaultdict[bytes, int] = defaultdict(count().__next__)
         places = [np.fromiter((at[w] for w in tokens(t)), np.int32) for t in docs["text"]]
         words = list(at)
+        keys = pd.Index(np.frombuffer(b"".join(items["key"]), np.int64))
+        values = np.frombuffer(b"".join(items["value"]))
         # A block that was drained midway may have asked twice for a key.
-        if not items["key"].is_unique:
-            items = items.drop_duplicates("key")
-        keys, values = pd.Index(items["key"].to_numpy()), items["value"].to_numpy()
+        if not keys.is_unique:
+            once = ~keys.duplicated()
+            keys, values = keys[once], values[once]
         counts = values[keys.get_indexer(word_keys(words))]
         codes = np.zeros(len(docs))
-        for pairs, of in pairs_of(map(tokens, docs["text"]), across):
+        for pairs, of in pairs_of(map(tokens, docs["text"]), across, SCORED_BYTES):
             codes += np.bincount(of, values[keys.get_indexer(pairs)], len(docs))
         base = np.log10(counts + 1) - rest
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -415,7 +463,8 @@ def score_texts(
     placed = docs.withColumn(
         "block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")
     ).repartition(blocks, "block")
-    items = placed.mapInPandas(_asked(across), "key long, block int").join(values, "key")
+    asked = placed.mapInPandas(_asked(across), "key long, block int").join(values, "key")
+    items = asked.mapInPandas(_packed, "block int, key binary, value binary")
     scored = placed.groupBy("block").cogroup(items.groupBy("block")).applyInPandas(
         _scored(facts["n"], facts["v"], across), _SCORES
     )

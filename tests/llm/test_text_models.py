@@ -1,8 +1,10 @@
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from detlake.llm import context_tree as ct
 from detlake.llm import html_text as ht
 from detlake.llm import personal, pieces
+from detlake.session import CLEANUP_KEY, stored
 from tests.llm.helpers import awkward_rows, clashing, documents, prose
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -118,6 +121,47 @@ def test_pairs_do_not_depend_on_the_cuts(monkeypatch):
         assert np.array_equal(np.concatenate([p[1] for p in parts]), of)
 
 
+def test_answers_travel_packed(monkeypatch):
+    """Whatever a task holds at a time, each block gets its own keys with their values."""
+    rows = pd.DataFrame({"key": np.arange(90), "block": np.arange(90) % 4, "value": np.arange(90) / 7})
+    for held in (10, 1000):
+        monkeypatch.setattr(ct, "PACKED_ANSWERS", held)
+        packed = list(ct._packed(iter([rows[:40], rows[:0], rows[40:41], rows[41:]])))
+        assert sum(map(len, packed)) < len(rows) / 2
+        for block, part in pd.concat(packed).groupby("block"):
+            own = rows[rows["block"] == block]
+            assert np.array_equal(np.frombuffer(b"".join(part["key"]), np.int64), own["key"])
+            assert np.array_equal(np.frombuffer(b"".join(part["value"])), own["value"])
+
+
+def test_counts_do_not_depend_on_when_they_are_merged(monkeypatch):
+    texts = pd.DataFrame({"held_out": [False, True, False], "text": [b"one two one", b"two three", b""], "block": [0, 0, 1]})
+    monkeypatch.setattr(ct, "SPELLED_BYTES", 7)
+    found = []
+    for waiting in (0, 1000):
+        monkeypatch.setattr(ct, "WAITING_PAIRS", waiting)
+        counts = pd.concat(ct._counted(True)(iter([texts]))).groupby("key")["n"].sum().to_dict()
+        asked = {(r.key, r.block) for f in ct._asked(True)(iter([texts])) for r in f.itertuples()}
+        found.append((counts, asked))
+    assert found[0] == found[1] and {k for k, _ in found[0][1]} == set(found[0][0])
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {n for n in (f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files.getAllFiles())) if n.startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(CLEANUP_KEY)
+    table = stored(spark.range(1000).repartition(3, "id"), "cleanup")
+    for _ in range(50):
+        left = shuffles() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 1000 and spark.conf.get(CLEANUP_KEY) == setting
+
+
 def test_query_scores_across_words(spark, tmp_path):
     rows = [(n, "the old man reads the long book") for n in range(8)] + [(8, "book long the reads man old the")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
