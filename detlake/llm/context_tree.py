@@ -21,17 +21,18 @@ scored in blocks: a block asks once for each of its distinct words and pairs.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import count
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from detlake.llm.common import parts_for, text_bytes, whole_text
+from detlake.llm.common import give_back, parts_for, text_bytes, whole_text
 from detlake.session import stored
 
 #: At most 6: a context and its byte are one positive 64-bit key.
@@ -44,11 +45,13 @@ COUNTED_WORDS = 400_000
 COUNTED_PAIRS = 4_000_000
 #: Answers that a task holds for its blocks before it sends them, packed.
 PACKED_ANSWERS = 1_000_000
+#: Buckets of keys for each block, an even number; one more is taken, so that all bytes of a key count.
+BUCKETS = 8
 #: Bytes that are spelled out at once; fewer where a block's answers take the memory.
 SPELLED_BYTES = 2 << 20
 SCORED_BYTES = 1 << 19
 #: Distinct pairs that wait before they are merged into a table, which sorts all of it.
-WAITING_PAIRS = 2_000_000
+WAITING_PAIRS = 1_000_000
 _HALF = np.log(0.5)
 
 
@@ -88,9 +91,10 @@ def pairs_of(
             context = np.ndarray(n, "<i8", part + bytes(8), 0, (1,)) & ((1 << 8 * DEPTH) - 1)
             keys = context << 8 | np.frombuffer(part, np.uint8, n, DEPTH)
             at = np.arange(low, low + n)
-            unit = np.searchsorted(ends, at, side="right")
-            real = at >= (ends - lengths)[unit]
-            yield keys[real], np.asarray(of)[unit[real]]
+            first, last = np.searchsorted(ends, at[[0, -1]], side="right")
+            spans = np.diff(np.minimum(ends[first : last + 1], low + n), prepend=low)
+            real = at >= np.repeat((ends - lengths)[first : last + 1], spans)
+            yield keys[real], np.repeat(np.asarray(of)[first : last + 1], spans)[real]
 
     for number, words in enumerate(texts):
         for unit in [b" ".join(words)] if across else words:
@@ -128,9 +132,11 @@ def _counted(across: bool):
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            table = _summed(*(np.concatenate(c) for c in zip((keys, sums), *waiting, strict=True)))
+            nonlocal keys, sums
+            tables = [list(c) for c in zip((keys, sums), *waiting, strict=True)]
             waiting.clear()
-            return table
+            keys = sums = keys[:0].copy()
+            return _summed(*(np.concatenate(tables.pop(0)) for _ in range(2)))
 
         def drained() -> pd.DataFrame:
             for word in seen:
@@ -164,6 +170,7 @@ def _counted(across: bool):
             keys, sums = merged()
         if len(keys):
             yield pd.DataFrame({"key": keys, "n": sums})
+        give_back()
 
     return run
 
@@ -210,7 +217,8 @@ def weigh_below(keys: np.ndarray, counts: np.ndarray, split: int = SPLIT):
     tops = []
     for k in range(8):
         decision, bit = (byte | 256) >> (8 - k), (byte >> (7 - k)) & 1
-        order = np.lexsort((contexts, decision))
+        # Contexts are sorted already, and decisions fit a byte, which is sorted by counting.
+        order = np.argsort(decision.astype(np.uint8), kind="stable")
         d, c, b, n = decision[order], contexts[order], bit[order], counts[order]
         first = _firsts(d, c)
         node = np.cumsum(np.bincount(first, minlength=len(d)))[: len(d)] - 1
@@ -269,6 +277,8 @@ def _weighed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest.append(frame.iloc[cut:])
     if rest:
         yield from done(rest)
+        rest = []
+    give_back()
 
 
 def _above(frame: pd.DataFrame, root: pd.DataFrame | None):
@@ -351,32 +361,70 @@ def _asked(across: bool):
     """The distinct words and pairs of each block."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked: dict[int, tuple[set[bytes], np.ndarray]] = {}
+        asked: dict[int, np.ndarray] = {}
 
         def drained() -> Iterator[pd.DataFrame]:
             while asked:
-                block, (words, keys) = asked.popitem()
-                yield pd.DataFrame({"key": np.concatenate([word_keys(list(words)), keys]), "block": block})
+                block, keys = asked.popitem()
+                yield pd.DataFrame({"key": keys, "block": block})
 
         for frame in frames:
             for block, part in frame.groupby("block"):
-                words, keys = asked.get(block, (set(), np.empty(0, np.int64)))
-                waiting = [keys]
-                for text in part["text"]:
-                    words.update(tokens(text))
-                for pairs, _ in pairs_of(map(tokens, part["text"]), across):
-                    waiting.append(_distinct(pairs)[0])
+                waiting = [asked.get(block, np.empty(0, np.int64))]
+
+                def noted(texts: Iterable[bytes], into: list[np.ndarray]) -> Iterator[list[bytes]]:
+                    for text in texts:
+                        words = tokens(text)
+                        into.append(word_keys(list(set(words))))
+                        yield words
+
+                words: list[np.ndarray] = []
+                for pairs, _ in pairs_of(noted(part["text"], words), across):
+                    waiting += [_distinct(k)[0] for k in (pairs, np.concatenate([pairs[:0], *words])) if len(k)]
+                    words.clear()
                     if sum(map(len, waiting[1:])) > WAITING_PAIRS:
                         waiting = [_distinct(np.concatenate(waiting))[0]]
                 keys = np.concatenate(waiting)
-                asked[block] = words, _distinct(keys)[0] if len(keys) else keys
-                if sum(len(k) for _, k in asked.values()) > 2 * COUNTED_PAIRS:
+                asked[block] = _distinct(keys)[0] if len(keys) else keys
+                if sum(map(len, asked.values())) > 2 * COUNTED_PAIRS:
                     yield from drained()
         yield from drained()
+        give_back()
 
     return run
 
 
+def _bucketed(across: bool, buckets: int):
+    """The distinct words and pairs of each block, packed by the bucket of their key."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _asked(across)(frames):
+            keys = frame["key"].to_numpy()
+            bucket = (keys % buckets).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            first = _firsts(bucket)
+            parts = [p.tobytes() for p in np.split(keys[order], first[1:])]
+            yield pd.DataFrame({"bucket": bucket[first], "block": frame["block"].iloc[0], "keys": parts})
+
+    return run
+
+
+def _answered(asked: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+    """The answers of one bucket to all blocks."""
+    order = np.argsort(values["key"].to_numpy())
+    keys, found = (values[c].to_numpy()[order] for c in ("key", "value"))
+
+    def answers() -> Iterator[pd.DataFrame]:
+        for block, wanted in zip(asked["block"], asked["keys"], strict=True):
+            wanted = np.frombuffer(wanted, np.int64)
+            at = np.searchsorted(keys, wanted)
+            yield pd.DataFrame({"block": np.int32(block), "key": wanted, "value": found[at]})
+
+    empty = pd.DataFrame({"block": np.empty(0, np.int32), "key": [], "value": []})
+    return pd.concat([empty, *_packed(answers())])
+
+
 def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The answers to each block as a few rows of packed arrays, where one a key would be sorted and sent."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -401,31 +449,67 @@ def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from drained()
 
 
+def _answers(items: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All answers to a block, sorted by key; one that was drained midway may have asked twice for a key."""
+    keys, values = (
+        np.concatenate([np.frombuffer(part.as_buffer(), kind) for part in items[column]])
+        for column, kind in (("key", np.int64), ("value", np.float64))
+    )
+    order = np.argsort(keys)
+    keys = keys[order]
+    return keys, values[order]
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of ``wanted`` keys, found in their order: a hash table would take twice the answers' memory."""
+    order = np.argsort(wanted)
+    wanted = wanted[order]
+    first = _firsts(wanted) if len(wanted) else order
+    found = np.empty(len(wanted))
+    found[order] = np.repeat(values[np.searchsorted(keys, wanted[first])], np.diff(first, append=len(wanted)))
+    return found
+
+
 def _scored(n_train: int, distinct: int, across: bool):
     rest = np.log10(n_train + distinct + 1)
 
-    def run(docs: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        at: defaultdict[bytes, int] = defaultdict(count().__next__)
-        places = [np.fromiter((at[w] for w in tokens(t)), np.int32) for t in docs["text"]]
-        words = list(at)
-        keys = pd.Index(np.frombuffer(b"".join(items["key"]), np.int64))
-        values = np.frombuffer(b"".join(items["value"]))
-        # A block that was drained midway may have asked twice for a key.
-        if not keys.is_unique:
-            once = ~keys.duplicated()
-            keys, values = keys[once], values[once]
-        counts = values[keys.get_indexer(word_keys(words))]
-        codes = np.zeros(len(docs))
-        for pairs, of in pairs_of(map(tokens, docs["text"]), across, SCORED_BYTES):
-            codes += np.bincount(of, values[keys.get_indexer(pairs)], len(docs))
-        base = np.log10(counts + 1) - rest
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        rows = [
-            (len(p), int((counts[p] > 0).sum()), base[p].sum(), code, int(sizes[p].sum()))
-            for p, code in zip(places, codes, strict=True)
-        ]
-        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score", "n_code_bytes"])
-        return pd.concat([docs[["key", "held_out"]].reset_index(drop=True), out], axis=1)
+    def run(docs: pa.Table, items: pa.Table) -> pa.Table:
+        keys, values = _answers(items)
+        cut = int(np.searchsorted(keys, 0))
+        rows: list[tuple[int, int, float, int]] = []
+        held: list[list[bytes]] = []
+
+        def noted() -> Iterator[list[bytes]]:
+            size = 0
+            for text in docs["text"]:
+                words = tokens(text.as_py())
+                held.append(words)
+                size += len(text.as_buffer())
+                if size >= SCORED_BYTES:
+                    based()
+                    size = 0
+                yield words
+            based()
+
+        def based() -> None:
+            """The base of the texts held, whose words are looked up together."""
+            counts = _looked_up(keys[:cut], values[:cut], word_keys(list(chain.from_iterable(held))))
+            parts = np.log10(counts + 1) - rest
+            ends = np.cumsum(np.fromiter(map(len, held), np.int64, len(held)))
+            for words, end in zip(held, ends, strict=True):
+                own = slice(end - len(words), end)
+                known = int(np.count_nonzero(counts[own]))
+                rows.append((len(words), known, parts[own].sum(), sum(map(len, words)) + len(words)))
+            held.clear()
+
+        codes = np.zeros(docs.num_rows)
+        for pairs, of in pairs_of(noted(), across, SCORED_BYTES):
+            codes += np.bincount(of, _looked_up(keys[cut:], values[cut:], pairs), len(codes))
+        sizes, known, sums, spelled = zip(*rows, strict=True)
+        columns = {"n_tokens": sizes, "n_known": known, "base_score": sums, "score": codes, "n_code_bytes": spelled}
+        del keys, values
+        give_back()
+        return pa.table({"key": docs["key"], "held_out": docs["held_out"], **columns})
 
     return run
 
@@ -463,9 +547,14 @@ def score_texts(
     placed = docs.withColumn(
         "block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")
     ).repartition(blocks, "block")
-    asked = placed.mapInPandas(_asked(across), "key long, block int").join(values, "key")
-    items = asked.mapInPandas(_packed, "block int, key binary, value binary")
-    scored = placed.groupBy("block").cogroup(items.groupBy("block")).applyInPandas(
+    # Keys travel and are answered packed: as rows they would be sorted and joined one by one.
+    buckets = BUCKETS * blocks + 1
+    asked = placed.mapInPandas(_bucketed(across, buckets), "bucket int, block int, keys binary")
+    known = values.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
+    items = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(
+        _answered, "block int, key binary, value binary"
+    )
+    scored = placed.groupBy("block").cogroup(items.groupBy("block")).applyInArrow(
         _scored(facts["n"], facts["v"], across), _SCORES
     )
     return scored.select(

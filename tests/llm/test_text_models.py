@@ -1,10 +1,12 @@
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +148,49 @@ def test_counts_do_not_depend_on_when_they_are_merged(monkeypatch):
     assert found[0] == found[1] and {k for k, _ in found[0][1]} == set(found[0][0])
 
 
+def test_a_block_is_scored_beside_its_answers():
+    """Besides the answers sorted once, a block takes no table of them and no copy of its texts."""
+    random_ = random.Random(5)
+    texts = [" ".join("".join(random_.choices("abcdefghij", k=9)) for _ in range(4000)).encode() for _ in range(25)]
+    asked = pd.concat(ct._asked(True)(iter([pd.DataFrame({"text": texts, "block": 0})])))["key"].to_numpy()
+    shuffled = np.random.default_rng(1).permutation(np.concatenate([asked, asked[:100]]))
+    value = np.where(shuffled < 0, shuffled % 3, -(shuffled % 1000) / 100)
+    cuts = np.array_split(np.arange(len(shuffled)), 7)
+    items = pa.table({"key": [shuffled[c].tobytes() for c in cuts], "value": [value[c].tobytes() for c in cuts]})
+    docs = pa.table({"key": [str(n) for n in range(25)], "held_out": [False] * 25, "text": texts})
+    run = ct._scored(10, 5, True)
+    tracemalloc.start()
+    try:
+        got = run(docs, items).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    of = dict(zip(shuffled.tolist(), value.tolist(), strict=True))
+    for n, (row, text) in enumerate(zip(got, texts, strict=True)):
+        words = ct.tokens(text)
+        counts = np.array([of[k] for k in ct.word_keys(words).tolist()])
+        assert (row["key"], row["n_tokens"], row["n_code_bytes"]) == (str(n), len(words), sum(map(len, words)) + len(words))
+        assert row["n_known"] == (counts > 0).sum() and row["base_score"] == pytest.approx((np.log10(counts + 1) - np.log10(16)).sum())
+        ((pairs, _),) = ct.pairs_of([words], True)
+        assert row["score"] == pytest.approx(sum(of[k] for k in pairs.tolist()))
+    assert peak < 3 * 16 * len(shuffled) + 150 * ct.SCORED_BYTES
+
+
+def test_keys_are_answered_by_bucket():
+    texts = pd.DataFrame({"text": [b"one two three", b"two words", b""], "block": [0, 3, 3]})
+    asked = pd.concat(ct._asked(True)(iter([texts])))
+    packed = pd.concat(ct._bucketed(True, 5)(iter([texts])))
+    assert len(packed) <= 10 < len(asked)
+    known = pd.DataFrame({"key": asked["key"].unique()})
+    known = known.assign(value=known["key"] % 1000 / 7, bucket=known["key"] % 5).sample(frac=1, random_state=1)
+    got = set()
+    for bucket, part in packed.groupby("bucket"):
+        for r in ct._answered(part, known[known["bucket"] == bucket]).itertuples():
+            keys, values = np.frombuffer(r.key, np.int64).tolist(), np.frombuffer(r.value).tolist()
+            got |= set(zip([r.block] * len(keys), keys, values, strict=True))
+    assert got == {(r.block, r.key, r.key % 1000 / 7) for r in asked.itertuples()}
+
+
 def test_a_stored_table_leaves_no_shuffle_files(spark):
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
