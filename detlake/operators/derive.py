@@ -22,6 +22,17 @@ class Packet:
     box_cases: DataFrame
     class_cases: DataFrame | None = None
     source_cases: DataFrame | None = None
+    #: Whether all case ids are ``stable_id`` of their kind.
+    stable_ids: bool = False
+
+    def cases(self) -> DataFrame:
+        """The catalog in the order of its ids."""
+        if not self.stable_ids:
+            return in_id_order(self.catalog(), "case_id")
+        # Ids travel as 32 bytes, which have the order of their hexadecimal digits, beside the kind.
+        digest = F.unhex(F.substring_index("case_id", "-", -1))
+        placed = in_id_order(self.catalog().withColumn("case_id", digest), "kind", "case_id")
+        return placed.withColumn("case_id", F.concat("kind", F.lit("-"), F.lower(F.hex("case_id"))))
 
     def catalog(self) -> DataFrame:
         """Cases of all kinds that the packet has, in no order; ``in_id_order`` writes them in theirs."""
@@ -88,8 +99,9 @@ def build_packet(
     """
     links = grouping.build_links(images, pairs)
     groups = grouping.assign_groups(images, links)
-    close = near.near_pairs(images, near.near_links(images, k, width))
-    queue = grouping.review_queue(close, groups)
+    # Images bring their groups along: pairs, which may be very many, are not joined with them.
+    close = near.near_pairs(groups, near.near_links(images, k, width), carry=("group_id",))
+    queue = close.withColumn("already_linked", F.col("first_group_id") == F.col("second_group_id"))
     if pairs is None:
         pair_cases = links.limit(0).select(
             F.lit("").alias("case_id"), F.col("src").alias("first"), F.col("dst").alias("second")
@@ -112,7 +124,7 @@ def build_packet(
     )
     proposals = validate.correction_proposals(validate.border_corrections(annotations, images))
     box_cases = proposals.withColumn("case_id", stable_id("box", "image_id", "annotation_index"))
-    packet = Packet(images, links, groups, pair_cases, near_cases, box_cases)
+    packet = Packet(images, links, groups, pair_cases, near_cases, box_cases, stable_ids=True)
     if categories is not None:
         packet.class_cases, packet.source_cases = class_cases(categories), source_cases(categories)
     return packet

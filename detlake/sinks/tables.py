@@ -49,6 +49,9 @@ def frozen_write(
     before = _existing(spark, path, form, df.schema) if _is_complete(spark, path) else None
     if before is None:
         writer = df.write.mode("overwrite").format(form)
+        if form == "parquet":
+            # Ids and digests are hexadecimal, which only an entropy code packs.
+            writer = writer.option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.save(path)
@@ -122,7 +125,7 @@ def write_packet(root: str, packet) -> DataFrame:
         "members": in_id_order(packet.members, "image_id"),
         "groups": in_id_order(packet.groups.select("group_id", "image_id"), "group_id", "image_id"),
         "links": in_id_order(packet.links, "src", "dst", "reason"),
-        "cases": in_id_order(packet.catalog(), "case_id"),
+        "cases": packet.cases(),
     }
     digests = None
     for name, df in tables.items():

@@ -7,6 +7,7 @@ from detlake.operators import derive as Y
 from detlake.operators import jobs as J
 from detlake.operators import review as W
 from detlake.operators import runs as U
+from detlake.sinks.tables import write_packet
 from detlake.streaming import events as E
 
 DECISION = ("batch_hash string, packet_sha256 string, reviewer string, reviewed_at string, case_id string,"
@@ -246,3 +247,24 @@ def test_finished_jobs_take_no_further_commands():
     assert seen == ["claimed", "retry_scheduled", "claimed", "retry_scheduled", "claimed", "failed", "claim_refused",
                     "redriven", "claimed", "accepted", "stale", "claim_refused"]
     assert lease[3] == "completed"
+
+
+def test_cases_are_written_in_order_and_packed(spark, tmp_path):
+    rows = spark.range(120).selectExpr(
+        "id AS image_id", "id AS ordinal", "CASE WHEN id % 2 = 0 THEN 'train' ELSE 'test' END AS split",
+        "id % 3 AS signature", "cast(id % 40 AS string) AS pixel_sha256", "20 AS width", "20 AS height",
+    )
+    boxes = rows.selectExpr("image_id", "0 AS annotation_index", "1 AS category_id", "1.0D AS x", "1.0D AS y", "19.01D AS w", "2.0D AS h")
+    packet = Y.build_packet(rows, boxes, k=2, categories=spark.sql("SELECT 's' AS source, 1 AS category_id, 'c' AS name"))
+    write_packet(str(tmp_path), packet)
+    written = spark.read.parquet(f"{tmp_path}/cases")
+    want = packet.catalog()
+    assert written.columns == want.columns
+    assert written.exceptAll(want).isEmpty() and want.exceptAll(written).isEmpty()
+    ids = [r["case_id"] for r in packet.cases().select("case_id").collect()]
+    assert ids == sorted(ids) and len(ids) > 3000
+    linked = packet.near_cases.join(packet.groups.selectExpr("image_id AS first", "group_id AS a"), "first").join(
+        packet.groups.selectExpr("image_id AS second", "group_id AS b"), "second")
+    assert linked.filter("already_linked <> (a = b)").isEmpty() and linked.filter("already_linked").count() == 0
+    # Ids take about their 32 bytes, not their 69 digits, in the files too.
+    assert sum(f.stat().st_size for f in (tmp_path / "cases").glob("*.parquet")) < 55 * len(ids) + 30_000
