@@ -160,3 +160,24 @@ def test_a_search_that_keys_cannot_narrow_goes_by_tiles(spark):
     values = [(i * 2_654_435_761 % (1 << 24),) for i in range(300)]
     df = spark.createDataFrame(values, "signature long")
     assert "CoGroup" in N.near_links(df, 4, 24)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("width", "k", "bands"), [(64, 3, None), (63, 12, None), (64, 5, 3)])
+def test_keys_do_not_pass_through_the_driver(spark, monkeypatch, width, k, bands):
+    """A table that looks small becomes hundreds of keys a row: Spark must not broadcast them, whichever keys they are."""
+    monkeypatch.setattr(N, "tiles_are_cheaper", lambda *_: False)
+    values = planted(k, width, k, 40)
+    links = N.near_links(spark.createDataFrame([(v,) for v in values], "signature bigint"), k, width, bands)
+    got = sorted(map(tuple, links.collect()))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    mask = (1 << 64) - 1
+    want = [(a, b, ((a ^ b) & mask).bit_count()) for a, b in itertools.combinations_with_replacement(sorted(set(values)), 2)]
+    assert got == [w for w in want if w[2] <= k]
+
+
+def test_signatures_are_dealt_by_their_keys(spark, monkeypatch):
+    monkeypatch.setattr(N, "KEYED", 1_000)
+    df = spark.range(100).toDF("a")
+    assert N._dealt(df, 100, 231).rdd.getNumPartitions() == 24
+    assert N._dealt(df, 0, 231).rdd.getNumPartitions() == 1
