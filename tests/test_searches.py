@@ -181,3 +181,38 @@ def test_signatures_are_dealt_by_their_keys(spark, monkeypatch):
     df = spark.range(100).toDF("a")
     assert N._dealt(df, 100, 231).rdd.getNumPartitions() == 24
     assert N._dealt(df, 0, 231).rdd.getNumPartitions() == 1
+
+
+@pytest.mark.parametrize("tiles", [True, False])
+def test_turned_signatures_do_not_pass_through_the_driver(spark, monkeypatch, tiles):
+    """Pairs equal plain loops, repeated and missing turns included; no broadcast holds the turns of images."""
+    monkeypatch.setattr(N, "tiles_are_cheaper", lambda *_: tiles)
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        phash, ahash = ([rng.getrandbits(bits) for _ in range(4)] for bits in (63, 64))
+        if i % 3:  # near a turn of an earlier image, by one signature or both
+            old = rng.choice(rows)
+            phash[0] = old[3][i % 4] ^ sum(1 << b for b in rng.sample(range(63), 10 + i % 5))
+            phash[2] = phash[0]
+            if i % 2 and old[4]:
+                ahash[3] = (old[4][0] & (2**64 - 1)) ^ sum(1 << b for b in rng.sample(range(64), 6 + i % 5))
+        rows.append((i, i, f"f{i % 4}", phash, [signed(h) for h in ahash] if i % 7 else None))
+    df = spark.createDataFrame(rows, "ordinal long, image_id long, family string, phash array<long>, ahash array<long>")
+
+    def closest(one, turns):
+        return min(((one[0] ^ t) & (2**64 - 1)).bit_count() for t in turns) if one and turns else None
+
+    want = []
+    for a, b in itertools.combinations(rows, 2):
+        p, q = closest(a[3], b[3]), closest(a[4], b[4])
+        if a[2] != b[2] and (p <= 12 or (q is not None and q <= 8)):
+            want.append((a[1], b[1], a[2], b[2], p, q))
+    links = N.orientation_links(df)
+    assert sorted(map(tuple, links.collect())) == sorted(want) and want
+    lines = links._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            depth = line.index("BroadcastExchange")
+            below = itertools.takewhile(lambda x: len(x) - len(x.lstrip(" :+-*()0123456789")) > depth, lines[at + 1 :])
+            assert not any("Generate" in x or "second_phash" in x for x in below)
